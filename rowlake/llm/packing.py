@@ -141,26 +141,20 @@ def _cut(path: str, end_id: int, room: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, coder, seen = TaskContext.get().partitionId(), tokens.encoder(path), np.zeros(room + 1, np.int64)
+        task, coder, seen = TaskContext.get().partitionId(), tokens.encoder(path), [0] * (room + 1)
         end = np.array([end_id], "<u4").tobytes()
         schema = pa.schema([("task", pa.int32()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
-            rows: list[tuple] = []
-            size = 0
-            for key, ids in zip(batch.column(0).to_pylist(), coder.encode_all(x.as_py() for x in batch.column(1))):
-                ids += end
-                n = len(ids) // 4
-                at = 0
-                for piece in range(-(-n // room)):
-                    stop = n - (-(-n // room) - 1 - piece) * room
-                    rows.append((task, int(seen[stop - at]), key, piece, at, stop - at, ids[4 * at : 4 * stop]))
-                    seen[stop - at] += 1
-                    at = stop
-                size += n
-                if size >= 1 << 21:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
-                    rows, size = [], 0
-            if rows:
+            keys = batch.column(0).to_pylist()
+            for first, ids, cut in coder.encode_column(batch.column(1)):
+                rows = []
+                for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+                    raw, n, at = ids[a:b].astype("<u4").tobytes() + end, b - a + 1, 0
+                    for piece in range(-(-n // room)):
+                        stop = n - (-(-n // room) - 1 - piece) * room
+                        rows.append((task, seen[stop - at], keys[first + i], piece, at, stop - at, raw[4 * at : 4 * stop]))
+                        seen[stop - at] += 1
+                        at = stop
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
     return cut

@@ -14,6 +14,14 @@ BLOCK = 1024
 #: How many values of how many bits a selector stands for.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
+_TABLE = BITS[np.searchsorted(1 << BITS[1:], np.arange(1 << 16), side="right") + 1].astype(np.int8)
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """The least of BITS that holds each id."""
+    if int(ids.max()) < len(_TABLE):
+        return _TABLE[ids.astype(np.int64)]
+    return BITS[np.searchsorted(np.uint64(1) << BITS[1:].astype(np.uint64), ids, side="right") + 1].astype(np.int8)
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -29,14 +37,18 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lanes = lanes.reshape(blocks, BLOCK)
     choice = np.full((blocks, BLOCK), 14, np.int8)
     at = np.arange(BLOCK, dtype=np.int16)
+    width = _widths(lanes)
     for s in range(13, 0, -1):  # narrower selectors overwrite wider ones, as they hold more
-        wide = lanes >> np.uint64(BITS[s]) != 0
-        if wide.all():
-            break
-        stop = np.where(wide, at, np.int16(BLOCK))
+        narrow, rows = width <= BITS[s], slice(None)
+        if COUNTS[s] >= 8:  # a run of 8 has four of a group; most blocks have none that is so narrow
+            rows = np.flatnonzero(np.ascontiguousarray(narrow).view(np.uint32).reshape(blocks, -1).max(axis=1) == 0x01010101)
+            narrow = narrow[rows]
+        if not narrow.size:
+            continue
+        stop = np.where(narrow, np.int16(BLOCK), at)
         stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]  # the next value that is too wide
-        fits = stop - at >= np.minimum(COUNTS[s], BLOCK - at)  # what lies behind the block's end counts as zeros
-        choice[fits] = s
+        fits = stop - at >= np.minimum(COUNTS[s], BLOCK - at).astype(np.int16)  # zeros lie behind the block's end
+        choice[rows] = np.where(fits, np.int8(s), choice[rows])
     lengths = np.full(blocks, BLOCK)
     lengths[-1] = n - (blocks - 1) * BLOCK
     cursor, lane = np.zeros(blocks, np.int64), np.arange(blocks)

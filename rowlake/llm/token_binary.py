@@ -31,24 +31,27 @@ def _frames(path: str, end_id: int | None):
         from pyspark import TaskContext
 
         shard, coder = TaskContext.get().partitionId(), tokens.encoder(path)
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        end = np.array([] if end_id is None else [end_id], np.uint32)
         docs: list = []
-        parts: list[bytes] = []
+        lengths: list[int] = []
+        parts: list[np.ndarray] = []
         size = frame = before = 0
 
         def close():
-            words, blocks = simple8b.encode(np.frombuffer(b"".join(parts), "<u4"))
-            row = {"shard": [shard], "frame": [frame], "before": [before], "n_ids": [size], "doc_ids": [docs], "lengths": [[len(x) // 4 for x in parts]], "blocks": [blocks.astype("<u4").tobytes()], "words": [words.astype("<u8").tobytes()]}
+            words, blocks = simple8b.encode(np.concatenate(parts))
+            row = {"shard": [shard], "frame": [frame], "before": [before], "n_ids": [size], "doc_ids": [docs], "lengths": [lengths], "blocks": [blocks.astype("<u4").tobytes()], "words": [words.astype("<u8").tobytes()]}
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("frame", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blocks", pa.binary()), ("words", pa.binary())]))
 
         for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), coder.encode_all(x.as_py() for x in batch.column(1))):
-                docs.append(key)
-                parts.append(ids + end)
-                size += len(parts[-1]) // 4
+            keys = batch.column(0).to_pylist()
+            for first, ids, cut in coder.encode_column(batch.column(1)):
+                docs += keys[first : first + len(cut) - 1]
+                lengths += (np.diff(cut) + len(end)).tolist()
+                parts.append(np.insert(ids, np.repeat(cut[1:], len(end)), np.tile(end, len(cut) - 1)))
+                size += len(parts[-1])
                 if size >= FRAME:
                     yield close()
-                    frame, before, docs, parts, size = frame + 1, before + size, [], [], 0
+                    frame, before, docs, lengths, parts, size = frame + 1, before + size, [], [], [], 0
         if docs:
             yield close()
 

@@ -13,7 +13,27 @@ PATH = tokens.vocabulary()
 @given(st.text(alphabet=" \n\t\r'sabÑ1²½é-_,.!ll're\xa0xª—…Ωж日<|>", max_size=40))
 def test_split_encoding_is_the_librarys(text):
     coder = tokens.encoder(PATH)
-    assert coder.encode(text) == coder.whole(text)
+    assert coder.split
+    assert coder.encode(text) == coder.library([text])[0].tolist()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\tstmdrevlLl'Dé1.,", max_size=12), max_size=12))
+def test_columns_of_plain_texts(texts):
+    import pyarrow as pa
+
+    coder = tokens.encoder(PATH)
+    got = [x.tolist() for _, ids, cut in coder.encode_column(pa.array(texts, pa.string())) for x in np.split(ids, cut[1:-1])]
+    assert got == [x.tolist() for x in coder.library(texts)]
+
+
+def test_table_is_emptied_and_overwritten(monkeypatch):
+    monkeypatch.setattr(tokens, "SLOTS", 8)
+    monkeypatch.setattr(tokens, "POOL", 50)
+    coder = tokens.Encoder(PATH)
+    for i in range(30):
+        text = " ".join(f"w{j} thing{j * i}" for j in range(20))
+        assert coder.encode(text) == coder.library([text])[0].tolist()
 
 
 @settings(max_examples=200, deadline=None)
