@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlake.llm import decontaminate, packing, quality, token_binary, tokens
+from rowlake.llm import decontaminate, neardup, packing, quality, token_binary, tokens
 from rowlake.llm.common import Scratch
 
 
@@ -21,6 +21,10 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.read_ids(frames).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents"), Scratch(spark, "op2")).select("doc_id", "class_id")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(_table(spark, sf_dir, "documents"), Scratch(spark, "op5"), tokens.vocabulary())
     digests = pieces.select("task", "nth", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
