@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlake.llm import decontaminate, neardup, packing, quality, resample, token_binary, tokens, toxicity
+from rowlake.llm import decontaminate, neardup, packing, quality, resample, secrets, token_binary, tokens, toxicity
 from rowlake.llm.common import Scratch
 
 
@@ -41,6 +41,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(feats).drop("host", "content")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(_table(spark, sf_dir, "documents"), secrets.train(spark))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     names = F.sha2(F.concat_ws(",", "items"), 256)

@@ -63,7 +63,7 @@ def test_resampling(spark):
 
 def test_resampling_weight_is_the_log_ratio(spark):
     docs, labels = corpus(200)
-    good = {k for k, q, _, _ in labels if q}
+    good = {k for k, q, _, _ in labels if q and k}
     table = resample.models(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string"))
     data, offsets = resample.text_bytes(pa.array([t for _, t in docs], pa.string()))
     x, doc = resample.grams(data, offsets)
