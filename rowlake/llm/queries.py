@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlake.llm import decontaminate, neardup, packing, quality, resample, secrets, token_binary, tokens, toxicity
+from rowlake.llm import chat, decontaminate, neardup, packing, quality, resample, secrets, token_binary, tokens, toxicity
 from rowlake.llm.common import Scratch
 
 
@@ -36,6 +36,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests)
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(hard).alias("text")) for i, r in enumerate(("user", "assistant"))))).alias("x"))
+    return chat.digest(chat.format_conversations(rows.unionByName(more.select("conv_id", "x.*"))))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = quality.features(_table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
     return quality.verdicts(feats).drop("host", "content")
