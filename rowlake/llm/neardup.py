@@ -9,11 +9,14 @@ carry count less, and near copies of a large group don't lose weight against the
 
 Improved consistent weighted sampling gives each text BANDS * ROWS samples; two texts agree in a sample with the
 probability of their weighted Jaccard similarity. The gamma and uniform variates of (shingle, sample) come from a pool
-of POOL triples by hash. Texts that agree in all samples of a band meet in a bucket. A bucket's members are first held
-against its leader (its smallest doc_id), so a group of n near copies costs n comparisons. Links merge into components;
-while a bucket holds more than one, its minor components are held against new leaders, and when few enough pairs are
-left, against all members of other components: a pair of a bucket is left out only if its two texts are in one
-component already. Each pair counts if its exact weighted Jaccard similarity is THRESHOLD or more.
+of POOL triples by hash. Texts that agree in all samples of a band meet in a bucket. A bucket's members are held
+against its leader, its smallest doc_id, so a group of n near copies costs n comparisons; links merge into components.
+Buckets that hold several then get a second round: their minor components are held against a leader drawn from the
+largest one, and against the first of themselves. What is still apart is settled exactly and without all pairs, by
+prefixes: shingles are ordered by how few of the texts at issue have them, and two texts of similarity THRESHOLD must
+share one among the first that make up more than 1 - THRESHOLD of either's weight. Texts of different components that do
+are compared. So a pair of a bucket is left out only if its texts are in one component, or are proven apart. A pair
+counts if its exact weighted Jaccard similarity is THRESHOLD or more.
 
 The driver sees the sketch (a fixed size) and counts, never documents, links or components. Tables that are read again
 are written to the shared folder.
@@ -40,8 +43,8 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 SKETCH, COMMON, SLICE = 1 << 20, 0.2, 1 << 14
 POOL = 1 << 18
-#: Pairs left for each text when all of them are compared, and rounds of new leaders before that.
-PAIRS_LEFT, ROUNDS = 2, 4
+#: Texts at issue for each part of the shingles' hashes, which one task counts.
+PART = 2000
 CHUNK = 1 << 19
 _SLOT, _PLACE = np.uint64(64 - 20), np.uint64(64 - 18)
 _SEEDS = bytescan.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -249,6 +252,80 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _mixed(buckets: DataFrame, comps: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of the buckets that hold several components, with comp, the bucket's largest (top) and a member of it (leader)."""
+    rows = buckets.select("rep", "bucket").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64("rep", F.lit(name)), "rep")).alias("pick"))
+    several = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp", "pick")).alias("x")).filter("comps > 1")
+    several = several.select("bucket", F.col("x.comp").alias("top"), F.col("x.pick.rep").alias("leader"))
+    return scratch.write(rows.join(several, "bucket"), name), several
+
+
+_ITEM = np.dtype([("hash", "<u8"), ("weight", "<f4"), ("texts", "<u4"), ("mixed", "?")])
+
+
+def _prefix_pairs(apart: DataFrame, texts: DataFrame, weights, threshold: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that can be similar enough, of apart (rep, comp), by prefixes of rare shingles."""
+    parts = max(8, -(-apart.count() // PART))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = weights.value
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(2))
+            reps, comps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b in slices(offsets, CHUNK):
+                h, doc, tf = counted(*shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                idf = known.of(h)
+                part = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+                items = np.zeros(len(h), _ITEM)
+                items["hash"], items["weight"] = h, tf if idf is None else tf * idf
+                order = np.lexsort((part, doc))
+                items, key = items[order], (doc * parts + part)[order]
+                first = np.flatnonzero(np.diff(key, prepend=-1))
+                ends = np.append(first, len(key))[1:]
+                at = key[first]
+                yield pa.RecordBatch.from_pydict({"part": pa.array(at % parts, pa.int32()), "rep": pa.array(reps[a + at // parts]), "comp": pa.array(comps[a + at // parts]), "items": pa.array([items[x:y].tobytes() for x, y in zip(first, ends)], pa.binary())})
+
+    def grouped(batches: Iterator[pa.RecordBatch]):
+        """Consecutive rows of one key: the key, and their other columns."""
+        from itertools import groupby
+
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for key, group in groupby(rows, key=lambda r: r[0]):
+            yield key, list(zip(*group))[1:]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (reps, comps, raw) in grouped(batches):
+            each = [np.frombuffer(x, _ITEM) for x in raw]
+            items, sizes = np.concatenate(each), np.array([len(x) for x in each])
+            comp = np.repeat(np.array(comps), sizes)
+            _, inverse, number = np.unique(items["hash"], return_inverse=True, return_counts=True)
+            low, high = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).min)
+            np.minimum.at(low, inverse, comp)
+            np.maximum.at(high, inverse, comp)
+            items["texts"], items["mixed"] = number[inverse], (low < high)[inverse]
+            cut = np.concatenate([[0], np.cumsum(sizes)])
+            yield pa.RecordBatch.from_pydict({"rep": pa.array(reps, pa.int64()), "comp": pa.array(comps, pa.int64()), "items": pa.array([items[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())})
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rep, (comps, raw) in grouped(batches):
+            items = np.frombuffer(b"".join(raw), _ITEM)
+            items = items[np.lexsort((items["hash"], items["texts"]))]
+            total = np.cumsum(items["weight"].astype(float))
+            n = int(np.searchsorted(total, (1 - threshold) * total[-1] + 1e-6, side="right")) + 1
+            mine = items["hash"][:n][items["mixed"][:n]].view(np.int64)
+            yield pa.RecordBatch.from_pydict({"rep": pa.array(np.full(len(mine), rep, np.int64)), "comp": pa.array(np.full(len(mine), comps[0], np.int64)), "shingle": pa.array(mine)})
+
+    kind = "rep long, comp long, items binary"
+    rows = apart.join(texts, "rep").select("rep", "comp", "text").mapInArrow(spread, f"part int, {kind}")
+    rows = rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, kind)
+    rows = rows.repartition("rep").sortWithinPartitions("rep").mapInArrow(prefixes, "rep long, comp long, shingle long")
+    rows = scratch.write(rows, "prefixes")
+    other = rows.toDF("rep2", "comp2", "shingle")
+    met = rows.join(other, "shingle").filter("comp <> comp2 and rep < rep2")
+    return met.select(F.col("rep2").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class) and content (its text's md5)."""
     spark = docs.sparkSession
@@ -258,47 +335,31 @@ def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     signed = scratch.write(hashed.mapInArrow(_signatures(weights), "doc_id long, content string, bands array<bigint>"), "signed")
     reps = signed.filter("content is not null").groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     reps = scratch.write(reps, "reps")
-    buckets = scratch.write(reps.filter("rep is not null").select("rep", F.explode("bands").alias("bucket")), "buckets")
-    nodes = reps.filter("rep is not null").count()
-
-    leaders = buckets.groupBy("bucket").agg(F.min("rep").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    pairs = scratch.write(buckets.join(leaders, "bucket").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "pairs-0")
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "rep").join(reps.select("rep", F.col("content").alias("md5")), "rep")
+    every = reps.filter("rep is not null").select("rep", F.explode("bands").alias("bucket"))
+    leaders = every.groupBy("bucket").agg(F.min("rep").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    buckets = scratch.write(every.join(leaders, "bucket"), "buckets")
+    pairs = scratch.write(buckets.filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "pairs-0")
+    wanted = buckets.select("rep").distinct().join(reps.select("rep", F.col("content").alias("md5")), "rep")
     found = source.withColumnRenamed("doc_id", "rep").join(wanted, "rep").filter(F.md5(F.col("text").cast("binary")) == F.col("md5"))
     texts = scratch.write(found.groupBy("rep").agg(F.first("text").alias("text")), "texts")
     links = scratch.write(_links(pairs, texts, weights, threshold), "links-0")
-    compared, last = pairs, False
-    for i in range(1, ROUNDS + 2):
-        comps = components(links, scratch, f"comps-{i}")
-        if last:
-            break
-        labelled = buckets.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        sizes = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max(F.struct(F.xxhash64("rep", F.lit(i)), "rep")).alias("pick"))
-        mixed = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max(F.struct("n", "comp", "pick")).alias("top")).filter("comps > 1")
-        mixed = scratch.write(mixed.select("bucket", "size", F.col("top.n").alias("major"), F.col("top.comp").alias("top"), F.col("top.pick.rep").alias("leader")), f"mixed-{i}")
-        left = mixed.agg(F.sum((F.col("size") - F.col("major")) * F.col("size"))).first()[0] or 0
-        if not left:
-            break
-        minor = labelled.join(mixed, "bucket").filter("comp <> top").select("bucket", "rep", "comp", "top", "leader")
-        last = left <= PAIRS_LEFT * nodes or i > ROUNDS
-        if last:
-            others = labelled.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
-            new = minor.join(others, "bucket").filter("comp <> comp2 and (comp2 = top or rep < rep2)").select(F.least("rep", "rep2").alias("b"), F.greatest("rep", "rep2").alias("a"))
-        else:
-            smallest = minor.groupBy("bucket").agg(F.min("rep").alias("second"))
-            new = minor.join(smallest, "bucket").select("rep", F.explode(F.array("leader", "second")).alias("rep2")).filter("rep <> rep2")
-            new = new.select(F.least("rep", "rep2").alias("b"), F.greatest("rep", "rep2").alias("a"))
-        new = new.select("a", "b").distinct().join(compared, ["a", "b"], "left_anti")
-        new = scratch.write(new, f"pairs-{i}")
-        found = scratch.write(_links(new, texts, weights, threshold), f"links-{i}")
-        compared, before = compared.union(new), links
-        links = before.union(found)
-        if not last and found.limit(1).count() == 0:
-            last = True  # new leaders find nothing: what is left is compared in full
-            others = labelled.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
-            new = minor.join(others, "bucket").filter("comp <> comp2 and (comp2 = top or rep < rep2)").select(F.least("rep", "rep2").alias("b"), F.greatest("rep", "rep2").alias("a"))
-            new = scratch.write(new.select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"), "pairs-all")
-            links = links.union(scratch.write(_links(new, texts, weights, threshold), "links-all"))
+    comps = components(links, scratch, "comps-0")
+
+    members, _ = _mixed(buckets, comps, scratch, "mixed-1")
+    smallest = members.filter("comp <> top").groupBy("bucket").agg(F.min("rep").alias("second"))
+    new = members.filter("comp <> top").join(smallest, "bucket").select("rep", F.explode(F.array("leader", "second")).alias("other")).filter("rep <> other")
+    new = new.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
+    second = scratch.write(new.join(pairs, ["a", "b"], "left_anti"), "pairs-1")
+    links = links.union(scratch.write(_links(second, texts, weights, threshold), "links-1"))
+    comps = components(links, scratch, "comps-1")
+
+    members, _ = _mixed(members.select("rep", "bucket"), comps, scratch, "mixed-2")
+    apart = scratch.write(members.select("rep", "comp").distinct(), "apart")
+    new = _prefix_pairs(apart, texts, weights, threshold, scratch)
+    last = scratch.write(new.join(pairs.union(second), ["a", "b"], "left_anti"), "pairs-2")
+    found = scratch.write(_links(last, texts, weights, threshold), "links-2")
+    if found.limit(1).count():
+        comps = components(links.union(found), scratch, "comps-2")
     scratch.drop("texts")
     of = reps.select("content", "rep").join(comps, "rep", "left").select("content", F.coalesce("comp", "rep").alias("class"))
     out = signed.select("doc_id", "content").join(of, "content", "left")

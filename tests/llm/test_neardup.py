@@ -86,13 +86,24 @@ def test_samples_estimate_weighted_jaccard():
 def test_classes_are_those_of_all_pairs(spark, monkeypatch):
     docs = corpus()
     want = brute(docs)
-    for left in (2, 0):
-        monkeypatch.setattr(neardup, "PAIRS_LEFT", left)
+    for part in (neardup.PART, 5):
+        monkeypatch.setattr(neardup, "PART", part)
         got = neardup.classes(frame(spark, docs), Scratch(spark, "t")).collect()
         assert sorted((r.doc_id, r.class_id) for r in got if r.doc_id is not None) == want
         assert len(got) == len(docs)
 
 
+def test_prefixes_lose_no_pair(spark):
+    docs = [(k, t) for k, t in corpus() if k and k >= 1000]
+    texts = spark.createDataFrame(docs, "rep long, text string")
+    apart = texts.select("rep", (texts.rep / 1).cast("long").alias("comp"))
+    weights = spark.sparkContext.broadcast(neardup.Frequencies(len(docs), {}))
+    met = {(r.a, r.b) for r in neardup._prefix_pairs(apart, texts, weights, 0.8, Scratch(spark, "t")).collect()}
+    bags = {k: bag(t) for k, t in docs}
+    similar = {(max(i, j), min(i, j)) for i, j in combinations(bags, 2) if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())}
+    assert similar <= met and len(met) < len(docs) ** 2 / 4
+
+
 def test_deduplicate(spark):
     docs = corpus() + [(None, "no key"), (None, "tie"), (None, None)]
     df = frame(spark, docs)
