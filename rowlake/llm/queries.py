@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlake.llm import chat, decontaminate, neardup, packing, quality, resample, secrets, token_binary, tokens, toxicity
+from rowlake.llm import chat, decontaminate, neardup, packing, quality, resample, secrets, token_binary, tokens, toxicity, warc
 from rowlake.llm.common import Scratch
 
 
@@ -30,6 +30,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "op4").path("archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "state")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(_table(spark, sf_dir, "documents"), Scratch(spark, "op5"), tokens.vocabulary())
     digests = pieces.select("task", "nth", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
