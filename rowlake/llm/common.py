@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Scratch tables of so many earlier calls stay, as their lazy results may still be read.
-KEEP_CALLS = 3
+KEEP_CALLS = 12
 _calls: deque[list[tuple[SparkSession, str]]] = deque()
 
 
