@@ -13,9 +13,10 @@ of POOL triples by hash. Texts that agree in all samples of a band meet in a buc
 against its leader, its smallest doc_id, so a group of n near copies costs n comparisons; links merge into components.
 Buckets that hold several then get a second round: their minor components are held against a leader drawn from the
 largest one, and against the first of themselves. What is still apart is settled exactly and without all pairs, by
-prefixes: shingles are ordered by how few of the texts at issue have them, and two texts of similarity THRESHOLD must
-share one among the first that make up more than 1 - THRESHOLD of either's weight. Texts of different components that do
-are compared. So a pair of a bucket is left out only if its texts are in one component, or are proven apart. A pair
+prefixes: shingles are ordered by how few of the texts at issue have them, and of two texts of similarity THRESHOLD the
+first shingle in this order that both have lies within the first 1 - THRESHOLD of the heavier one's weight, within the
+first (1 - THRESHOLD) / (1 + THRESHOLD) of the lighter one's, and with enough weight behind it in both for the overlap
+that such a similarity needs. Texts of different components for which that holds are compared. So a pair of a bucket is left out only if its texts are in one component, or are proven apart. A pair
 counts if its exact weighted Jaccard similarity is THRESHOLD or more.
 
 The driver sees the sketch (a fixed size) and counts, never documents, links or components. Tables that are read again
@@ -312,18 +313,23 @@ def _prefix_pairs(apart: DataFrame, texts: DataFrame, weights, threshold: float,
             items = np.frombuffer(b"".join(raw), _ITEM)
             items = items[np.lexsort((items["hash"], items["texts"]))]
             total = np.cumsum(items["weight"].astype(float))
-            n = int(np.searchsorted(total, (1 - threshold) * total[-1] + 1e-6, side="right")) + 1
-            mine = items["hash"][:n][items["mixed"][:n]].view(np.int64)
-            yield pa.RecordBatch.from_pydict({"rep": pa.array(np.full(len(mine), rep, np.int64)), "comp": pa.array(np.full(len(mine), comps[0], np.int64)), "shingle": pa.array(mine)})
+            n = int(np.searchsorted(total, (1 - threshold) * total[-1] + 1e-4, side="right")) + 1
+            kept = np.flatnonzero(items["mixed"][:n])
+            full = lambda x, kind: pa.array(np.full(len(kept), x, kind))
+            yield pa.RecordBatch.from_pydict({"rep": full(rep, np.int64), "comp": full(comps[0], np.int64), "shingle": pa.array(items["hash"][kept].view(np.int64)), "weight": full(total[-1], np.float64), "behind": pa.array(total[-1] - total[kept] + items["weight"][kept])})
 
     kind = "rep long, comp long, items binary"
     rows = apart.join(texts, "rep").select("rep", "comp", "text").mapInArrow(spread, f"part int, {kind}")
     rows = rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, kind)
-    rows = rows.repartition("rep").sortWithinPartitions("rep").mapInArrow(prefixes, "rep long, comp long, shingle long")
+    rows = rows.repartition("rep").sortWithinPartitions("rep").mapInArrow(prefixes, "rep long, comp long, shingle long, weight double, behind double")
     rows = scratch.write(rows, "prefixes")
-    other = rows.toDF("rep2", "comp2", "shingle")
-    met = rows.join(other, "shingle").filter("comp <> comp2 and rep < rep2")
-    return met.select(F.col("rep2").alias("a"), F.col("rep").alias("b")).distinct()
+    # behind: the weight of the shingle and those after it. The lighter text is the left side of the join.
+    least = threshold / (1 + threshold)
+    light = rows.filter(F.col("behind") >= 2 * least * F.col("weight") - 1e-4)
+    heavy = rows.toDF("rep2", "comp2", "shingle", "weight2", "behind2")
+    order = "(weight < weight2 or (weight = weight2 and rep < rep2))"
+    met = light.join(heavy, "shingle").filter(f"comp <> comp2 and {order} and least(behind, behind2) >= {least!r}D * (weight + weight2) - 1e-4D")
+    return met.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -361,6 +367,7 @@ def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     if found.limit(1).count():
         comps = components(links.union(found), scratch, "comps-2")
     scratch.drop("texts")
+    scratch.drop("texts")
     of = reps.select("content", "rep").join(comps, "rep", "left").select("content", F.coalesce("comp", "rep").alias("class"))
     out = signed.select("doc_id", "content").join(of, "content", "left")
     return out.select("doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("class")).alias("class_id"), "content")
