@@ -367,7 +367,6 @@ def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     if found.limit(1).count():
         comps = components(links.union(found), scratch, "comps-2")
     scratch.drop("texts")
-    scratch.drop("texts")
     of = reps.select("content", "rep").join(comps, "rep", "left").select("content", F.coalesce("comp", "rep").alias("class"))
     out = signed.select("doc_id", "content").join(of, "content", "left")
     return out.select("doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("class")).alias("class_id"), "content")

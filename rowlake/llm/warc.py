@@ -4,10 +4,10 @@ Writing: a page becomes a response record of an HTTP message. Of pages with equa
 bytes only that with the smallest page_id carries it; the others become revisit records that refer to it. A payload of
 more than CHUNKED bytes goes in chunked transfer coding, and a block of more than `segment` bytes is cut into a first
 record and continuation records, with segment numbers, the origin's record id and the total length. Spark's text
-writer sets the records' closing CRLF CRLF, so every file is a plain WARC file.
+writer sets the records' closing CRLF CRLF, so every file is a gzipped WARC file; one task writes one file.
 
-Reading: the files are split at CRLF CRLF WARC/1.1 CRLF, so that large files are read in parallel. The writer keeps that
-string out of the inside of records (a payload that has it is chunked within it). Continuation records are grouped by
+Reading: a file is cut at CRLF CRLF WARC/1.1 CRLF by Spark's text reader, one record at a time; being gzipped, a file is
+read by one task. The writer keeps that string out of the inside of records (a payload that has it is chunked within it). Continuation records are grouped by
 origin, ordered by segment number and checked against the total length; then the chunks are decoded and the payload
 digest is verified. A group is the segments of one page. Payloads are written once, by their smallest page; equal
 payloads never meet in one task, only their digests are grouped, with partial minima.
@@ -145,24 +145,24 @@ def _write(segment: int, min_revisit: int):
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit: int = 0, segment: int = SEGMENT) -> None:
-    """Writes the pages as WARC files below path."""
+    """Writes the pages as gzipped WARC files below path."""
     body = F.coalesce(F.col(f"`{payload}`").cast("string").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(f"`{key}`").cast("long").alias("page"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("body"), F.octet_length(body).cast("long").alias("length"), F.sha1(body).alias("digest"))
-    same = ["digest", "length"]
-    firsts = rows.filter(F.col("length") >= min_revisit).groupBy(*same).agg(F.min("page").alias("origin"), F.count("*").alias("n"))
-    many = firsts.filter("n > 1")
-    held = rows.join(firsts.select(*same, "origin", "n"), same, "left")
-    small = held.filter("n is null")
-    single = held.filter("n = 1")
-    group = held.filter("n > 1 and page <=> origin").dropDuplicates(same)
-    full = small.unionByName(single).unionByName(group).select("page", "url", "body", "length", "digest", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("origin"))
-    narrow = rows.drop("body").join(many, same)
+    page = F.col(f"`{key}`").cast("long")
+    rows = pages.select(page.alias("page"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("body"), F.octet_length(body).cast("long").alias("length"), F.sha1(body).alias("digest"))
+    same, fresh = ["digest", "length"], [F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("origin")]
+    row = F.concat_ws("/", F.coalesce(F.col("page").cast("string"), F.lit("-")), "digest").alias("row")
+    narrow = rows.filter(F.col("length") >= min_revisit).drop("body")
+    firsts = narrow.groupBy(*same).agg(F.min("page").alias("page"), F.count("*").alias("n"))
+    # payloads move once, to their own page and digest
+    full = rows.filter(F.col("length") >= min_revisit).withColumn("row", row).join(firsts.select(row), "row", "left_semi").dropDuplicates(["row"])
+    full = full.select("page", "url", "body", *reversed(same), *fresh).unionByName(rows.filter(F.col("length") < min_revisit).select("page", "url", "body", *reversed(same), *fresh))
+    narrow = narrow.join(firsts.filter("n > 1").withColumnRenamed("page", "origin"), same)
     later = narrow.filter("not page <=> origin").select("page", "url", "length", "digest", "origin")
     again = narrow.filter("page <=> origin").groupBy("page", "length", "digest", "origin").agg(F.count("*").alias("k"), F.min("url").alias("url")).filter("k > 1")
     again = again.select("page", "url", "length", "digest", "origin", F.explode(F.sequence(F.lit(2), F.col("k")))).drop("col")
     revisits = later.unionByName(again).select("page", "url", F.lit(None).cast("binary").alias("body"), "length", "digest", F.lit(True).alias("revisit"), "origin")
     records = full.unionByName(revisits).mapInArrow(_write(segment, min_revisit), "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 _PARSED = "record_id string, type string, page_id long, refers_to long, digest string, number int, origin string, total long, block binary"
