@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Scratch tables of so many earlier calls stay, as their lazy results may still be read.
 KEEP_CALLS = 12
+#: Rows in one batch for Python, unless the session has another number: texts are long.
+BATCH_ROWS = 1000
 _calls: deque[list[tuple[SparkSession, str]]] = deque()
 
 
@@ -41,6 +43,9 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if spark.conf.get(key) == "10000":
+            spark.conf.set(key, BATCH_ROWS)
         self.spark, self.base = spark, f"{shared_dir(spark)}/rowlake/{name}-{uuid.uuid4().hex[:12]}"
         _calls.append([(spark, self.base)])
         while len(_calls) > KEEP_CALLS:

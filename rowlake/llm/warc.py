@@ -123,7 +123,7 @@ def _write(segment: int, min_revisit: int):
         for batch in batches:
             out: list[bytes] = []
             size = 0
-            for page, url, payload, length, digest, revisit, origin_page in zip(*(c.to_pylist() for c in batch.columns)):
+            for page, url, payload, length, digest, revisit, origin_page in (tuple(x.as_py() for x in r) for r in zip(*batch.columns)):
                 row += 1
                 if not row - 1:
                     out.append(_record({"WARC-Type": "warcinfo", "WARC-Record-ID": record_id("info", task, digest, page), "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))
@@ -135,7 +135,7 @@ def _write(segment: int, min_revisit: int):
                     own = record_id(page, digest) if length >= min_revisit else record_id(page, digest, task, row)
                     out += response_records(page, url, payload, own, segment)
                 size += len(payload or b"")
-                if size > 1 << 23:
+                if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                     out, size = [], 0
             if out:
@@ -165,9 +165,6 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-_PARSED = "record_id string, type string, page_id long, refers_to long, digest string, number int, origin string, total long, block binary"
-
-
 def parse_record(raw: bytes) -> tuple:
     """A record without the end or beginning that the reader has cut off."""
     raw = raw.removeprefix(START)
@@ -190,44 +187,63 @@ def decode_http(block: bytes) -> tuple[bytes, int]:
     return body, int(told[1]) if told else len(body)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["record_id", "type", "page_id", "refers_to", "digest", "number", "origin", "total", "block"]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
-    for batch in batches:
-        rows = [parse_record(x) for x in batch.column(0).to_pylist() if x]
-        rows = [r for r in rows if r[1] != "warcinfo"]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+_KINDS = [("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("state", pa.string())]
+_SEGMENTS = [("id", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]
+_OUT = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, state string"
+
+
+def _packed(rows: list[tuple], kinds: list) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoded(page, kind: str, refers, told: str, block: bytes, complete: bool = True) -> tuple:
+    if not complete:
+        return page, kind, refers, None, told, None, "incomplete"
+    payload, length = decode_http(block)
+    if kind == "revisit":
+        return page, kind, refers, length, told, None, "ok"
+    digest = base32_sha1(payload)
+    return page, kind, refers, length, digest, payload, "ok" if told in ("", digest) and length == len(payload) else "damaged"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records that are whole are decoded; segments go on as they are."""
     for batch in batches:
-        payloads, lengths, digests, states = [], [], [], []
-        for kind, digest, complete, block in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5))):
-            payload, length, state = None, None, "ok"
-            if not complete:
-                state = "incomplete"
-            elif kind == "revisit":
-                length = decode_http(block)[1]
+        rows: list[tuple] = []
+        size = 0
+        for raw in batch.column(0):
+            raw = raw.as_py()
+            if not raw:
+                continue
+            own, kind, page, refers, digest, number, origin, total, block = parse_record(raw)
+            if kind == "warcinfo":
+                continue
+            size += len(block)
+            if number is None:
+                rows.append((*_decoded(page, kind, refers, digest, block), None, None, None, None))
             else:
-                payload, length = decode_http(block)
-                told, digest = digest, base32_sha1(payload)
-                state = "ok" if told in ("", digest) and length == len(payload) else "damaged"
-            payloads.append(payload)
-            lengths.append(length)
-            digests.append(digest)
-            states.append(state)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lengths, pa.int64()), pa.array(digests, pa.string()), pa.array(payloads, pa.binary()), pa.array(states, pa.string())], names=["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "state"])
+                rows.append((page, "response", None, None, digest, None, None, origin or own, number, total, block))
+            if size > 1 << 22:
+                yield from _packed(rows, _KINDS + _SEGMENTS)
+                rows, size = [], 0
+        yield from _packed(rows, _KINDS + _SEGMENTS)
+
+
+def _join_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for page, digest, complete, block in zip(*(c.to_pylist() for c in batch.columns)):
+            yield from _packed([_decoded(page, "response", None, digest, block, complete)], _KINDS)
 
 
 def read_archives(spark, path: str) -> DataFrame:
     """One row per response or revisit: page_id, record_type, refers_to, payload_bytes, payload_digest, payload and state (ok, incomplete, damaged)."""
     lines = spark.read.option("lineSep", BETWEEN.decode()).text(path).select(F.col("value").cast("binary"))
-    parsed = lines.mapInArrow(_parse, _PARSED)
-    whole = parsed.filter("number is null").select("page_id", "type", "refers_to", "digest", F.lit(True).alias("complete"), "block")
-    cut = parsed.filter("number is not null").groupBy(F.coalesce("origin", "record_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("number", "page_id", "digest", "total", "block"))).alias("s"))
+    records = lines.mapInArrow(_read, f"{_OUT}, id string, number int, total long, block binary")
+    whole = records.filter("number is null").drop("id", "number", "total", "block")
+    cut = records.filter("number is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("number", "page_id", "payload_digest", "total", "block"))).alias("s"))
     joined = F.expr("aggregate(s, cast('' as binary), (a, x) -> concat(a, x.block))")
     ordered = F.expr("transform(s, x -> x.number) = transform(s, (x, i) -> i + 1)")
-    cut = cut.select(F.col("s")[0]["page_id"].alias("page_id"), F.lit("response").alias("type"), F.lit(None).cast("long").alias("refers_to"), F.col("s")[0]["digest"].alias("digest"), joined.alias("block"), ordered.alias("ordered"), F.element_at("s", -1)["total"].alias("total"))
-    cut = cut.select("page_id", "type", "refers_to", "digest", F.coalesce(F.col("ordered") & (F.octet_length("block") == F.col("total")), F.lit(False)).alias("complete"), "block")
-    return whole.unionByName(cut).mapInArrow(_decode, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, state string")
+    cut = cut.select(F.col("s")[0]["page_id"].alias("page"), F.col("s")[0]["payload_digest"].alias("digest"), ordered.alias("ordered"), F.element_at("s", -1)["total"].alias("total"), joined.alias("block"))
+    cut = cut.select("page", "digest", F.coalesce(F.col("ordered") & (F.octet_length("block") == F.col("total")), F.lit(False)).alias("complete"), "block")
+    return whole.unionByName(cut.mapInArrow(_join_segments, _OUT))
