@@ -59,7 +59,7 @@ def read_parquet(spark: SparkSession, source: str, payload_schema=None, **_) ->
 @register_reader("txt")
 def read_txt(spark: SparkSession, source: str, paragraphs: bool = False, **_) -> DataFrame:
     """source_path, line_no (or chunk_index of blank-line paragraphs) and text; one row a file is split in its own task."""
-    files = spark.read.option("wholetext", True).text(source).select(F.col("_metadata.file_path").alias("source_path"), F.col("value"))
+    files = spark.read.text(source, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.col("value"))
     if paragraphs:
         parts = F.filter(F.transform(F.split("value", r"\r?\n\s*\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
         return files.select("source_path", F.posexplode(parts).alias("chunk_index", "text"))

@@ -58,8 +58,8 @@ def _sessions(rows: DataFrame, keys: list[Column], names: list[str], value: str
     x = number(rows, value) if value else F.lit(None).cast("double")
     at = F.timestamp_millis("__ts")
     timed = rows.select(*keys, at.alias("__at"), "__ts", x.alias("__x"))
-    # session_window merges events whose distance is less than its gap: one ms more makes it "up to gap_ms"
-    sessions = timed.groupBy(F.session_window("__at", f"{gap_ms + 1} milliseconds").alias("w"), *(col(c) for c in names))
+    # session_window also merges events that lie just its gap apart
+    sessions = timed.groupBy(F.session_window("__at", f"{gap_ms} milliseconds").alias("w"), *(col(c) for c in names))
     out = sessions.agg(F.min("__ts").alias("window_start_ms"), (F.max("__ts") + 1).alias("window_end_ms"), F.count("*").alias("count"), F.coalesce(F.sum("__x"), F.lit(0.0)).alias("sum"), F.avg("__x").alias("avg"))
     return out.select("window_start_ms", "window_end_ms", *(col(c) for c in names), "count", "sum", "avg")
 
