@@ -72,5 +72,51 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+#: Words of op9, and the normal form of a line of op7.
+_WORDS9 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORDS7 = r"'[^\x20\x09-\x0D]+'"
+
+_OP9 = f"""
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS9} AS w FROM benchmark),
+wins AS (SELECT item, list_aggregate(w[i : i + 9], 'string_agg', ' ') AS win, least(len(w), 10) AS size FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) WHERE len(w) > 0),
+items AS (SELECT win, size, list(DISTINCT item) AS names FROM wins GROUP BY 1, 2), sizes AS (SELECT DISTINCT size FROM items),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS9} AS w FROM documents),
+p AS (SELECT r, size, i, list_aggregate(w[i : i + size - 1], 'string_agg', ' ') AS win FROM d, sizes, unnest(range(1, len(w) - size + 2)) t(i) WHERE len(w) >= size),
+h AS (SELECT r, i, p.size, names FROM p JOIN items USING (win, size)),
+n AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS k FROM h) GROUP BY 1),
+m AS (SELECT r, list_sort(list(DISTINCT x)) AS names FROM (SELECT r, unnest(names) AS x FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(names), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)"""
+
+_OP7 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORDS7}) AS w FROM documents),
+win AS (SELECT r, i, w[i : i + 7] AS x FROM d, unnest(range(1, len(w) - 6)) t(i) WHERE len(w) >= 8),
+twice AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, x) AS c FROM win) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS k FROM twice) GROUP BY 1),
+line AS (SELECT r, host, text, x, regexp_extract_all(x, {_WORDS7}) AS lw FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS x FROM d)),
+full_ AS (SELECT *, regexp_replace(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS k FROM line WHERE len(lw) > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM full_ GROUP BY 1),
+hosts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY 1),
+often AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT text) AS c FROM full_ GROUP BY 1, 2) JOIN hosts USING (host) WHERE c > {quality.MIN_DOCS} AND c > {quality.MAX_SHARE} * n),
+gone AS (SELECT r, sum(len(lw)) AS n FROM full_ JOIN often USING (host, k) GROUP BY 1),
+base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_removed_words <= n_words * {quality.MAX_LOSS} AS kept FROM base"""
+
+_OP6 = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss, length(text) + length(text) - length(replace(text, chr(92), ''))
+  + length(text) - length(replace(text, '<|', '<')) + length(text) - length(replace(text, '|>', '>')) + (length(text) - length(replace(text, '<s>', ''))) // 3 + (length(text) - length(replace(text, '</s>', ''))) // 4
+  + (length(text) - length(replace(text, '[INST]', ''))) // 6 + (length(text) - length(replace(text, '[/INST]', ''))) // 7 + (length(text) - length(replace(text, '<<SYS>>', ''))) // 7 + (length(text) - length(replace(text, '<</SYS>>', ''))) // 8 + length(role) + 13 AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY 1"""
+
+
+_OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY 1),
+b AS (SELECT page_id, first, CAST(strlen(h) AS BIGINT) AS payload_bytes, CAST(CAST(unhex(sha1(h)) AS BIT) AS VARCHAR) AS bits FROM p JOIN f USING (h))
+SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(bits[i + 1] AS INTEGER) + 8 * CAST(bits[i + 2] AS INTEGER) + 4 * CAST(bits[i + 3] AS INTEGER) + 2 * CAST(bits[i + 4] AS INTEGER) + CAST(bits[i + 5] AS INTEGER) AS BIGINT), 1) FOR i IN range(0, 160, 5)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, 'ok' AS state FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express an operator; the others are tested against plain versions, round trips or held-out rows."""
+    return {"op4_warc": _OP4, "op6_chat_format": _OP6, "op7_quality_rules": _OP7, "op9_decontamination": _OP9}
