@@ -157,3 +157,18 @@ def regression_columns(df: DataFrame, group_by: list[str], x: str, y: str) -> Da
     """count, correlation, slope and intercept of each group."""
     a, b = number(df, x), number(df, y)
     return df.groupBy(*(col(c) for c in group_by)).agg(F.regr_count(b, a).alias("n"), F.corr(a, b).alias("correlation"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"))
+
+
+def build_index(df: DataFrame, path: str, key: str, text: str, metadata: list[str] = (), shards: int = 8, mode: str = "replace") -> None:
+    """A sharded table of id, text, metadata and shard; replace or append."""
+    rows = df.filter((vts(col(key)) != "") & (vts(col(text)) != "")).select(vts(col(key)).alias("id"), vts(col(text)).alias("text"), *(col(c) for c in metadata))
+    rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).write.mode("overwrite" if mode == "replace" else "append").partitionBy("shard").parquet(path)
+
+
+def search_index(spark, path: str, queries: DataFrame, where: dict | None = None, top_k: int = 5, shards: list[int] | None = None) -> DataFrame:
+    """Cosine search of an index; `where` filters metadata, `shards` prunes folders."""
+    index = spark.read.parquet(path)
+    index = index.filter(col("shard").isin(shards)) if shards else index
+    for c, v in (where or {}).items():
+        index = index.filter(vts(col(c)) == str(v))
+    return vector_search(term_frequencies(index, "id", "text"), term_frequencies(queries, "id", "text"), top_k)
