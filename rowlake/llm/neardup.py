@@ -265,9 +265,18 @@ def _mixed(buckets: DataFrame, comps: DataFrame, scratch: Scratch, name: str) ->
 _ITEM = np.dtype([("hash", "<u8"), ("weight", "<f4"), ("texts", "<u4"), ("mixed", "?")])
 
 
+def _even_names(spark, n: int) -> np.ndarray:
+    """n numbers that Spark's hash deals to n partitions, one to each."""
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+    found = spark.range(40 * n).groupBy(place.alias("p")).agg(F.min("id").alias("id")).collect()
+    names = [r.id for r in found]
+    return np.array(names + [40 * n + i for i in range(n - len(names))], np.int64)
+
+
 def _prefix_pairs(apart: DataFrame, texts: DataFrame, weights, threshold: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different components that can be similar enough, of apart (rep, comp), by prefixes of rare shingles."""
     parts = max(8, -(-apart.count() // PART))
+    names = _even_names(apart.sparkSession, parts)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = weights.value
@@ -285,7 +294,7 @@ def _prefix_pairs(apart: DataFrame, texts: DataFrame, weights, threshold: float,
                 first = np.flatnonzero(np.diff(key, prepend=-1))
                 ends = np.append(first, len(key))[1:]
                 at = key[first]
-                yield pa.RecordBatch.from_pydict({"part": pa.array(at % parts, pa.int32()), "rep": pa.array(reps[a + at // parts]), "comp": pa.array(comps[a + at // parts]), "items": pa.array([items[x:y].tobytes() for x, y in zip(first, ends)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array(names[at % parts], pa.int32()), "rep": pa.array(reps[a + at // parts]), "comp": pa.array(comps[a + at // parts]), "items": pa.array([items[x:y].tobytes() for x, y in zip(first, ends)], pa.binary())})
 
     def grouped(batches: Iterator[pa.RecordBatch]):
         """Consecutive rows of one key: the key, and their other columns."""
