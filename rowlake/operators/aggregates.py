@@ -136,6 +136,13 @@ def verify_exact(df: DataFrame, group_by: list[str], aggregates: list[dict]) ->
     return a.crossJoin(b).withColumn("row_count_delta", F.col("exact_groups") - F.col("groups"))
 
 
+def chart_first_seen(df: DataFrame, order_by: str, category: str = "category", series: str = "series", value: str = "value") -> DataFrame:
+    """category, series, value and the places of both in order of their first rows."""
+    sums = df.groupBy(vts(col(category)).alias("category"), vts(col(series)).alias("series")).agg(F.coalesce(F.sum(number(df, value)), F.lit(0.0)).alias("value"), F.min(col(order_by)).alias("__first"))
+    place = lambda c: sums.groupBy(c).agg(F.min("__first").alias("__f")).select(c, F.row_number().over(Window.orderBy("__f", c)).alias(f"{c}_order"))  # noqa: E731  a row for each value
+    return sums.drop("__first").join(place("category"), "category").join(place("series"), "series")
+
+
 def chart_data(df: DataFrame, category: str, series: str, value: str, top_n: int = 100) -> DataFrame:
     """category, series, value: sums over every pair of a kept category and a series, 0 where there are none."""
     sums = df.groupBy(vts(col(category)).alias("category"), vts(col(series)).alias("series")).agg(F.coalesce(F.sum(number(df, value)), F.lit(0.0)).alias("value"))

@@ -234,3 +234,39 @@ def clean_finance(df: DataFrame, digits: int = 2, drop_negative: bool = False, l
 def normalize_schema(df: DataFrame, fields: list[str], defaults: dict | None = None) -> DataFrame:
     """Adds the absent fields, from defaults or null; what is there stays."""
     return df.withColumns({c: F.lit((defaults or {}).get(c)) if (defaults or {}).get(c) is not None else F.lit(None).cast("string") for c in fields if c not in df.columns})
+
+
+def clean_generic(df: DataFrame, rules: Rules | dict, order_by: list[str]) -> DataFrame:
+    """The other order of stages: projection before defaults, computed fields and text operations before casts, and required fields and filters last before deduplication.
+
+    Null tokens are null, none, na and n/a unless given; a failed cast drops the row; the sort is typed, nulls last ascending and first descending.
+    """
+    r = rules if isinstance(rules, Rules) else Rules.of(rules)
+    out = prepare(df, Rules(rename_map=r.rename_map, null_values=r.null_values or ["null", "none", "na", "n/a"], trim_strings=r.trim_strings)).drop(STATUS)
+    out = out.select(*(col(c) for c in r.include_fields if c in out.columns)) if r.include_fields else out
+    out = prepare(out.drop(*r.exclude_fields), Rules(default_values=r.default_values, trim_strings=False)).drop(STATUS)
+    for c in sorted(r.computed_fields):
+        out = out.withColumn(c, mini_expression(out, r.computed_fields[c]))
+    for spec in r.string_ops:
+        out = string_op(out, spec)
+    out = prepare(out, Rules(casts=r.casts, trim_strings=False)).filter(F.col(STATUS) == "ok").drop(STATUS)
+    for step, specs in ((date_op, r.date_ops), (field_op, r.field_ops)):
+        for spec in specs:
+            out = step(out, spec)
+    out = prepare(out, Rules(required_fields=r.required_fields, filters=r.filters, trim_strings=False)).filter(F.col(STATUS) == "ok").drop(STATUS)
+    out = deduplicate(out, r.deduplicate_by, order_by, r.deduplicate_keep) if r.deduplicate_by else out
+    keys = [(k, "asc") if isinstance(k, str) else (k["field"], str(k.get("order", "asc")).lower()) for k in r.sort_by]
+    return out.orderBy(*(col(k).desc_nulls_first() if way == "desc" else col(k).asc_nulls_last() for k, way in keys)) if keys else out
+
+
+def transform_chunks(df: DataFrame, rules: Rules | dict, order_by: str, size: int = 2000, after=None, done: int = -1, most: int | None = None) -> tuple[DataFrame, dict]:
+    """The transform of chunks of consecutive rows, resumed behind chunk `done`: each row keeps its chunk_id, deduplication is within chunks. Also {last_chunk, has_more}."""
+    from rowlake.streaming.windows import chunk_ids
+
+    numbered = chunk_ids(df, order_by, size, after)
+    last = numbered.agg(F.max("chunk_id")).first()[0]
+    last = -1 if last is None else last
+    end = last if most is None else min(last, done + most)
+    r = rules if isinstance(rules, Rules) else Rules.of(rules)
+    within = Rules(**{**r.__dict__, "deduplicate_by": [*r.deduplicate_by, "chunk_id"] if r.deduplicate_by else []})
+    return transform(numbered.filter((F.col("chunk_id") > done) & (F.col("chunk_id") <= end)), within, [order_by]).df, {"last_chunk": end, "has_more": end < last}

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowlake.functions.values import money
 from rowlake.operators import aggregates as agg
-from rowlake.operators import filters, intelligence, joins, quality, sketches, text, transform, windows
+from rowlake.operators import enrichment, filters, intelligence, joins, quality, sketches, text, transform, windows
+from rowlake.plans import rules as plan_rules
+from rowlake.plans import workflow
+from rowlake.sources import load, tables
 from rowlake.streaming import windows as streams
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -500,3 +506,134 @@ def _(li):
 def _(e):
     out = intelligence.rank_evidence(e.filter("value is not null").select("event_id", F.col("value").alias("relevance"), F.col("ts").alias("published_at")), "2024-02-01 00:00:00")
     return _r(out, "rank_score", digits=6).select("event_id", "rank_score")
+
+
+# Sources, plans and streams
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share; a local one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rowlake-")
+    return f"{base.rstrip('/')}/rowlake-tables/{uuid.uuid4().hex[:12]}"
+
+
+@query("parquet_roundtrip", "nation", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
+def _(n):
+    path = _folder(n.sparkSession)
+    tables.write_parquet(n, path, ["n_regionkey"], "zstd")
+    return tables.read_parquet(n.sparkSession, path, ["n_nationkey", "n_name", "n_regionkey"], {"n_regionkey": 2})
+
+
+@query("jsonl_roundtrip", "region", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+def _(r):
+    path = _folder(r.sparkSession) + ".jsonl"
+    load.save(r, path)
+    return load.load(r.sparkSession, path).select("r_regionkey", "r_name")
+
+
+@query("merge_small", "region", "SELECT r_regionkey, r_name FROM region")
+def _(r):
+    path = _folder(r.sparkSession)
+    r.repartition(4).write.parquet(path)
+    tables.merge_small(r.sparkSession, path, path + "-merged")
+    return r.sparkSession.read.parquet(path + "-merged")
+
+
+@query("aggregate_pushdown", "orders", "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
+def _(o):
+    o.createOrReplaceTempView("rowlake_orders")
+    return load.aggregate_pushdown(o.sparkSession, "rowlake_orders", ["o_orderstatus"], [{"op": "count", "as": "n"}, {"op": "max", "field": "o_totalprice", "as": "top"}], "o_totalprice > 1000")
+
+
+@query("feature_upsert", "customer", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer")
+def _(c):
+    old = c.select("c_custkey", "c_acctbal", F.lit(0).alias("version"))
+    new = old.filter("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    return tables.upsert_features(old, new, "c_custkey", "version").select("c_custkey", "c_acctbal")
+
+
+@query("schema_migration", "part", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CAST(p_size AS DOUBLE) AS p_size, CAST(NULL AS BIGINT) AS p_brand, CAST(NULL AS VARCHAR) AS extra FROM part")
+def _(p):
+    steps = tables.suggest_migration({"p_partkey": "int_like", "p_size": "int", "p_brand": "string", "extra": "string"}, {"p_partkey": "string", "p_size": "float", "p_brand": "int"})
+    return tables.migrate(p.select("p_partkey", "p_size", "p_brand"), steps)
+
+
+@query("normalize_schema", "region", "SELECT r_regionkey, r_name, 'x' AS tag, CAST(NULL AS VARCHAR) AS note FROM region")
+def _(r):
+    return transform.normalize_schema(r, ["r_name", "tag", "note"], {"tag": "x"})
+
+
+@query("rules_dsl", "part", "SELECT p_partkey, p_brand AS brand, CAST(p_size AS DOUBLE) AS p_size FROM part WHERE p_size >= 10 AND trim(p_name) <> ''")
+def _(p):
+    rules = plan_rules.compile_rules("rename p_brand -> brand\ncast p_size: float\nrequired p_name\nfilter p_size >= 10\nfilter p_type != 'nothing'  # a comment")
+    return transform.transform(p, rules).df.select("p_partkey", "brand", "p_size")
+
+
+@query("workflow_dag", "orders", "SELECT o_orderstatus, o_orderkey, t FROM (SELECT o_orderstatus, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_orderstatus), 2) AS t FROM orders WHERE o_totalprice > 100000)")
+def _(o):
+    nodes = [{"id": "keep", "type": "transform_rows", "config": {"rules": {"filters": [{"field": "o_totalprice", "op": "gt", "value": 100000}]}}}, {"id": "sums", "type": "aggregate_rows", "config": {"group_by": ["o_orderstatus"], "aggregates": [{"op": "sum", "field": "o_totalprice", "as": "t"}]}}, {"id": "both", "type": "join_rows", "config": {"input_map": {"left": "$keep", "right": "$sums"}, "left_on": "o_orderstatus", "right_on": "o_orderstatus"}}]
+    out = workflow.run({"nodes": nodes, "edges": [{"from": "keep", "to": "sums"}, {"from": "keep", "to": "both"}, {"from": "sums", "to": "both"}]}, {"rows": o})
+    return _r(out["outputs"]["both"], "t", digits=2).select("o_orderstatus", "o_orderkey", "t")
+
+
+@query("chart_first_seen", "orders", """
+WITH s AS (SELECT o_orderpriority AS category, o_orderstatus AS series, round(sum(o_totalprice), 2) AS value, min(o_orderkey) AS f FROM orders GROUP BY 1, 2), c AS (SELECT category, CAST(row_number() OVER (ORDER BY min(f), category) AS INTEGER) AS category_order FROM s GROUP BY 1), t AS (SELECT series, CAST(row_number() OVER (ORDER BY min(f), series) AS INTEGER) AS series_order FROM s GROUP BY 1)
+SELECT category, series, value, category_order, series_order FROM s JOIN c USING (category) JOIN t USING (series)""")
+def _(o):
+    return _r(agg.chart_first_seen(o, "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"), "value", digits=2)
+
+
+@query("transform_chunks", "orders", "SELECT o_orderkey, chunk_id FROM (SELECT o_orderkey, o_custkey, chunk_id, row_number() OVER (PARTITION BY chunk_id, o_custkey ORDER BY o_orderkey DESC) AS rn FROM (SELECT *, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS BIGINT) AS chunk_id FROM orders)) WHERE rn = 1 AND chunk_id IN (1, 2)")
+def _(o):
+    return transform.transform_chunks(o, {"deduplicate_by": ["o_custkey"]}, "o_orderkey", 500, done=0, most=2)[0].select("o_orderkey", "chunk_id")
+
+
+@query("clean_generic", "orders", "SELECT o_orderkey, round(o_totalprice, 0) AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderstatus <> 'P' AND round(o_totalprice, 0) > 50000")
+def _(o):
+    rows = o.select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 0).cast("long").cast("string").alias("o_totalprice"), F.date_format("o_orderdate", "yyyy.MM.dd").alias("day"))
+    rules = {"casts": {"o_totalprice": "float"}, "date_ops": [{"field": "day", "op": "parse_ymd"}], "filters": [{"field": "o_orderstatus", "op": "ne", "value": "P"}, {"field": "o_totalprice", "op": "gt", "value": 50000}], "sort_by": ["o_orderkey"]}
+    return transform.clean_generic(rows, rules, ["o_orderkey"]).select("o_orderkey", "o_totalprice", "day")
+
+
+@query("money_grammar", "customer", "SELECT c_custkey, round(c_acctbal, 2) AS amount FROM customer WHERE abs(c_acctbal) >= 1")
+def _(c):
+    n = F.format_number(F.abs("c_acctbal"), 2)
+    shown = F.when(F.col("c_acctbal") < 0, F.concat(F.lit("("), n, F.lit(")"))).otherwise(F.concat(F.lit("$ "), n))
+    return c.filter("abs(c_acctbal) >= 1").select("c_custkey", F.round(money(shown), 2).alias("amount"))
+
+
+@query("modality_report", "supplier", "SELECT count(*) AS rows, CAST(0.9 AS DOUBLE) AS header_confidence, CAST(1.0 AS DOUBLE) AS numeric_parse_rate, CAST(1.0 AS DOUBLE) AS date_parse_rate, CAST(0.0 AS DOUBLE) AS blank_row_ratio, CAST(1.0 AS DOUBLE) AS coverage, CAST(0.0 AS DOUBLE) AS duplicate_key_ratio FROM supplier")
+def _(s):
+    return quality.modality_report(s, 0.9, ["s_acctbal"], [], ["s_suppkey"])
+
+
+@query("session_ids", "events", "SELECT event_id, CAST(sum(gap) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_id FROM (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t, CASE WHEN epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) > 7200000 THEN 1 ELSE 0 END AS gap FROM events)")
+def _(e):
+    return streams.session_ids(e, ["user_id"], "ts", 7_200_000).select("event_id", "session_id")
+
+
+@query("text_signals", "documents", "SELECT doc_id, nullif(regexp_extract(text, 'https?://[^\\s]+|www\\.[^\\s]+'), '') AS source_url, nullif(regexp_extract(text, '\\[(\\d{1,3})\\]', 1), '') AS citation FROM documents")
+def _(d):
+    return enrichment.text_signals(d, "text").select("doc_id", "source_url", "citation")
+
+
+@query("paragraphs", "documents")
+def _(d):
+    return enrichment.rebuild_paragraphs(d, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
+
+
+@query("speaker_turns", "conversations")
+def _(c):
+    return text.speaker_turns(c.select("conv_id", "turn", F.concat_ws(": ", "role", "text").alias("line")), "line").select("conv_id", "turn", "turn_seq", "speaker")
+
+
+def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly sums by a stream over the events file, into the shared folder and back."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    folder = _folder(spark)
+    streams.run_available(streams.windowed_stream(stream, "ts", "1 day", "1 hour", "value", ["event_type"]), f"{folder}/out", f"{folder}/checkpoint")
+    return _r(_r(spark.read.parquet(f"{folder}/out"), "sum"), "avg", digits=8)
+
+
+_Q["structured_stream"] = _structured
+_SQL["structured_stream"] = f"WITH e AS (SELECT *, epoch_us(ts) // 86400000000 * 86400000 AS s FROM events) SELECT s AS window_start_ms, s + 86400000 AS window_end_ms, event_type, {_SUMS} FROM e WHERE s + 86400000 <= (SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events) GROUP BY 1, 2, 3"

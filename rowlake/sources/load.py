@@ -84,6 +84,42 @@ def read_jdbc(spark: SparkSession, source: str, query: str = "", **options) -> D
     return spark.read.format("jdbc").option("url", source).option("query", query).options(**options).load()
 
 
+@register_reader("json_rows")
+def read_json_rows(spark: SparkSession, source: str, schema=None, **_) -> DataFrame:
+    """Files that are a JSON array, or an object with `rows`."""
+    df = spark.read.option("multiLine", True).json(source)
+    if "rows" in df.columns:
+        df = df.select(F.explode("rows").alias("r")).select("r.*")
+    return df.select(*(col(f.name).try_cast(f.dataType).alias(f.name) for f in schema)) if schema else df
+
+
+def sniff_delimiter(spark: SparkSession, source: str) -> str:
+    """The delimiter among , ; tab and | that parts the first line most often."""
+    first = spark.read.text(source).first()
+    return max([",", ";", "\t", "|"], key=lambda d: first[0].count(d)) if first else ","
+
+
+def decode(data: bytes) -> str:
+    """UTF-8, with or without a mark, else GB 18030, else what is readable of UTF-8."""
+    for name in ("utf-8-sig", "gb18030"):
+        try:
+            return data.decode(name)
+        except UnicodeDecodeError:
+            continue
+    return data.decode("utf-8", "ignore")
+
+
+def read_encoded(spark: SparkSession, source: str) -> DataFrame:
+    """source_path and text of files of any of those encodings, in Arrow batches."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(x.as_py() or b"") for x in batch.column(1)], pa.string())], names=["source_path", "text"])
+
+    return spark.read.format("binaryFile").load(source).select("path", "content").mapInArrow(run, "source_path string, text string")
+
+
 for _kind in OFFICE:
 
     @register_reader(_kind)

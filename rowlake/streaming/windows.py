@@ -66,6 +66,7 @@ def _sessions(rows: DataFrame, keys: list[Column], names: list[str], value: str
 
 def windowed_stream(stream: DataFrame, time: str, window: str, watermark: str, value: str | None = None, group_by: list[str] | None = None, slide: str | None = None, session_gap: str | None = None) -> DataFrame:
     """The same sums over a stream: rows later than the watermark are dropped, state is kept by Spark."""
+    stream = stream.withColumn(time, col(time).cast("timestamp"))
     w = F.session_window(time, session_gap) if session_gap else F.window(time, window, slide) if slide else F.window(time, window)
     out = stream.withWatermark(time, watermark).groupBy(w.alias("w"), *(vts(col(c)).alias(c) for c in group_by or [])).agg(*_sums(stream, value))
     return out.select(F.unix_millis("w.start").alias("window_start_ms"), F.unix_millis("w.end").alias("window_end_ms"), *(group_by or []), "count", "sum", "avg")
