@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from rowlake.llm import bytescan
 from rowlake.llm.common import slices, text_bytes
 
-BITS, SAMPLE, EPOCHS = 20, 16_000, 5
+BITS, SAMPLE, EPOCHS = 20, 24_000, 5
 #: alpha, beta: the rates of coordinates; l1 (times the root of the rows, 1 at least) and l2: the penalties.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.045, 1.0
 THRESHOLD, CHUNK = 0.3, 1 << 20
