@@ -25,8 +25,24 @@ def _json_text(value) -> str:
     return str(value)
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _same(c: Column, kind: T.DataType, values: list) -> Column:
+    """Whether the text of a cell is one of the values' texts; plain comparisons of strings and integers, which reach the scan."""
+    wanted = [_json_text(v) for v in values]
+    if isinstance(kind, _WHOLE):
+        numbers = [int(v) for v in wanted if re.fullmatch(r"0|-?[1-9]\d{0,17}", v)]
+        out = (c == numbers[0]) if len(numbers) == 1 else c.isin(numbers) if numbers else F.lit(False)
+        return out | c.isNull() if "" in wanted else out
+    if isinstance(kind, T.StringType):
+        out = (c == wanted[0]) if len(wanted) == 1 else c.isin(wanted) if wanted else F.lit(False)
+        return out | c.isNull() if "" in wanted else out
+    return vts(c).isin(wanted) if wanted else F.lit(False)
+
+
 def predicate(df: DataFrame, spec: dict) -> Column:
-    """The Column of one filter. Unknown operations pass all rows; invalid values pass none."""
+    """The Column of one filter; null counts as false. Unknown operations pass all rows; invalid values pass none."""
     op = str(spec.get("op", "eq")).lower()
     if op in ("blank_row", "subtotal_row", "note_row", "header_repeat_row"):
         return _row_predicate(df, op, spec)
@@ -39,16 +55,16 @@ def predicate(df: DataFrame, spec: dict) -> Column:
         case "not_exists":
             return miss(c)
         case "eq":
-            return text == _json_text(value)
+            return _same(c, kind, [value])
         case "ne":
-            return text != _json_text(value)
+            return ~F.coalesce(_same(c, kind, [value]), F.lit(False))
         case "contains":
-            return text.contains(F.lit(_json_text(value)))
+            return (c if isinstance(kind, T.StringType) and value else text).contains(F.lit(_json_text(value)))
         case "in" | "not_in":
             if not isinstance(value, list):
                 return F.lit(False)
-            inside = text.isin([_json_text(x) for x in value]) if value else F.lit(False)
-            return inside if op == "in" else ~inside
+            inside = _same(c, kind, value)
+            return inside if op == "in" else ~F.coalesce(inside, F.lit(False))
         case "regex" | "not_regex":
             pattern = _json_text(value)
             if not pattern.strip() or len(pattern) > 1024 or not _compiles(pattern):
@@ -58,8 +74,7 @@ def predicate(df: DataFrame, spec: dict) -> Column:
             bound = value if isinstance(value, (int, float)) and not isinstance(value, bool) else None
             target = F.lit(float(bound)) if bound is not None else num(F.lit(_json_text(value)))
             x = num(c, kind)
-            out = {"gt": x > target, "gte": x >= target, "lt": x < target, "lte": x <= target}[op]
-            return F.coalesce(out, F.lit(False))
+            return {"gt": x > target, "gte": x >= target, "lt": x < target, "lte": x <= target}[op]
     return F.lit(True)
 
 

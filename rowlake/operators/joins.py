@@ -17,14 +17,18 @@ def keys(spec: str | list[str]) -> list[str]:
 
 
 def _equal(left: DataFrame, right: DataFrame, on: list[str], other: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with key columns __k0, __k1 ... Equal integral keys join as numbers, so a scan's statistics stay usable."""
-    names = [f"__k{i}" for i in range(len(on))]
-    for a, b, name in zip(on, other, names):
-        ka, kb = kind_of(left, a).typeName(), kind_of(right, b).typeName()
-        whole = {ka, kb} <= {"byte", "short", "integer", "long"}
-        build = (lambda c: F.coalesce(c.cast("long").cast("string"), F.lit(""))) if whole else vts
-        left, right = left.withColumn(name, build(col(a))), right.withColumn(name, build(col(b)))
-    return left, right, names
+    """Both sides with key columns: the text of a key, or for integers on both sides the number and whether it is null."""
+    whole = {"byte", "short", "integer", "long"}
+    mine, theirs, names = {}, {}, []
+    for i, (a, b) in enumerate(zip(on, other)):
+        if {kind_of(left, a).typeName(), kind_of(right, b).typeName()} <= whole:
+            for made, c in ((mine, col(a)), (theirs, col(b))):
+                made[f"__k{i}"], made[f"__n{i}"] = F.coalesce(c.cast("long"), F.lit(0).cast("long")), c.isNull()
+            names += [f"__k{i}", f"__n{i}"]
+        else:
+            mine[f"__k{i}"], theirs[f"__k{i}"] = vts(col(a)), vts(col(b))
+            names.append(f"__k{i}")
+    return left.withColumns(mine), right.withColumns(theirs), names
 
 
 def join_rows(left: DataFrame, right: DataFrame, left_on: str | list[str], right_on: str | list[str], join_type: str = "inner", strict: bool = True) -> DataFrame:

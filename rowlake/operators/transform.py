@@ -50,8 +50,16 @@ class Rules:
         return cls(**{k: v for k, v in rules.items() if k in known})
 
 
-def prepare(df: DataFrame, rules: Rules) -> DataFrame:
-    """All rows, cleaned up to the filters, with __status: ok, cast_failed, required_missing or filter_rejected."""
+def _is(kind, to: str) -> bool:
+    """Whether a cast to the named type leaves a column as it is."""
+    return {"string": ("string", "str"), "long": ("int", "integer"), "double": ("float", "double", "number"), "boolean": ("bool", "boolean")}.get(kind.typeName(), ()).__contains__(to.lower())
+
+
+def prepare(df: DataFrame, rules: Rules, keep_rejected: bool = True) -> DataFrame:
+    """All rows, cleaned up to the filters, with __status: ok, cast_failed, required_missing or filter_rejected.
+
+    keep_rejected=False gives the ok rows only, without __status, by plain filters that can reach the scan.
+    """
     tokens = [str(x).lower() for x in rules.null_values]
     out: list[Column] = []
     renamed = {old: new for old, new in rules.rename_map.items() if old in df.columns}
@@ -68,17 +76,22 @@ def prepare(df: DataFrame, rules: Rules) -> DataFrame:
     for c, value in rules.default_values.items():
         given = F.lit(value)
         df = df.withColumn(c, F.when(miss(col(c)), given.cast(kind_of(df, c))).otherwise(col(c)) if c in df.columns else given)
-    failed = F.lit(False)
-    casts: dict[str, Column] = {}
-    for c, to in rules.casts.items():
-        if c in df.columns:
-            new = cast_to(col(c), kind_of(df, c), to)
-            failed = failed | (new.isNull() & col(c).isNotNull())
-            casts[c] = new
-    df = df.withColumn("__failed", failed).withColumns(casts) if casts else df.withColumn("__failed", failed)
+    casts = {c: cast_to(col(c), kind_of(df, c), to) for c, to in rules.casts.items() if c in df.columns and not _is(kind_of(df, c), to)}
+    broken = [new.isNull() & col(c).isNotNull() for c, new in casts.items()]
+    missing = [c for c in rules.required_fields if c not in df.columns]
+    if not keep_rejected:
+        for bad in broken:
+            df = df.filter(~bad)
+        df = df.withColumns(casts)
+        for c in rules.required_fields:
+            df = df.filter(F.lit(False) if c in missing else col(c).isNotNull() & ~miss(col(c)) if kind_of(df, c).typeName() == "string" else col(c).isNotNull())
+        for spec in rules.filters:
+            df = df.filter(predicate(df, spec))
+        return df
+    df = df.withColumn("__failed", reduce(lambda a, b: a | b, broken, F.lit(False))).withColumns(casts)
     body = df.drop("__failed")
     absent = reduce(lambda a, b: a | b, (miss(col(c)) if c in df.columns else F.lit(True) for c in rules.required_fields), F.lit(False))
-    kept = reduce(lambda a, b: a & b, (predicate(body, s) for s in rules.filters), F.lit(True))
+    kept = reduce(lambda a, b: a & b, (F.coalesce(predicate(body, s), F.lit(False)) for s in rules.filters), F.lit(True))
     status = F.when(F.col("__failed"), "cast_failed").when(absent, "required_missing").when(~kept, "filter_rejected").otherwise("ok")
     return df.withColumn(STATUS, status).drop("__failed")
 
@@ -137,9 +150,8 @@ def transform(df: DataFrame, rules: Rules | dict, order_by: list[str] | None = N
     filter_expr and computed are expression trees and apply last; neither the aggregate nor the counts reflect them.
     """
     rules = rules if isinstance(rules, Rules) else Rules.of(rules)
-    staged = prepare(df, rules)
-    audit = staged.groupBy(STATUS).agg(F.count("*").alias("rows")).withColumnRenamed(STATUS, "status")
-    out = staged.filter(F.col(STATUS) == "ok").drop(STATUS)
+    audit = prepare(df, rules).groupBy(STATUS).agg(F.count("*").alias("rows")).withColumnRenamed(STATUS, "status")
+    out = prepare(df, rules, keep_rejected=False)
     if rules.include_fields:
         out = out.select(*(col(c) for c in rules.include_fields if c in out.columns))
     out = out.drop(*rules.exclude_fields)
@@ -242,18 +254,18 @@ def clean_generic(df: DataFrame, rules: Rules | dict, order_by: list[str]) -> Da
     Null tokens are null, none, na and n/a unless given; a failed cast drops the row; the sort is typed, nulls last ascending and first descending.
     """
     r = rules if isinstance(rules, Rules) else Rules.of(rules)
-    out = prepare(df, Rules(rename_map=r.rename_map, null_values=r.null_values or ["null", "none", "na", "n/a"], trim_strings=r.trim_strings)).drop(STATUS)
+    out = prepare(df, Rules(rename_map=r.rename_map, null_values=r.null_values or ["null", "none", "na", "n/a"], trim_strings=r.trim_strings), keep_rejected=False)
     out = out.select(*(col(c) for c in r.include_fields if c in out.columns)) if r.include_fields else out
-    out = prepare(out.drop(*r.exclude_fields), Rules(default_values=r.default_values, trim_strings=False)).drop(STATUS)
+    out = prepare(out.drop(*r.exclude_fields), Rules(default_values=r.default_values, trim_strings=False), keep_rejected=False)
     for c in sorted(r.computed_fields):
         out = out.withColumn(c, mini_expression(out, r.computed_fields[c]))
     for spec in r.string_ops:
         out = string_op(out, spec)
-    out = prepare(out, Rules(casts=r.casts, trim_strings=False)).filter(F.col(STATUS) == "ok").drop(STATUS)
+    out = prepare(out, Rules(casts=r.casts, trim_strings=False), keep_rejected=False)
     for step, specs in ((date_op, r.date_ops), (field_op, r.field_ops)):
         for spec in specs:
             out = step(out, spec)
-    out = prepare(out, Rules(required_fields=r.required_fields, filters=r.filters, trim_strings=False)).filter(F.col(STATUS) == "ok").drop(STATUS)
+    out = prepare(out, Rules(required_fields=r.required_fields, filters=r.filters, trim_strings=False), keep_rejected=False)
     out = deduplicate(out, r.deduplicate_by, order_by, r.deduplicate_keep) if r.deduplicate_by else out
     keys = [(k, "asc") if isinstance(k, str) else (k["field"], str(k.get("order", "asc")).lower()) for k in r.sort_by]
     return out.orderBy(*(col(k).desc_nulls_first() if way == "desc" else col(k).asc_nulls_last() for k, way in keys)) if keys else out
