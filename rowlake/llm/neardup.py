@@ -258,7 +258,7 @@ def _mixed(buckets: DataFrame, comps: DataFrame, scratch: Scratch, name: str) ->
     rows = buckets.select("rep", "bucket").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64("rep", F.lit(name)), "rep")).alias("pick"))
     several = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp", "pick")).alias("x")).filter("comps > 1")
-    several = several.select("bucket", F.col("x.comp").alias("top"), F.col("x.pick.rep").alias("leader"))
+    several = scratch.write(several.select("bucket", F.col("x.comp").alias("top"), F.col("x.pick.rep").alias("leader")), f"{name}-top")
     return scratch.write(rows.join(several, "bucket"), name), several
 
 
@@ -352,6 +352,7 @@ def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     reps = scratch.write(reps, "reps")
     every = reps.filter("rep is not null").select("rep", F.explode("bands").alias("bucket"))
     leaders = every.groupBy("bucket").agg(F.min("rep").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    leaders = scratch.write(leaders, "leaders")  # apart from the join, so that Spark can split a bucket of very many texts
     buckets = scratch.write(every.join(leaders, "bucket"), "buckets")
     pairs = scratch.write(buckets.filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "pairs-0")
     wanted = buckets.select("rep").distinct().join(reps.select("rep", F.col("content").alias("md5")), "rep")
