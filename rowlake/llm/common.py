@@ -70,6 +70,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow by position: columns may have any names, with dots too. What run gives has the schema's columns in order."""
+    names = [f.name for f in schema]
+
+    def renamed(batches):
+        for batch in run(batches):
+            yield batch.rename_columns(names)
+
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(renamed, schema)
+
+
 def column_or_null(df: DataFrame, name: str, kind: str):
     """A column by name, as kind; null where the table lacks it."""
     from pyspark.sql import functions as F

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlake.llm import bytescan
-from rowlake.llm.common import slices, text_bytes
+from rowlake.llm.common import map_batches, slices, text_bytes
 
 WIDTH = 10
 #: Text of test items in one broadcast block: about 20 bytes of index a character.
@@ -152,4 +152,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
                 texts[i] = b"".join([*parts, raw[end:]]).decode()
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type))
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlake.llm import bytescan
-from rowlake.llm.common import Scratch, slices, text_bytes
+from rowlake.llm.common import Scratch, free_name, slices, text_bytes
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -389,10 +389,11 @@ def deduplicate(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: st
     """
     found = classes(docs, scratch, key, text, threshold)
     kept = found.filter("doc_id = class_id").select("doc_id").distinct()
-    rows = docs.withColumn("__key", F.col(f"`{key}`").cast("long"))
-    rows = rows.join(kept.withColumnRenamed("doc_id", "__key"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    k, m = free_name(docs, "__key"), free_name(docs, "__md5")
+    rows = docs.withColumn(k, F.col(f"`{key}`").cast("long"))
+    rows = rows.join(kept.withColumnRenamed("doc_id", k), k, "left_semi").dropDuplicates([k]).select(*(F.col(f"`{c}`") for c in docs.columns))
     unknown = found.filter("doc_id is null and class_id is null").select("content").distinct()
-    bare = docs.filter(F.col(f"`{key}`").isNull()).withColumn("__md5", F.md5(F.col(f"`{text}`").cast("binary")))
-    nulls = bare.filter("__md5 is null").drop("__md5")
-    bare = bare.join(unknown.withColumnRenamed("content", "__md5"), "__md5", "left_semi").dropDuplicates(["__md5"]).drop("__md5")
+    bare = docs.filter(F.col(f"`{key}`").isNull()).withColumn(m, F.md5(F.col(f"`{text}`").cast("binary")))
+    nulls = bare.filter(F.col(m).isNull()).drop(m)
+    bare = bare.join(unknown.withColumnRenamed("content", m), m, "left_semi").dropDuplicates([m]).select(*(F.col(f"`{c}`") for c in docs.columns))
     return rows.unionAll(bare).unionAll(nulls)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlake.llm import bytescan
-from rowlake.llm.common import Scratch, column_or_null, slices, text_bytes
+from rowlake.llm.common import Scratch, column_or_null, free_name, map_batches, slices, text_bytes
 
 MIN_DOCS, MAX_SHARE, MAX_LOSS = 50, 0.01, 0.7
 MIN_WORDS, WINDOW, MAX_REPEATED = 20, 8, 30
@@ -125,12 +125,13 @@ def filter_documents(docs: DataFrame, scratch: Scratch, key: str = "doc_id", tex
         for r in frequent.select("host", "line").collect():
             known.setdefault(r.host, []).append(r.line)
         table = docs.sparkSession.sparkContext.broadcast({k: np.sort(np.array(v, np.int64)) for k, v in known.items()})
-        rows = docs.select("*", host_column.alias("__host"))
+        rows = docs.select("*", host_column.alias(free_name(docs, "__host")))
     else:
         table = None
         lists = feats.select("host", "content", F.explode(F.array_distinct("lines")).alias("line")).distinct().join(frequent, ["host", "line"]).groupBy("host", "content").agg(F.collect_list("line").alias("__lines"))
-        rows = docs.select("*", host_column.alias("__host"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("__content"))
-        rows = rows.join(lists, (rows["__host"] == lists["host"]) & (rows["__content"] == lists["content"]), "left").select(*(rows[c] for c in columns), rows["__host"], "__lines")
+        h, c, mine = (free_name(docs, x) for x in ("__host", "__content", "__lines"))
+        rows = docs.select("*", host_column.alias(h), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias(c))
+        rows = rows.join(lists.toDF(h, c, mine), [h, c], "left").select(*(F.col(f"`{x}`") for x in columns), h, mine)
     none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,4 +170,4 @@ def filter_documents(docs: DataFrame, scratch: Scratch, key: str = "doc_id", tex
                     out = out.set_column(chars, out.schema.field(chars), pa.array(numbers, out.column(chars).type))
             yield out.filter(pa.array(kept))
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)

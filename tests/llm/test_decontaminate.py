@@ -60,6 +60,8 @@ def test_hits(spark, monkeypatch, block):
     for r in got:
         if r.n_hit:
             assert sum(len(WORD.findall(low(texts[r.doc_id][a:b]))) for a, b in r.spans) == r.n_hit
+    dotted = frame(spark, docs).withColumnRenamed("k", "a.b")
+    assert decontaminate.decontaminate(dotted, bench).columns == dotted.columns
     clean = {x[0] for x in want if not x[2]}
     assert {r.doc_id for r in decontaminate.decontaminate(frame(spark, docs), bench).collect()} == clean
     spans = decontaminate.decontaminate(frame(spark, docs), bench, "span").collect()

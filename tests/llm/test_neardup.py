@@ -106,7 +106,7 @@ def test_prefixes_lose_no_pair(spark):
 
 def test_deduplicate(spark):
     docs = corpus() + [(None, "no key"), (None, "tie"), (None, None)]
-    df = frame(spark, docs)
+    df = frame(spark, docs).withColumnsRenamed({"ids": "__key", "task": "__md5", "t": "a.b"})
     got = neardup.deduplicate(df, Scratch(spark, "t"))
     assert got.columns == df.columns
     rows = [(r.doc_id, r.text) for r in got.collect()]

@@ -44,7 +44,7 @@ ROWS = [
 
 
 def table(spark, rows=ROWS):
-    return spark.createDataFrame([(k, t, h, len(t or ""), 1, 2, "z") for k, t, h in rows], "doc_id long, text string, source string, n_chars long, row int, line int, host string")
+    return spark.createDataFrame([(k, t, h, len(t or ""), 1, 2, "z") for k, t, h in rows], "doc_id long, text string, source string, n_chars long, `__host` int, line int, `a.b` string")
 
 
 def test_verdicts(spark):
