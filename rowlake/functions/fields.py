@@ -116,3 +116,34 @@ def text_transform(name: str, c: Column, **options) -> Column:
     if name == "round_number":
         return F.bround(money(text), int(options.get("digits", 2)))
     raise ValueError(f"no transform {name!r}")
+
+
+#: Full-width ASCII and the space, and what stands for them.
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
+_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
+
+
+def display_text(c: Column) -> Column:
+    """Half-width ASCII, single spaces, no zero-width characters."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(c.cast("string"), _WIDE, _NARROW), "[​-‍﻿]", ""), r"\s+", " "))
+
+
+def normalize_by_name(df: DataFrame, headers: dict[str, str] | None = None) -> DataFrame:
+    """Each text column by what its name says: amounts (times the unit of its header), ids, dates, phones, else display text. Unparsable cells stay as they are."""
+    out: dict[str, Column] = {}
+    for c in df.columns:
+        if not isinstance(kind_of(df, c), T.StringType):
+            continue
+        low, x = c.lower(), display_text(col(c))
+        if any(w in low for w in ("amount", "balance", "price", "total")):
+            new = (money(x, english_units=True) * header_unit((headers or {}).get(c, ""))).cast("string")
+        elif low == "id" or low.endswith("_id"):
+            new = F.when(x.rlike(r"^[+-]?\d{1,18}(?:\.0+)?$"), F.regexp_replace(x, r"\.0+$", "")).try_cast("long").cast("string")
+        elif "date" in low or low.endswith("_at"):
+            new = iso_date(F.regexp_replace(x, r"[ T]\d{1,2}:.*$", ""))
+        elif "phone" in low or "mobile" in low:
+            new = phone_cn(x)
+        else:
+            new = x
+        out[c] = F.when(miss(col(c)), None).otherwise(F.coalesce(new, x))
+    return df.withColumns(out)

@@ -74,3 +74,9 @@ def test_field_ops(spark):
     assert run(field="n", op="parse_number") == [1234567.0, None] and run(field="amount", op="sign_amount_from_debit_credit") == [-7.0, 3.0]
     assert run(field="n", op="map_value", mapping={"x": "y"}) == ["1,234,567", "y"] and run(field="n", op="scale_by_header_unit", header_text="金额(万元)", **{"as": "m"}) == [1.234567e10, None]
     assert run(field="t", op="regex_replace", pattern="a", replace="z") == [" z  b ", None] and run(field="p", op="extract_regex", pattern="[0-9]{3}") == ["138", "123"]
+
+
+def test_normalize_by_name(spark):
+    df = spark.createDataFrame([("１，２００", "7.0", "2024年1月2日 10:00", "138 0013 8000", "Ａ　 b​"), ("3 million", "x", "soon", "12", " ")], "amount string, id string, biz_date string, phone string, note string")
+    got = [tuple(r) for r in fields.normalize_by_name(df, {"amount": "金额(万元)"}).collect()]
+    assert got == [("1.2E7", "7", "2024-01-02", "+8613800138000", "A b"), ("3.0E10", "x", "soon", "12", None)]
