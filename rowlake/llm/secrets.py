@@ -19,7 +19,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Kinds of candidates. The pattern runs in Java; each part also works in Python.
+#: What a value is assigned to, up to the value. A longer name begins at a later part of it.
+NAMED = r"(?i:[A-Za-z0-9_-]{0,40}(?:password|passwd|pwd|secret|token|auth)|[A-Za-z0-9_-]{1,40}key)[\"']?[ ]{0,3}[:=][ ]{0,3}[\"']?"
+#: Kinds of candidates. A random run begins where no run goes on, or behind an AWS key, so that no run is read from each of its characters. The pattern runs in Java; each part also works in Python.
 KINDS = {
     "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?",
     "aws_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
@@ -27,8 +29,9 @@ KINDS = {
     "slack": r"xox[abprs]-[A-Za-z0-9-]{10,80}",
     "google": r"AIza[A-Za-z0-9_-]{35}",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*",
-    "assigned": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ ]{0,3}[:=][ ]{0,3}[\"']?[^\s\"'<>]{6,200}",
-    "random": r"(?<![+/=.-])(?=[A-Za-z+/_-]{0,60}[0-9])[A-Za-z0-9+/_-]{24,120}={0,2}(?![A-Za-z0-9+/_=.-])",
+    "assigned": NAMED + r"[^\s\"'<>]{6,200}",
+    "url_password": r"//[^\s/:@\"'<>]*:[^\s/\"'<>]+@",
+    "random": r"(?:(?<![+/_-])|(?<=A[KS]IA[A-Z0-9]{16}[+/_-]))(?=[A-Za-z0-9+/_-]*?(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_-]{24,}={0,2}",
 }
 PATTERN = "(?<![A-Za-z0-9])(?:" + "|".join(KINDS.values()) + ")"
 #: Common words that a made-up value tends to be built of.
@@ -41,7 +44,7 @@ SAMPLE, TREES, DEPTH, LEAF, SEED, NEARBY = 6000, 15, 7, 3, 7, 200
 
 def _value(candidate: Column) -> Column:
     """What is assigned, or the candidate itself."""
-    return F.regexp_replace(candidate, r"^(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ ]{0,3}[:=][ ]{0,3}[\"']?", "")
+    return F.regexp_replace(candidate, "^" + NAMED, "")
 
 
 def feature_columns(candidate: Column, before: Column, after: Column, source: Column) -> list[Column]:
@@ -51,12 +54,12 @@ def feature_columns(candidate: Column, before: Column, after: Column, source: Co
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
     last = F.lower(F.regexp_extract(before, r"(\S*\s*\S*\s*\S*)$", 1))
     first = F.lower(F.regexp_extract(after, r"^(\S*\s*\S*)", 1))
-    kinds = [flag(candidate.rlike("^" + KINDS[k])) for k in ("private_key", "aws_key", "github", "slack", "google", "jwt")]
+    kinds = [flag(candidate.rlike("^" + KINDS[k])) for k in ("private_key", "aws_key", "github", "slack", "google", "jwt", "url_password")]
     out = [
         F.least(F.length(v), F.lit(400)), share("[0-9]"), share("[A-Z]"), share("[^A-Za-z0-9]"), share("[A-Za-z](?=[0-9])"), share("[0-9](?=[A-Za-z])"),
         share("[a-z](?=[A-Z])|[A-Z](?=[a-z])"), share(r"(.)(?=\1)"), (F.length(v) - F.length(F.regexp_replace(F.lower(v), "|".join(DICTIONARY), ""))) / n, share("[aeiouAEIOU]"),
-        share("/"), share(r"\."), flag(last.rlike(r"[/\\]\S*$|https?:") | v.rlike(r"^[/.~]|\.(?:py|js|java|html?|png|jpe?g|css|json|txt)$")),
-        flag(last.rlike(NEAR) | candidate.rlike(r"^" + NEAR)), flag(last.rlike(FAKE)), flag(first.rlike(FAKE)), flag(F.coalesce(source, F.lit("")).rlike(FAKE)), F.greatest(*kinds),
+        share("/"), share(r"\."), flag(last.rlike(r"[/\\]\S*$|https?:") | first.rlike(r"^\.\w") | v.rlike(r"^[/.~]|\.(?:py|js|java|html?|png|jpe?g|css|json|txt)$")),
+        flag(last.rlike(NEAR) | candidate.rlike("^" + NAMED)), flag(last.rlike(FAKE)), flag(first.rlike(FAKE)), flag(F.coalesce(source, F.lit("")).rlike(FAKE)), F.greatest(*kinds),
     ]
     return [c.cast("double").alias(f"f_{name}") for c, name in zip(out, FEATURES)]
 
@@ -73,17 +76,21 @@ def labelled_findings(rows: int = 4000, seed: int = SEED) -> list[tuple[str, str
     for i in range(rows):
         before, after, source = said(3) + " ", " " + said(3), rng.choice(["web", "code", "src3", "forum"])
         if i % 2:
-            kind = rng.randrange(9)
+            kind = rng.randrange(11)
             value = [
                 "AKIA" + pick(string.ascii_uppercase + string.digits, 16, 16), "ghp_" + pick(mixed, 36, 36), "xoxb-" + pick(string.digits, 10, 12) + "-" + pick(mixed, 20, 24), "AIza" + pick(mixed + "_-", 35, 35),
                 f"eyJ{pick(mixed, 20, 40)}.{pick(mixed, 30, 80)}.{pick(mixed + '_-', 30, 43)}", f"-----BEGIN RSA PRIVATE KEY-----\n{pick(mixed + '+/', 200, 400)}\n-----END RSA PRIVATE KEY-----",
                 f"{name()}{rng.choice(['=', ': ', ' = '])}{rng.choice(['', chr(34)])}{pick(rng.choice([hexa, mixed, mixed + '!@#$%&*-_']), 12, 44)}", f"{name()} = {chr(34)}{pick(hexa, 32, 44)}", pick(mixed + "+/", 32, 64),
+                pick(rng.choice([hexa, mixed + "+/_-", string.ascii_letters]), 24, 400), f"//{pick(string.ascii_lowercase, 1, 8)}:{pick(rng.choice([string.ascii_lowercase, mixed + '!$%&*-_']), 2, 24)}@",
             ][kind]
-            if kind == 8:
-                before = f"{said(2)} {rng.choice(['key', 'the secret', 'credential', 'bearer', 'auth'])} "
+            if kind in (8, 9):
+                before = f"{said(2)} {rng.choice(['key', 'the secret', 'credential', 'bearer', 'auth', 'the key is', 'api key:'])} "
+                after = rng.choice(["", "."]) + after
+            elif kind == 10:
+                before, after = f"{said(2)} {rng.choice(['postgres', 'https', 'redis', 'amqp'])}:", f"{word()}/{word()}{after}"
             out.append((value, before, after, source, 1))
             continue
-        kind = rng.randrange(9)
+        kind = rng.randrange(13)
         if kind == 0:
             value = f"{name()}={rng.choice(DICTIONARY)}{rng.choice(['', '_', '-', '123'])}{rng.choice(DICTIONARY)}"
         elif kind == 1:
@@ -102,6 +109,15 @@ def labelled_findings(rows: int = 4000, seed: int = SEED) -> list[tuple[str, str
             value = f"{name()}={rng.choice('*x#.0')}" + rng.choice("*x#.0") * 12
         elif kind == 7:
             value, after = f"{name()} = {word()}{word()}.{word()}()", " " + said(2)
+        elif kind == 8:
+            value, before = pick(mixed + "+/", 60, 500), f"{said(2)} data:image/png;base64,"
+        elif kind == 9:
+            value = "".join(word().title() for _ in range(12)) + rng.choice(["", "2", ".", "("])
+            value, after = value.rstrip(".("), value[len(value.rstrip(".(")) :] + after
+        elif kind == 10:
+            value, before, after = "/".join([rng.choice(["com", "org", "io"]), *(rng.choice([word(), word() + word(), f"{word()}-{word()}", str(rng.randint(1, 2030))]) for _ in range(rng.randint(4, 9))), word()]), f"{said(2)} https://www.{word()}.", rng.choice([".html", "?id=3", ".", ""]) + after
+        elif kind == 11:
+            value, before, after = f"//{word()}:{rng.choice(DICTIONARY)}@", f"{said(2)} {rng.choice(['postgres', 'https'])}:", f"{rng.choice(['example.com', 'localhost'])}{after}"
         else:
             value, source = f"{name()}={pick(mixed, 12, 20)}", rng.choice(["tests/fixtures", "example", "mock"])
         out.append((value, before, after, source, 0))
