@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 
 #: What a value is assigned to, up to the value. A longer name begins at a later part of it.
 NAMED = r"(?i:[A-Za-z0-9_-]{0,40}(?:password|passwd|pwd|secret|token|auth)|[A-Za-z0-9_-]{1,40}key)[\"']?[ ]{0,3}[:=][ ]{0,3}[\"']?"
-#: Kinds of candidates. A random run begins where no run goes on, or behind an AWS key, so that no run is read from each of its characters. The pattern runs in Java; each part also works in Python.
+#: Kinds of candidates. A key block goes to the END of its own name; without one, it takes its header lines and what is base64. A random run begins where no run goes on, or behind an AWS key, so that no run is read from each of its characters. The pattern runs in Java; each part also works in Python.
 KINDS = {
-    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?",
+    "private_key": r"-{4,5} ?BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?) ?-{4,5}(?:[\s\S]*?-{4,5} ?END \1 ?-{4,5}|(?:[\s\\nr]*[A-Za-z][A-Za-z-]*: [^\r\n\\]*(?=[\r\n\\])){0,20}[A-Za-z0-9+/=\s\\]*)",
     "aws_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "github": r"(?:gh[pousr]_[A-Za-z0-9]{36,80}|github_pat_[A-Za-z0-9_]{50,90})",
-    "slack": r"xox[abprs]-[A-Za-z0-9-]{10,80}",
-    "google": r"AIza[A-Za-z0-9_-]{35}",
+    "github": r"(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{50,})",
+    "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
+    "google": r"AIza[A-Za-z0-9_-]{35,}",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*",
-    "assigned": NAMED + r"[^\s\"'<>]{6,200}",
+    "assigned": NAMED + r"(?:(?<=\")[^\"\r\n]{6,}(?=\")|(?<=')[^'\r\n]{6,}(?=')|[^\s\"'<>]{6,})",
     "url_password": r"//[^\s/:@\"'<>]*:[^\s/\"'<>]+@",
     "random": r"(?:(?<![+/_-])|(?<=A[KS]IA[A-Z0-9]{16}[+/_-]))(?=[A-Za-z0-9+/_-]*?(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_-]{24,}={0,2}",
 }
@@ -191,7 +191,7 @@ def find(docs: DataFrame, forest: list, key: str = "doc_id", text: str = "text",
     rows = rows.withColumn("_starts", F.expr(running))
     each = F.transform("_hits", lambda h, i: F.struct(h.alias("hit"), F.col("_starts")[i].alias("start"), F.right(F.col("_gaps")[i], F.lit(NEARBY)).alias("before"), F.substring(F.col("_gaps")[i + 1], 1, NEARBY).alias("after")))
     each = rows.select("doc_id", "_path", F.explode(each).alias("x")).select("doc_id", "_path", "x.*")
-    kind = F.coalesce(*(F.when(F.col("hit").rlike("^" + p), F.lit(k)) for k, p in KINDS.items() if k != "random"), F.lit("random"))
+    kind = F.coalesce(*(F.when(F.col("hit").rlike("^" + (NAMED + "[^\\r\\n]{6,}" if k == "assigned" else p)), F.lit(k)) for k, p in KINDS.items() if k != "random"), F.lit("random"))
     marked = each.select("doc_id", "start", (F.col("start") + F.length("hit")).alias("end"), kind.alias("kind"), F.sha2(_value(F.col("hit")), 256).alias("value_sha256"), *feature_columns(F.col("hit"), F.col("before"), F.col("after"), F.col("_path")))
     scored = marked.withColumn("score", forest_column(forest, lambda name: F.col(f"f_{name}")))
     return scored.select("doc_id", "start", "end", "kind", "value_sha256", "score", (F.col("score") >= threshold).alias("is_secret"))
