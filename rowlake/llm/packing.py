@@ -2,10 +2,11 @@
 
 Only the histogram of piece lengths is brought to the driver: at most `room` numbers, whatever the corpus. Over it the
 covering program (least number of sequences so that the chosen configurations hold every piece) is solved by
-multiplicative weights: each length has a weight, the best configuration under the weights is found by a knapsack
-dynamic program, it is used as often as a fraction of the demand allows, and the weights of the lengths that it holds
-fall with their covered share. The fractional solution is rounded down; what is left of the histogram is placed by
-best fit, longest first, each arrangement repeated while the counts allow. A plan is a list of (configuration,
+multiplicative weights, at every size: each length has a weight that falls with its covered share, a knapsack dynamic
+program finds the best configuration with each length, and each is used as often as a quarter of what is left allows,
+rounded up. A configuration never holds more of a length than is left: the next best takes its place. So all that is
+chosen is kept, in whole numbers, and the program goes on until it leaves at most ERROR of the tokens. These are placed
+by best fit, longest first, each arrangement repeated while the counts allow. A plan is a list of (configuration,
 repetitions); its size depends on the number of lengths, not of pieces.
 
 Which piece goes where is arithmetic: the r-th piece of a length belongs to the plan's interval that holds r. Ranks
@@ -28,15 +29,13 @@ from rowlake.llm import tokens
 from rowlake.llm.common import Scratch
 
 PIECES = "task int, nth long, doc_id long, piece int, start long, length long, ids binary"
-#: Rounds of multiplicative weights, and the learning rate.
-ROUNDS, RATE = 120, 0.25
+#: The share of the tokens that the program may leave to best fit, the learning rate of the weights, and how much more a token of a long piece counts.
+ERROR, RATE, LONG = 0.02, 1e-4, 1e-4
 
 
 def price(values: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
-    """How many of each size the most valuable configuration takes: an unbounded knapsack over 0 to room."""
+    """The length (a place in sizes, which ascend) that the most valuable configuration of each room takes first; -1 leaves one place empty."""
     best, took = np.zeros(room + 1), np.full(room + 1, -1)
-    order = np.argsort(sizes)
-    sizes, values = sizes[order], values[order]
     upto = np.searchsorted(sizes, np.arange(room + 1), side="right")
     for c in range(1, room + 1):
         best[c], k = best[c - 1], upto[c]
@@ -45,51 +44,57 @@ def price(values: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
             i = int(gain.argmax())
             if gain[i] > best[c] + 1e-12:
                 best[c], took[c] = gain[i], i
-    counts, c = np.zeros(len(sizes), np.int64), room
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            counts[took[c]] += 1
-            c -= sizes[took[c]]
-    out = np.zeros(len(sizes), np.int64)
-    out[order] = counts
-    return out
-
-
-def solve(histogram: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """A plan that holds each length exactly as often as the histogram says: (length -> how many, repetitions)."""
+    return took
+
+
+def program(sizes: np.ndarray, left: np.ndarray, room: int, use, error: float = ERROR) -> None:
+    """Chooses configurations until those that hold at most `error` of the tokens are left in `left`; use(counts, times) takes them out of it."""
+    demand, total, waste = left.copy(), int(left @ sizes), 0
+    while int(left @ sizes) > error * total:
+        some = np.flatnonzero(left)
+        mine, share = sizes[some], 1 - left[some] / demand[some]
+        took, before = price(mine / room * (1 + LONG * mine / room) * np.exp(-RATE * share), mine, room).tolist(), int(left.sum())
+        lengths = mine.tolist()
+        for i in range(len(lengths) - 1, -1, -1):  # the best configuration with each length
+            if not left[some[i]]:
+                continue
+            counts, c = {i: 1}, room - lengths[i]
+            while c > 0:
+                k = took[c]
+                if k < 0 or counts.get(k, 0) == left[some[k]]:  # no more of it: the next room's choice
+                    c -= 1
+                else:
+                    counts[k] = counts.get(k, 0) + 1
+                    c -= lengths[k]
+            if room - sum(lengths[k] * n for k, n in counts.items()) <= waste:
+                whole = np.zeros(len(sizes), np.int64)
+                whole[[some[k] for k in counts]] = list(counts.values())
+                use(whole, -(-min(int(left[some[k]]) // n for k, n in counts.items()) // 4))
+        if before - int(left.sum()) <= before // 400:  # a slow round: the next may waste more; all may be wasted at last, so this ends
+            waste = min(room, 2 * waste + 1)
+
+
+def solve(histogram: dict[int, int], room: int, error: float = ERROR, report: dict | None = None) -> list[tuple[dict[int, int], int]]:
+    """A plan that holds each length exactly as often as the histogram says: (length -> how many, repetitions). report gets the shares that the program places."""
     sizes = np.array(sorted(histogram), np.int64)
     left = np.array([histogram[x] for x in sizes.tolist()], np.int64)
     if len(sizes) and (sizes[0] < 1 or sizes[-1] > room):
         raise ValueError(f"lengths must lie between 1 and {room}")
-    plan: dict[bytes, int] = {}
+    plan: dict[tuple, int] = {}
 
     def use(counts: np.ndarray, times: int) -> None:
-        plan[counts.tobytes()] = plan.get(counts.tobytes(), 0) + times
+        held = np.flatnonzero(counts)
+        key = tuple(zip(sizes[held].tolist(), counts[held].tolist()))
+        plan[key] = plan.get(key, 0) + times
         left[:] -= counts * times
 
     whole = np.flatnonzero(sizes == room)
     for i in whole:  # fills a sequence alone
         use(np.eye(len(sizes), dtype=np.int64)[i], int(left[i]))
-    demand, covered, weights = left.astype(float), np.zeros(len(sizes)), np.where(left > 0, 1.0, 0.0)
-    chosen: dict[bytes, float] = {}
-    for _ in range(rounds if left.sum() > 4 * len(sizes) else 0):
-        counts = price(weights * sizes / room, sizes, room)
-        held = counts > 0
-        if not held.any():
-            break
-        step = float((demand[held] / counts[held]).min()) / 4
-        chosen[counts.tobytes()] = chosen.get(counts.tobytes(), 0.0) + step
-        covered += counts * step
-        weights *= np.exp(-RATE * np.divide(counts * step, demand, out=np.zeros(len(sizes)), where=demand > 0) * 4)
-        weights[demand == 0] = 0
-    over = np.divide(covered, demand, out=np.zeros(len(sizes)), where=demand > 0).max(initial=1.0)
-    for key, times in sorted(chosen.items(), key=lambda x: (-x[1], x[0])):
-        counts = np.frombuffer(key, np.int64)
-        held = counts > 0
-        if counts @ sizes == room and (fits := min(int(times / over), int((left[held] // counts[held]).min()))) > 0:
-            use(counts, fits)
+    pieces, held = int(left.sum()), int(left @ sizes)
+    program(sizes, left, room, use, error)
+    if report is not None:
+        report.update(pieces=1 - int(left.sum()) / max(pieces, 1), tokens=1 - int(left @ sizes) / max(held, 1))
     while left.any():
         counts, space, i = np.zeros(len(sizes), np.int64), room, len(sizes) - 1
         while space > 0 and i >= 0:
@@ -104,7 +109,7 @@ def solve(histogram: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tu
             i -= 1
         held = counts > 0
         use(counts, int((left[held] // counts[held]).min()))
-    return [({int(s): int(k) for s, k in zip(sizes, np.frombuffer(key, np.int64)) if k}, times) for key, times in plan.items()]
+    return [(dict(key), times) for key, times in plan.items()]
 
 
 class Places:

@@ -111,3 +111,16 @@ def test_plan_is_near_the_bound():
     assert sum(t for _, t in plan) <= 1.001 * -(-int((lengths * n).sum()) // 2048) + 1
     third = {40: 9000, 41: 9000, 19: 9000}  # two of three sequences hold 41 + 40 + 19
     assert sum(t for _, t in packing.solve(third, 100)) <= 9000 * 1.02
+
+
+def test_program_places_nearly_all_at_every_size():
+    rng = np.random.default_rng(1)
+    for n in (200, 1000, 10000):
+        lengths, counts = np.unique(np.minimum(rng.lognormal(5.5, 1.2, n).astype(int) + 1, 2048), return_counts=True)
+        report = {}
+        plan = packing.solve(dict(zip(lengths.tolist(), counts.tolist())), 2048, report=report)
+        assert report["tokens"] >= 1 - packing.ERROR and report["pieces"] > 0.85
+        assert sum(t for _, t in plan) <= 1.001 * -(-int(lengths @ counts) // 2048) + 1
+    report = {}
+    packing.solve({1500: 3, 1400: 2}, 2048, report=report)  # no configuration is full
+    assert report == {"pieces": 1, "tokens": 1}
