@@ -111,6 +111,12 @@ def test_texts(spark):
     assert [(r.kind, r.value) for r in found] == [("email", "a@b.co"), ("url", "http://x.y/z"), ("number", "1,200.5"), ("number", "-3")]
 
 
+def test_entities_of_long_texts(spark):
+    df = spark.createDataFrame([(1, "a@b.co http://x.y/z 17 " * 2100)], "k int, t string")
+    counts = {r.kind: r["count"] for r in text.extract_entities(df, "k", "t").groupBy("kind").count().collect()}
+    assert counts == {"email": 2100, "url": 2100, "number": 2000}
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(1.0, 2.1), (2.0, 3.9), (3.0, 6.2), (4.0, 7.8), (5.0, 10.1)], "x double, y double")
     r = intelligence.regression(df, "x", "y")
