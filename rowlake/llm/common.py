@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Scratch tables of so many earlier calls stay, as their lazy results may still be read.
-KEEP_CALLS = 12
-#: Rows in one batch for Python, unless the session has another number: texts are long.
-BATCH_ROWS = 1000
-_calls: deque[list[tuple[SparkSession, str]]] = deque()
+#: Bytes of rows that an operator takes at a time; Spark's own batches hold spark.sql.execution.arrow.maxBytesPerBatch.
+BATCH_BYTES = 4 << 20
+_open: dict[str, "Scratch"] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; a local one only if that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session, else the checkpoint folder of its context.
+
+    A session in one process without either gets a local one; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_already.isDefined():
-            base = set_already.get()
-        else:
+        context = spark.sparkContext._jsc.sc()
+        if context.getCheckpointDir().isDefined():
+            base = context.getCheckpointDir().get()
+        elif context.isLocal():
             base = "file://" + tempfile.mkdtemp(prefix="rowlake-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return base.rstrip("/")
 
 
@@ -39,21 +43,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables that one call of an operator writes to the shared folder; they cut lineage and outlive executors.
 
-    The tables of a call are deleted when KEEP_CALLS later calls have begun, or at once by drop().
+    Results are lazy and read these tables, so they stay until close(), the end of a `with` block, close_all(), or the
+    end of the process: no later call takes them away. drop() deletes one table at once.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        if spark.conf.get(key) == "10000":
-            spark.conf.set(key, BATCH_ROWS)
         self.spark, self.base = spark, f"{shared_dir(spark)}/rowlake/{name}-{uuid.uuid4().hex[:12]}"
-        _calls.append([(spark, self.base)])
-        while len(_calls) > KEEP_CALLS:
-            for old, path in _calls.popleft():
-                try:
-                    delete_path(old, path)
-                except Exception:  # the session that wrote it has ended
-                    continue
+        _open[self.base] = self
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -65,6 +61,30 @@ class Scratch:
     def drop(self, name: str) -> None:
         delete_path(self.spark, self.path(name))
 
+    def close(self) -> None:
+        if _open.pop(self.base, None):
+            delete_path(self.spark, self.base)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def close_all() -> None:
+    """Closes every open Scratch of this process."""
+    for scratch in list(_open.values()):
+        scratch.close()
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        close_all()
+    except Exception:  # the sessions have ended: the shared folder is theirs to clean
+        _open.clear()
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -78,6 +98,31 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def bounded(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes, without copying; a longer row stands alone."""
+    for batch in batches:
+        if batch.nbytes <= most:
+            yield batch
+            continue
+        ends = np.zeros(batch.num_rows + 1, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+                ends += at - at[0]
+            elif pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                at = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
+                ends += at - at[0]
+            else:
+                ends += np.arange(batch.num_rows + 1) * (c.nbytes // max(1, batch.num_rows))
+        for a, b in slices(ends, most):
+            yield batch.slice(a, b - a)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow in batches of bounded bytes, whatever the session's batch size is."""
+    return df.mapInArrow(lambda batches: run(bounded(batches)), schema)
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow by position: columns may have any names, with dots too. What run gives has the schema's columns in order."""
     names = [f.name for f in schema]
@@ -86,7 +131,7 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
         for batch in run(batches):
             yield batch.rename_columns(names)
 
-    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(renamed, schema)
+    return map_arrow(df.toDF(*(f"c{i}" for i in range(len(df.columns)))), renamed, schema)
 
 
 def column_or_null(df: DataFrame, name: str, kind: str):

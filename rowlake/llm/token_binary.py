@@ -4,7 +4,8 @@ The table is made of frames: one row holds the ids of some whole documents in Si
 their blocks, the documents and their lengths, and how many ids of the shard lie before it. A shard is what one task
 wrote, a range of doc_id; the manifest (the number of ids of each shard) gives the place of any document in the whole.
 
-Nulls: a null text has only the end id; rows without doc_id come first. Rows of one doc_id go by text. An empty table
+Nulls: a null text has only the end id; rows without doc_id come first. Rows of one doc_id, or without one, go by the hash of their text, so
+that they can be parted into several ranges; equal rows stand side by side. An empty table
 gives an empty one. Columns of the input besides key and text are ignored, whatever their names.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlake.llm import simple8b, tokens
-from rowlake.llm.common import Scratch, partitions
+from rowlake.llm.common import Scratch, map_arrow, partitions
 
 #: Ids after which a frame is closed; a document is never cut.
 FRAME = 1 << 20
@@ -61,8 +62,10 @@ def _frames(path: str, end_id: int | None):
 def write_ids(docs: DataFrame, scratch: Scratch, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 2, name: str = "ids") -> DataFrame:
     """Encodes each text and writes the table of frames to the shared folder; returns it as read again."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first())
-    return scratch.write(rows.mapInArrow(_frames(tokenizer, end_id), FRAMES), name, "uncompressed")
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    order = [F.col("k").asc_nulls_first(), F.col("h").asc()]  # the hash lets the rows of one doc_id be parted too
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("k", "t")
+    return scratch.write(map_arrow(rows, _frames(tokenizer, end_id), FRAMES), name, "uncompressed")
 
 
 def manifest(frames: DataFrame) -> dict[int, int]:

@@ -2,8 +2,12 @@
 
 A byte-level BPE never merges over the bounds of its pre-tokens, so the ids of a text are those of its pre-tokens in a
 row. Texts of plain bytes are split here, all at once, and a table remembers the ids that the library gave for each
-distinct pre-token (by its 64-bit hash); any other text goes to the library whole. Both give the same ids, which the
-tests check.
+distinct pre-token (by its 64-bit hash); any other text goes to the library whole, and so does a text that holds the
+string of one of the vocabulary's added tokens, which the library cuts out before it splits. Both give the same ids,
+which the tests check.
+
+Nulls: a null text is empty and has no ids. A text of any length is encoded whole: plain ones in steps of about STEP
+bytes of whole texts, so that one of more bytes than that takes a step alone, with some 60 bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -80,14 +84,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         state = json.loads(self.tokenizer.to_str())
+        self.added = [x["content"].encode() for x in state.get("added_tokens") or []]
         before = state.get("pre_tokenizer") or {}
         self.split = state.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and state["model"]["type"] == "BPE"
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.split = self.split and len(self.newline) == 1
         self.reset()
 
+    def odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Flags of the texts that go to the library whole: those that aren't plain or hold an added token's string."""
+        flags, raw = strange(data, offsets), data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                flags[np.searchsorted(offsets, at, side="right") - 1] = True
+                at = raw.find(token, at + 1)
+        return flags
+
     def reset(self) -> None:
         self.keys, self.offset, self.count = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
         self.pool, self.used = np.zeros(POOL, np.uint32), 0
@@ -146,7 +160,7 @@ class Encoder:
         data, offsets = text_bytes(column)
         for a, b in slices(offsets, STEP):
             part, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            odd = strange(part, bounds) if self.split and len(part) else np.ones(b - a, bool)
+            odd = self.odd(part, bounds) if self.split and len(part) else np.ones(b - a, bool)
             if not odd.any():
                 yield a, *self._plain(part, bounds)
                 continue

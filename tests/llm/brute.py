@@ -20,9 +20,7 @@ def frame(spark, rows=TEXTS):
 def ids_of(text: str | None, path: str) -> list[int]:
     from tokenizers import Tokenizer
 
-    coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
-    return coder.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids) -> int:
