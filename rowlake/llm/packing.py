@@ -2,9 +2,11 @@
 
 Only the histogram of piece lengths is brought to the driver: at most `room` numbers, whatever the corpus. Over it the
 covering program (least number of sequences so that the chosen configurations hold every piece) is solved by
-multiplicative weights, at every size: each length has a weight that falls with its covered share, a knapsack dynamic
-program finds the best configuration with each length, and each is used as often as a quarter of what is left allows,
-rounded up. A configuration never holds more of a length than is left: the next best takes its place. So all that is
+multiplicative weights, at every size: the weights begin at the lengths' own shares of a sequence and each is multiplied
+down as its length is covered, a knapsack dynamic program finds the best configuration with each length, and each is
+used as often as a quarter of what is left allows, rounded up. Weights over the value of the best configuration are a
+dual solution, so every round gives a lower bound of the program; the best of them, and a plain combinatorial bound,
+are reported beside the number of sequences, and their ratio is the gap. A configuration never holds more of a length than is left: the next best takes its place. So all that is
 chosen is kept, in whole numbers, and the program goes on until it leaves at most ERROR of the tokens. These are placed
 by best fit, longest first, each arrangement repeated while the counts allow. A plan is a list of (configuration,
 repetitions); its size depends on the number of lengths, not of pieces.
@@ -26,15 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowlake.llm import tokens
-from rowlake.llm.common import Scratch
+from rowlake.llm.common import Scratch, map_arrow
 
 PIECES = "task int, nth long, doc_id long, piece int, start long, length long, ids binary"
 #: The share of the tokens that the program may leave to best fit, the learning rate of the weights, and how much more a token of a long piece counts.
 ERROR, RATE, LONG = 0.02, 1e-4, 1e-4
 
 
-def price(values: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
-    """The length (a place in sizes, which ascend) that the most valuable configuration of each room takes first; -1 leaves one place empty."""
+def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[np.ndarray, float]:
+    """The length (a place in sizes, which ascend) that the most valuable configuration of each room takes first, -1 leaves one place empty; and the value of the whole room."""
     best, took = np.zeros(room + 1), np.full(room + 1, -1)
     upto = np.searchsorted(sizes, np.arange(room + 1), side="right")
     for c in range(1, room + 1):
@@ -44,17 +46,29 @@ def price(values: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
             i = int(gain.argmax())
             if gain[i] > best[c] + 1e-12:
                 best[c], took[c] = gain[i], i
-    return took
+    return took, float(best[room])
 
 
-def program(sizes: np.ndarray, left: np.ndarray, room: int, use, error: float = ERROR) -> None:
-    """Chooses configurations until those that hold at most `error` of the tokens are left in `left`; use(counts, times) takes them out of it."""
-    demand, total, waste = left.copy(), int(left @ sizes), 0
+def plain_bound(sizes: np.ndarray, counts: np.ndarray, room: int) -> int:
+    """A lower bound of the sequences without any program: pieces too long to share, and the tokens of the rest, for each limit."""
+    best = 0
+    for k in range(1, room // 2 + 2):
+        alone, large, small = sizes > room - k, (sizes <= room - k) & (sizes > room // 2), (sizes <= room // 2) & (sizes >= k)
+        free = int(counts[large].sum()) * room - int((counts * sizes)[large].sum())
+        best = max(best, int(counts[alone].sum() + counts[large].sum()) + max(0, -(-(int((counts * sizes)[small].sum()) - free) // room)))
+    return best
+
+
+def program(sizes: np.ndarray, left: np.ndarray, room: int, use, error: float = ERROR) -> float:
+    """Chooses configurations until those that hold at most `error` of the tokens are left in `left`; use(counts, times) takes them out of it. Gives the best dual bound."""
+    demand, total, waste, bound = left.copy(), int(left @ sizes), 0, 0.0
     while int(left @ sizes) > error * total:
         some = np.flatnonzero(left)
         mine, share = sizes[some], 1 - left[some] / demand[some]
-        took, before = price(mine / room * (1 + LONG * mine / room) * np.exp(-RATE * share), mine, room).tolist(), int(left.sum())
-        lengths = mine.tolist()
+        weights, before = mine / room * (1 + LONG * mine / room) * np.exp(-RATE * share), int(left.sum())
+        took, most = price(weights, mine, room)
+        bound = max(bound, float(demand[some] @ weights) / most)
+        took, lengths = took.tolist(), mine.tolist()
         for i in range(len(lengths) - 1, -1, -1):  # the best configuration with each length
             if not left[some[i]]:
                 continue
@@ -72,10 +86,11 @@ def program(sizes: np.ndarray, left: np.ndarray, room: int, use, error: float =
                 use(whole, -(-min(int(left[some[k]]) // n for k, n in counts.items()) // 4))
         if before - int(left.sum()) <= before // 400:  # a slow round: the next may waste more; all may be wasted at last, so this ends
             waste = min(room, 2 * waste + 1)
+    return bound
 
 
 def solve(histogram: dict[int, int], room: int, error: float = ERROR, report: dict | None = None) -> list[tuple[dict[int, int], int]]:
-    """A plan that holds each length exactly as often as the histogram says: (length -> how many, repetitions). report gets the shares that the program places."""
+    """A plan that holds each length exactly as often as the histogram says: (length -> how many, repetitions). report gets the shares that the program places, both bounds, the sequences and the gap between them."""
     sizes = np.array(sorted(histogram), np.int64)
     left = np.array([histogram[x] for x in sizes.tolist()], np.int64)
     if len(sizes) and (sizes[0] < 1 or sizes[-1] > room):
@@ -91,10 +106,10 @@ def solve(histogram: dict[int, int], room: int, error: float = ERROR, report: di
     whole = np.flatnonzero(sizes == room)
     for i in whole:  # fills a sequence alone
         use(np.eye(len(sizes), dtype=np.int64)[i], int(left[i]))
-    pieces, held = int(left.sum()), int(left @ sizes)
-    program(sizes, left, room, use, error)
+    pieces, held, alone, counts = int(left.sum()), int(left @ sizes), sum(plan.values()), left.copy()
+    dual = program(sizes, left, room, use, error)
     if report is not None:
-        report.update(pieces=1 - int(left.sum()) / max(pieces, 1), tokens=1 - int(left @ sizes) / max(held, 1))
+        report.update(pieces=1 - int(left.sum()) / max(pieces, 1), tokens=1 - int(left @ sizes) / max(held, 1), dual_bound=alone + int(np.ceil(dual - 1e-6)), plain_bound=alone + plain_bound(sizes, counts, room))
     while left.any():
         counts, space, i = np.zeros(len(sizes), np.int64), room, len(sizes) - 1
         while space > 0 and i >= 0:
@@ -109,6 +124,9 @@ def solve(histogram: dict[int, int], room: int, error: float = ERROR, report: di
             i -= 1
         held = counts > 0
         use(counts, int((left[held] // counts[held]).min()))
+    if report is not None:
+        report["sequences"] = sum(plan.values())
+        report["gap"] = report["sequences"] / max(1, report["dual_bound"], report["plain_bound"]) - 1
     return [(dict(key), times) for key, times in plan.items()]
 
 
@@ -168,7 +186,7 @@ def _cut(path: str, end_id: int, room: int):
 def cut_pieces(docs: DataFrame, scratch: Scratch, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, room: int = 2048) -> DataFrame:
     """Encodes each text, cuts what is longer than `room`, and writes the pieces to the shared folder."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
-    return scratch.write(rows.mapInArrow(_cut(tokenizer, end_id, room), PIECES), "pieces")
+    return scratch.write(map_arrow(rows, _cut(tokenizer, end_id, room), PIECES), "pieces")
 
 
 def pack(pieces: DataFrame, room: int = 2048) -> DataFrame:

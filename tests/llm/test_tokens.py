@@ -27,6 +27,21 @@ def test_columns_of_plain_texts(texts):
     assert got == [x.tolist() for x in coder.library(texts)]
 
 
+def test_strings_of_added_tokens(spark):
+    coder = tokens.encoder(PATH)
+    assert coder.added
+    for token in (x.decode() for x in coder.added):
+        for text in (f"a {token} b", token, token * 3, f"x{token}", f"{token[:-1]} {token}\n", f"é {token}"):
+            assert coder.encode(text) == ids_of(text, PATH) == coder.library([text])[0].tolist()
+    assert coder.encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
+def test_long_texts_without_blanks():
+    coder = tokens.encoder(PATH)
+    for text in ("ab" * 30000, "word " * 20000, "1" * 70000, " " * 50000, "\n" * 5000, "-" * 40000):
+        assert coder.encode(text) == ids_of(text, PATH)
+
+
 def test_table_is_emptied_and_overwritten(monkeypatch):
     monkeypatch.setattr(tokens, "SLOTS", 8)
     monkeypatch.setattr(tokens, "POOL", 50)
@@ -115,12 +130,20 @@ def test_plan_is_near_the_bound():
 
 def test_program_places_nearly_all_at_every_size():
     rng = np.random.default_rng(1)
-    for n in (200, 1000, 10000):
+    for n, gap in ((200, 0.03), (1000, 0.002), (10000, 0.002), (150000, 0.001)):
         lengths, counts = np.unique(np.minimum(rng.lognormal(5.5, 1.2, n).astype(int) + 1, 2048), return_counts=True)
         report = {}
         plan = packing.solve(dict(zip(lengths.tolist(), counts.tolist())), 2048, report=report)
-        assert report["tokens"] >= 1 - packing.ERROR and report["pieces"] > 0.85
+        assert report["tokens"] >= 1 - packing.ERROR and report["pieces"] > 0.9 and report["gap"] <= gap
+        assert report["sequences"] == sum(t for _, t in plan) >= max(report["dual_bound"], report["plain_bound"])
         assert sum(t for _, t in plan) <= 1.001 * -(-int(lengths @ counts) // 2048) + 1
     report = {}
     packing.solve({1500: 3, 1400: 2}, 2048, report=report)  # no configuration is full
-    assert report == {"pieces": 1, "tokens": 1}
+    assert report == {"pieces": 1, "tokens": 1, "dual_bound": 5, "plain_bound": 5, "sequences": 5, "gap": 0}
+
+
+def test_bounds_of_pieces_that_dont_fill():
+    for histogram, room, least in (({1100: 1000, 900: 500}, 2048, 1000), ({700: 1000, 690: 1000, 650: 999}, 2048, 1000), ({40: 9000, 41: 9000, 19: 9000}, 100, 9000)):
+        report = {}
+        packing.solve(histogram, room, report=report)
+        assert max(report["dual_bound"], report["plain_bound"]) >= least and report["gap"] < 0.0025
