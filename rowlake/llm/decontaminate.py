@@ -4,7 +4,8 @@ Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z is lower-cased
 item; an item of fewer words, but not none, is one window. The hashes of all windows are broadcast, the documents are
 scanned once and nothing is shuffled. Items are a fixed test set; should their text exceed BLOCK_CHARS, they are split
 into blocks by hash, and each batch of documents is held against one block after the other, so that no worker has more
-than one block in memory. Windows are equal where their 64-bit hashes are.
+than one block in memory. A hash that is found is a candidate: its words are then compared, byte for byte, with those of
+the item's window, so only equal windows count, whatever the hashes do.
 
 Nulls: a null text has no words; a null item text has no windows; an item without id goes by the empty string. Items
 of one id count once. Rows are judged each for itself, so repeated rows get equal results. Empty tables on either side
@@ -21,51 +22,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlake.llm import bytescan
-from rowlake.llm.common import map_batches, slices, text_bytes
+from rowlake.llm.common import map_arrow, map_batches, slices, text_bytes
 
 WIDTH = 10
-#: Text of test items in one broadcast block: about 20 bytes of index a character.
+#: Text of test items in one broadcast block: about 25 bytes of index a character.
 BLOCK_CHARS = 8_000_000
 CHUNK = 1 << 20
 HITS = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>"
 _SHIFT = np.uint64(44)
 
 
+def _equal(one: bytescan.Words, i: np.ndarray, two: bytescan.Words, j: np.ndarray, size: int) -> np.ndarray:
+    """Whether the `size` words from each of i have the bytes of those from each of j."""
+    out = np.ones(len(i), bool)
+    for k in range(size):
+        some = np.flatnonzero(out)
+        a, b = i[some] + k, j[some] + k
+        length = one.end[a] - one.start[a]
+        same = length == two.end[b] - two.start[b]
+        some, a, b, length = some[same], a[same], b[same], length[same]
+        out[:] = False
+        if not len(some):
+            break
+        before = np.cumsum(length) - length
+        at = np.arange(int(length.sum())) - np.repeat(before, length)
+        equal = one.data[np.repeat(one.start[a], length) + at] == two.data[np.repeat(two.start[b], length) + at]
+        out[some] = np.logical_and.reduceat(equal, before)
+    return out
+
+
 class Index:
-    """For each width the sorted hashes of windows and the items that have them."""
+    """The words of the items and, for each width, their distinct windows in order of hash, each with the items that have it."""
 
     def __init__(self, rows: list[tuple[str, str | None]], width: int = WIDTH):
         self.names = sorted({x or "" for x, _ in rows})
         number = {x: i for i, x in enumerate(self.names)}
         data, offsets = text_bytes(pa.array([x for _, x in rows], pa.string()))
-        w = bytescan.words(data, offsets, bytescan.ALNUM, bytescan.LOWER)
+        self.words = w = bytescan.words(data, offsets, bytescan.ALNUM, bytescan.LOWER)
         owner = np.array([number[x or ""] for x, _ in rows], np.int64)
         counts = np.diff(w.first)
-        self.by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.by: dict[int, tuple[np.ndarray, ...]] = {}
         for size in sorted({min(width, int(n)) for n in counts if n}):
             starts, doc = bytescan.inside(w.first, size)
             mine = np.minimum(counts[doc], width) == size
-            hashes, item = bytescan.windows(w.hash, size)[starts[mine]], owner[doc[mine]]
-            order = np.lexsort((item, hashes))
-            hashes, item = hashes[order], item[order]
+            starts, item = starts[mine], owner[doc[mine]]
+            hashes = bytescan.windows(w.hash, size)[starts]
+            order = np.argsort(hashes, kind="stable")
+            hashes, starts, item = hashes[order], starts[order], item[order]
+            text = self._texts(hashes, starts, size)
+            order = np.lexsort((item, text, hashes))
+            hashes, starts, item, text = hashes[order], starts[order], item[order], text[order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+            first = np.flatnonzero(new)
             flags = np.zeros(1 << 20, bool)
             flags[(hashes >> _SHIFT).astype(np.int64)] = True
-            self.by[size] = hashes, item, flags
+            self.by[size] = hashes[first], starts[first], np.append(first, len(hashes)), item, flags
+
+    def _texts(self, hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Numbers that are equal, among windows of one hash (they stand together), where the words are."""
+        out = np.zeros(len(hashes), np.int64)
+        same = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
+        other = same[~_equal(self.words, starts[same - 1], self.words, starts[same], size)]
+        w = self.words
+        for h in np.unique(hashes[other]):  # different words of one hash
+            a, b = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+            seen: dict[tuple, int] = {}
+            for i in range(a, b):
+                key = tuple(w.data[w.start[x] : w.end[x]].tobytes() for x in range(starts[i], starts[i] + size))
+                out[i] = seen.setdefault(key, len(seen))
+        return out
 
     def scan(self, w: bytescan.Words, hit: np.ndarray, found: dict[int, set[str]]) -> None:
         """Marks the hit words and adds each text's items."""
-        for size, (hashes, item, flags) in self.by.items():
+        for size, (hashes, origin, cut, item, flags) in self.by.items():
             starts, doc = bytescan.inside(w.first, size)
             h = bytescan.windows(w.hash, size)[starts] if len(starts) else np.zeros(0, np.uint64)
             maybe = np.flatnonzero(flags[(h >> _SHIFT).astype(np.int64)])
-            a, b = np.searchsorted(hashes, h[maybe]), np.searchsorted(hashes, h[maybe], side="right")
-            real = b > a
-            if not real.any():
-                continue
-            maybe, a, b = maybe[real], a[real], b[real]
-            hit |= bytescan.covered(starts[maybe], size, len(hit))
-            for d, x, y in set(zip(doc[maybe].tolist(), a.tolist(), b.tolist())):
-                found.setdefault(d, set()).update(self.names[i] for i in set(item[x:y].tolist()))
+            at, end = np.searchsorted(hashes, h[maybe]), np.searchsorted(hashes, h[maybe], side="right")
+            while len(maybe):  # one round, but for different windows of one hash
+                real = at < end
+                maybe, at, end = maybe[real], at[real], end[real]
+                good = _equal(w, starts[maybe], self.words, origin[at], size)
+                hit |= bytescan.covered(starts[maybe[good]], size, len(hit))
+                for d, x in set(zip(doc[maybe[good]].tolist(), at[good].tolist())):
+                    found.setdefault(d, set()).update(self.names[i] for i in set(item[cut[x] : cut[x + 1]].tolist()))
+                maybe, at, end = maybe[~good], at[~good] + 1, end[~good]
 
 
 def load(benchmark: DataFrame, key: str = "item_id", text: str = "text", width: int = WIDTH) -> list:
@@ -122,7 +164,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                     spans[a + doc] = [{"start": int(chars[x - base]), "end": int(chars[y - base])} for x, y in _spans(w, hit, doc)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, HITS)
+    return map_arrow(docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t")), run, HITS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", text: str = "text", width: int = WIDTH) -> DataFrame:

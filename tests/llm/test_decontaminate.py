@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from rowlake.llm import decontaminate
 
@@ -78,3 +80,17 @@ def test_empty(spark):
     assert decontaminate.find_hits(frame(spark), none).filter("n_hit > 0").count() == 0
     assert decontaminate.find_hits(frame(spark, []), none).count() == 0
     assert decontaminate.decontaminate(frame(spark), none).count() == len(TEXTS)
+
+
+def test_equal_hashes_are_verified(spark, monkeypatch):
+    docs, items = tables()
+    docs, items = docs[:60], items[:12] + items[-6:]
+    monkeypatch.setattr(decontaminate.bytescan, "windows", lambda hashes, size: np.full(max(0, len(hashes) - size + 1), 7 << 44, np.uint64))
+    index = decontaminate.Index(items)
+    got = []
+    for key, text in docs:
+        w = decontaminate.bytescan.words(*decontaminate.text_bytes(pa.array([text], pa.string())), decontaminate.bytescan.ALNUM, decontaminate.bytescan.LOWER)
+        hit, found = np.zeros(len(w.start), bool), {}
+        index.scan(w, hit, found)
+        got.append((key, len(w.start), int(hit.sum()), sorted(found.get(0, ()))))
+    assert got == brute(docs, items) and any(x[2] for x in got)
