@@ -13,8 +13,8 @@ The filter `escape` makes a text free of control strings and `unescape` undoes i
 backslash is set behind the first character of every place where a control string begins.
 
 A conversation is one training example and is rendered in one task; a task reads its conversations one after the other,
-in order of turn. Nulls: a null text or role is empty, null turns come first, rows without conv_id make one
-conversation. Rows of one turn go by role and text; repeated rows are turns of their own. An empty table gives an
+in order of turn. Nulls: a null text or role is empty, null turns come first, and each row without conv_id is a
+conversation of its own, so that they needn't meet in one task. Rows of one turn go by role and text; repeated rows are turns of their own. An empty table gives an
 empty one. Other columns may have any names.
 """
 
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowlake.llm.common import map_arrow
+
 #: Strings that models read as control.
 CONTROL = ["<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 DEFAULT = """{%- for m in messages -%}
@@ -427,14 +429,18 @@ def format_conversations(rows: DataFrame, template: str = DEFAULT, key: str = "c
     """One row per conversation: conv_id, formatted, and spans (start, end in code points) for the loss."""
     compiled = Template(template)
 
-    def conversations(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns))
+    def turns_of(batches: Iterator[pa.RecordBatch]):
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for k, turns in groupby(rows, key=lambda r: r[0]):
+            if k is None:
+                yield from ((k, [r]) for r in turns)
+            else:
+                yield k, turns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
         size = 0
-        for k, turns in groupby(conversations(batches), key=lambda r: r[0]):
+        for k, turns in turns_of(batches):
             formatted, spans = compiled.render([{"role": r, "text": t} for _, r, t in turns])
             done.append((k, formatted, [{"start": a, "end": b} for a, b in spans]))
             size += len(formatted)
@@ -450,8 +456,9 @@ def format_conversations(rows: DataFrame, template: str = DEFAULT, key: str = "c
 
     column = lambda name: F.col(f"`{name}`")
     clean = rows.select(column(key).cast("long").alias("k"), column(turn).cast("long").alias("n"), F.coalesce(column(role).cast("string"), F.lit("")).alias("r"), F.coalesce(column(text).cast("string"), F.lit("")).alias("t"))
-    ordered = clean.repartition("k").sortWithinPartitions("k", "n", "r", "t").select("k", "r", "t")
-    return ordered.mapInArrow(run, "conv_id long, formatted string, spans array<struct<start: bigint, end: bigint>>")
+    alone = F.when(F.col("k").isNull(), F.monotonically_increasing_id())
+    ordered = clean.withColumn("alone", alone).repartition("k", "alone").sortWithinPartitions("k", "n", "r", "t").select("k", "r", "t")
+    return map_arrow(ordered, run, "conv_id long, formatted string, spans array<struct<start: bigint, end: bigint>>")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
@@ -469,4 +476,4 @@ def digest(formatted: DataFrame) -> DataFrame:
             n, turns, chars, loss, size = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(turns, pa.string()), pa.array(chars, pa.int64()), pa.array(loss, pa.string()), pa.array(size, pa.int64())], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(formatted.select("conv_id", "formatted", "spans"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

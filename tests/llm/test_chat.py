@@ -54,14 +54,16 @@ def test_conversations(spark):
     rows = [(1, 1, "assistant", "b\\<|end|>"), (1, 0, "user", "a"), (1, 2, "assistant", None), (2, None, None, "x"), (2, 0, "assistant", ""), (None, 0, "user", "n"), (None, 1, "assistant", "m"), (3, 0, "user", "t"), (3, 0, "user", "t"), (3, 0, "assistant", "é日" * 20000), (-1, 0, "user", hard), (-1, 1, "assistant", hard)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, k string, n int")
     formatted = chat.format_conversations(df)
-    got = {r.conv_id: r for r in chat.digest(formatted).collect()}
-    for key in {r[0] for r in rows}:
+    lone = [r for r in chat.digest(formatted).collect() if r.conv_id is None]
+    assert sorted((r.n_turns, r.loss_chars) for r in lone) == [(1, 0), (1, 1)]  # rows without conv_id stand alone
+    got = {r.conv_id: r for r in chat.digest(formatted).collect() if r.conv_id is not None}
+    for key in {r[0] for r in rows} - {None}:
         turns = sorted(((n is not None, n or 0, r or "", t or "") for k, n, r, t in rows if k == key))
         loss = "".join(t for _, _, r, t in turns if r == "assistant")
         r = got[key]
         assert (r.n_turns, r.loss_chars) == (len(turns), len(loss))
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, _, a, b in turns).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    assert len(got) == 5 and chat.digest(chat.format_conversations(df.limit(0))).count() == 0
+    assert len(got) == 4 and chat.digest(chat.format_conversations(df.limit(0))).count() == 0
     text = next(r.formatted for r in formatted.collect() if r.conv_id == -1)
     assert text.count("<|end|>") == 2 and "</s>" not in text and "[INST]" not in text
