@@ -16,15 +16,20 @@ largest one, and against the first of themselves. What is still apart is settled
 prefixes: shingles are ordered by how few of the texts at issue have them, and of two texts of similarity THRESHOLD the
 first shingle in this order that both have lies within the first 1 - THRESHOLD of the heavier one's weight, within the
 first (1 - THRESHOLD) / (1 + THRESHOLD) of the lighter one's, and with enough weight behind it in both for the overlap
-that such a similarity needs. Texts of different components for which that holds are compared. So a pair of a bucket is left out only if its texts are in one component, or are proven apart. A pair
-counts if its exact weighted Jaccard similarity is THRESHOLD or more.
+that such a similarity needs; and the lighter one weighs at least THRESHOLD of the heavier one, so texts meet under a
+shingle and a range of weight. Texts of different components for which that holds are compared. So a pair of a bucket is
+left out only if its texts are in one component, or are proven apart. A pair counts if its exact weighted Jaccard
+similarity is THRESHOLD or more. Texts go to the comparison by pair; a leader of many is dealt to several keys.
 
 The driver sees the sketch (a fixed size) and counts, never documents, links or components. Tables that are read again
 are written to the shared folder.
 
 Nulls: a null text is no copy of anything; equal texts, also empty ones, are copies. A text without words is near
 nothing else. Rows without doc_id join the class of an equal text, and class_id is null if none of it has a doc_id.
-Repeated rows are in one class. An empty table gives an empty one. Other columns may have any names.
+Repeated rows are in one class. Ties: a similarity of just THRESHOLD counts, and of equal texts the smallest doc_id goes
+for all. A text of any length is shingled whole; one of more than CHUNK bytes stands alone in its step, with some 60
+bytes of memory a byte. An empty table gives an empty one. Other columns may have any names. Links that take more than
+ROUNDS rounds of label passing (which halves paths, so chains of 2**ROUNDS) end in an error, not in a wrong class.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlake.llm import bytescan
-from rowlake.llm.common import Scratch, free_name, slices, text_bytes
+from rowlake.llm.common import Scratch, free_name, map_arrow, slices, text_bytes
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -46,7 +51,10 @@ SKETCH, COMMON, SLICE = 1 << 20, 0.2, 1 << 14
 POOL = 1 << 18
 #: Texts at issue for each part of the shingles' hashes, which one task counts.
 PART = 2000
+#: Pairs of one leader that are compared under one key.
+LEADER = 1000
 CHUNK = 1 << 19
+ROUNDS = 200
 _SLOT, _PLACE = np.uint64(64 - 20), np.uint64(64 - 18)
 _SEEDS = bytescan.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -141,7 +149,7 @@ def frequencies(rows: DataFrame) -> Frequencies:
             yield pa.RecordBatch.from_pydict({"slice": pa.array(list(numbers), pa.int32()), "n": pa.array(list(numbers.values()), pa.int64()), "counts": pa.array([zlib.compress(totals[s].astype("<i8").tobytes(), 1) if s >= 0 else b"" for s in numbers], pa.binary())})
 
     kind = "slice int, n long, counts binary"
-    parts = rows.mapInArrow(gather, kind).repartition(SKETCH // SLICE, "slice").mapInArrow(merge, kind).collect()  # one row a slice
+    parts = map_arrow(rows, gather, kind).repartition(SKETCH // SLICE, "slice").mapInArrow(merge, kind).collect()  # one row a slice
     documents = sum(r.n for r in parts)
     counters = {}
     for r in parts:
@@ -231,16 +239,20 @@ def _links(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> Dat
             kept = pa.array(similarities(batch.column(2), batch.column(3), known) >= threshold - 1e-9)
             yield batch.select([0, 1]).filter(kept)
 
-    one = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
-    two = one.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    # a leader of very many pairs is dealt to several keys, with a copy of its text for each
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / LEADER).cast("int").alias("parts"))
+    shown = texts.join(parts.withColumnRenamed("b", "rep"), "rep").select(F.col("rep").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("tb"))
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    one = dealt.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
+    two = one.join(shown, ["b", "part"])
+    return map_arrow(two.select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(rep, comp): the smallest rep that links lead to; only reps with links. Repeats until nothing changes."""
     both = scratch.write(links.union(links.select("b", "a")).toDF("u", "v").distinct(), f"{name}-edges")
     labels = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "rep"), f"{name}-0")
-    for i in range(1, 200):
+    for i in range(1, ROUNDS):
         near = both.join(labels.toDF("v", "c"), "v").groupBy("u").agg(F.min("c").alias("c"))
         new = labels.join(near.withColumnRenamed("u", "rep"), "rep").select("rep", F.least("comp", "c").alias("comp"), F.col("comp").alias("was"))
         new = new.join(labels.toDF("comp", "up"), "comp", "left")  # the label of the label
@@ -328,16 +340,19 @@ def _prefix_pairs(apart: DataFrame, texts: DataFrame, weights, threshold: float,
             yield pa.RecordBatch.from_pydict({"rep": full(rep, np.int64), "comp": full(comps[0], np.int64), "shingle": pa.array(items["hash"][kept].view(np.int64)), "weight": full(total[-1], np.float64), "behind": pa.array(total[-1] - total[kept] + items["weight"][kept])})
 
     kind = "rep long, comp long, items binary"
-    rows = apart.join(texts, "rep").select("rep", "comp", "text").mapInArrow(spread, f"part int, {kind}")
+    rows = map_arrow(apart.join(texts, "rep").select("rep", "comp", "text"), spread, f"part int, {kind}")
     rows = rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, kind)
     rows = rows.repartition("rep").sortWithinPartitions("rep").mapInArrow(prefixes, "rep long, comp long, shingle long, weight double, behind double")
     rows = scratch.write(rows, "prefixes")
     # behind: the weight of the shingle and those after it. The lighter text is the left side of the join.
     least = threshold / (1 + threshold)
-    light = rows.filter(F.col("behind") >= 2 * least * F.col("weight") - 1e-4)
-    heavy = rows.toDF("rep2", "comp2", "shingle", "weight2", "behind2")
+    # Similar texts weigh within a factor of the threshold, so only texts of one or two neighbouring ranges of weight meet.
+    step = -float(np.log(threshold)) + 1e-6
+    at = F.floor(F.log("weight") / step).cast("int")
+    light = rows.filter(F.col("behind") >= 2 * least * F.col("weight") - 1e-4).withColumn("range", F.explode(F.array(at, at + 1)))
+    heavy = rows.withColumn("range", at).toDF("rep2", "comp2", "shingle", "weight2", "behind2", "range")
     order = "(weight < weight2 or (weight = weight2 and rep < rep2))"
-    met = light.join(heavy, "shingle").filter(f"comp <> comp2 and {order} and least(behind, behind2) >= {least!r}D * (weight + weight2) - 1e-4D")
+    met = light.join(heavy, ["shingle", "range"]).filter(f"comp <> comp2 and {order} and least(behind, behind2) >= {least!r}D * (weight + weight2) - 1e-4D")
     return met.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
 
 
@@ -347,7 +362,7 @@ def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     weights = spark.sparkContext.broadcast(frequencies(source.select("text")))
     hashed = source.select("doc_id", F.md5(F.col("text").cast("binary")).alias("content"), "text")
-    signed = scratch.write(hashed.mapInArrow(_signatures(weights), "doc_id long, content string, bands array<bigint>"), "signed")
+    signed = scratch.write(map_arrow(hashed, _signatures(weights), "doc_id long, content string, bands array<bigint>"), "signed")
     reps = signed.filter("content is not null").groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     reps = scratch.write(reps, "reps")
     every = reps.filter("rep is not null").select("rep", F.explode("bands").alias("bucket"))

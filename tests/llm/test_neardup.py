@@ -20,7 +20,7 @@ def brute(docs, threshold=0.8):
     """Classes by all pairs: equal texts, and weighted Jaccard similarity of the threshold or more."""
     bags = [bag(t) for _, t in docs]
     df, n = Counter(x for b in bags for x in b), len(docs)
-    idf = {x: min(1, max(0.01, np.log(min(1, c / n)) / np.log(neardup.COMMON))) if c > max(2, neardup.COMMON * n) else 1 for x, c in df.items()}
+    idf = {x: min(1, max(0.01, np.log(min(1, c / n)) / np.log(0.2))) if c > max(2, 0.2 * n) else 1 for x, c in df.items()}
     parent = list(range(n))
 
     def find(i):
@@ -117,3 +117,41 @@ def test_deduplicate(spark):
 def test_empty(spark):
     assert neardup.classes(frame(spark, []), Scratch(spark, "t")).count() == 0
     assert neardup.deduplicate(frame(spark, []), Scratch(spark, "t")).count() == 0
+
+
+def test_idf_acts_on_passages_of_very_many_documents(spark):
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"q{rng.randint(0, 10**6)}" for _ in range(n))
+    notice = say(90)
+    docs = [(i, f"{notice} {say(18)}") for i in range(60)] + [(100 + i, say(60)) for i in range(30)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame(spark, docs), Scratch(spark, "t")).collect()}
+    assert got == {k: k for k, _ in docs} == dict(brute(docs))  # the notice alone makes nothing similar
+    plain = [(bag(a), bag(b)) for (_, a), (_, b) in combinations(docs[:10], 2)]
+    tf = max(sum((a & b).values()) / sum((a | b).values()) for a, b in plain)
+    found = neardup.frequencies(spark.createDataFrame(docs, "k long, text string").select("text"))
+    words, doc, n = neardup.counted(*neardup.shingles(*neardup.text_bytes(pa.array([docs[0][1]]))))
+    idf = found.of(words)
+    assert tf > 0.6 and idf is not None and (idf < 0.3).sum() == 86 and (idf == 1).sum() == len(words) - 86
+
+
+def test_thousands_of_texts_from_templates(spark, monkeypatch):
+    """Texts that share one long passage and aren't similar: neither one leader's key nor one shingle's takes them all."""
+    monkeypatch.setattr(neardup, "LEADER", 50)
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"z{rng.randint(0, 10**6)}" for _ in range(n))
+    passage = say(60)
+    docs = [(i, f"{passage} {say(15 + i % 60)}") for i in range(2000)]
+    copy = docs[7][1].split()
+    docs += [(5000 + i, " ".join(copy[: 10 + i] + ["edit"] + copy[11 + i :])) for i in range(3)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame(spark, docs), Scratch(spark, "t")).collect()}
+    bags = {k: bag(t) for k, t in docs}
+    near = lambda a, b: sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values())
+    assert all(got[5000 + i] == 7 for i in range(3) if near(7, 5000 + i)) and any(near(7, 5000 + i) for i in range(3))
+    assert all(got[k] == k for k, _ in docs[:2000])
+
+
+def test_long_texts(spark):
+    words = [f"v{i % 7919}" for i in range(20000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:-9] + ["new"] * 9)), (3, " ".join(words[10000:])), (4, "x" * 200_000), (5, "x" * 200_000), (6, "x" * 199_999)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame(spark, docs), Scratch(spark, "t")).collect()}
+    assert got == dict(brute(docs))
