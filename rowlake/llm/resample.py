@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlake.llm import bytescan
-from rowlake.llm.common import Scratch, slices, text_bytes
+from rowlake.llm.common import Scratch, map_arrow, slices, text_bytes
 
 BUCKETS, SAMPLE, SMOOTH, SHARE = 1 << 16, 20_000, 1.0, 0.9
 BINS, CHUNK = 1024, 1 << 20
@@ -71,7 +71,7 @@ def models(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str
             yield pa.RecordBatch.from_pydict({"slice": pa.array(list(totals), pa.int32()), "counts": pa.array([x.astype("<i8").tobytes() for x in totals.values()], pa.binary())})
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
-    parts = rows.mapInArrow(count, "slice int, counts binary").repartition(16, "slice").mapInArrow(merge, "slice int, counts binary").collect()
+    parts = map_arrow(rows, count, "slice int, counts binary").repartition(16, "slice").mapInArrow(merge, "slice int, counts binary").collect()
     totals = np.zeros((2, BUCKETS), np.int64)
     for r in parts:
         totals[:, r.slice * BUCKETS // 16 : (r.slice + 1) * BUCKETS // 16] = np.frombuffer(r.counts, "<i8").reshape(2, -1)
@@ -93,7 +93,7 @@ def weigh(docs: DataFrame, table: np.ndarray, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(out - np.log(-np.log(uniform)))], names=["doc_id", "log_weight", "draw"])
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{key}`").cast("long"), F.lit("gumbel")).alias("h"), F.col(f"`{text}`").cast("string").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, log_weight double, draw double")
+    return map_arrow(rows, run, "doc_id long, log_weight double, draw double")
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> float:

@@ -9,8 +9,9 @@ corpus. One task learns from them in that order; scoring is one pass over all do
 language, source and doc_id are no inputs of a score.
 
 Nulls: a null text is empty, and scores as the base rate; rows without doc_id are scored but never learned from; a null
-label is none, and of several labels of a document the largest counts. Without labels every score is 0.5. Repeated
-rows get equal scores. An empty table gives an empty one. Other columns may have any names.
+label is none, and of several labels of a document the largest counts, of several texts the smallest. Without labels
+every score is 0.5. Ties: a score of just the threshold is predicted 1. A text of any length is read whole, in steps of
+about CHUNK bytes of whole texts. Repeated rows get equal scores and are learned from once. An empty table gives an empty one. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlake.llm import bytescan
-from rowlake.llm.common import slices, text_bytes
+from rowlake.llm.common import map_arrow, slices, text_bytes
 
 BITS, SAMPLE, EPOCHS = 20, 24_000, 5
 #: alpha, beta: the rates of coordinates; l1 (times the root of the rows, 1 at least) and l2: the penalties.
@@ -71,7 +72,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     known = labels.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).dropna().groupBy("k").agg(F.max("y").alias("y"))
     chosen = known.filter(~held_out(F.col("k"))).orderBy(F.xxhash64("k"), "k").limit(sample)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
-    rows = rows.join(F.broadcast(chosen), "k").select(F.xxhash64("k").alias("h"), "k", "t", "y").repartition(1).sortWithinPartitions("h", "k", "t")
+    rows = rows.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t"))  # a labelled document once, however often it is there
+    rows = rows.select(F.xxhash64("k").alias("h"), "k", "t", "y").repartition(1).sortWithinPartitions("h", "k", "t")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -88,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
             bias, x, w = fit(found, np.array(marks, float))
             yield pa.RecordBatch.from_pydict({"x": pa.array([-1, *x.tolist()], pa.int32()), "w": pa.array([bias, *w.tolist()], pa.float64())})
 
-    got = rows.select("t", "y").mapInArrow(learn, "x int, w double").collect()
+    got = map_arrow(rows.select("t", "y"), learn, "x int, w double").collect()
     return next((r.w for r in got if r.x < 0), 0.0), np.array([r.x for r in got if r.x >= 0], np.int64), np.array([r.w for r in got if r.x >= 0])
 
 
@@ -111,4 +113,4 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], key: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(sums, -500, 500))))], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), held_out(F.col(f"`{key}`").cast("long")).alias("held_out"), F.col(f"`{text}`").cast("string").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return map_arrow(rows, run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -44,6 +44,64 @@ def test_score_is_the_sum_of_distinct_features(spark):
     assert toxicity.score(frame(spark, [(1, text)]), model).first().score == pytest.approx(1 / (1 + np.exp(1.0 - 9 * 0.25)))
 
 
+def plain_ftrl(rows, labels, epochs=toxicity.EPOCHS):
+    """FTRL-proximal as its paper writes it, a coordinate at a time."""
+    from math import exp, log, sqrt
+
+    z, n, ones = {}, {}, sum(labels)
+    bias, bias_n, l1 = log((ones + 0.5) / (len(labels) - ones + 0.5)), 1.0, max(1.0, 0.045 * len(labels) ** 0.5)
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((1.0 + sqrt(n[i])) / 1.0 + 1.0)
+    for _ in range(epochs):
+        for row, y in zip(rows, labels):
+            w = {i: weight(i) for i in row.tolist()}
+            g = 1 / (1 + exp(-max(-30, min(30, bias + sum(w.values()))))) - y
+            for i, x in w.items():
+                sigma = sqrt(n.get(i, 0.0) + g * g) - sqrt(n.get(i, 0.0))
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * x, n.get(i, 0.0) + g * g
+            bias_n += g * g
+            bias -= g / sqrt(bias_n)
+    return bias, {i: weight(i) for i in z if abs(z[i]) > l1}
+
+
+def test_fit_is_plain_ftrl_proximal():
+    rng = np.random.default_rng(9)
+    marks = (rng.random(150) < 0.3).astype(float)
+    rows = [np.unique(np.append(rng.integers(0, 400, 20), [7] if y else [9])).astype(np.int32) for y in marks]
+    bias, at, w = toxicity.fit(rows, marks)
+    want_bias, want = plain_ftrl(rows, marks.tolist())
+    assert bias == pytest.approx(want_bias) and dict(zip(at.tolist(), w.tolist())) == pytest.approx(want)
+    assert 0 < len(want) < 400  # L1 leaves most coordinates at 0
+
+
+def test_repeated_labelled_rows_are_learned_once(spark):
+    docs, labels = corpus(300)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
+    once, again = toxicity.train(frame(spark, docs), known), toxicity.train(frame(spark, docs + docs[50:150] * 3), known)
+    assert once[0] == again[0] and once[1].tolist() == again[1].tolist() and once[2].tolist() == again[2].tolist()
+
+
+def test_long_texts_and_texts_without_blanks(spark):
+    docs, labels = corpus(400)
+    long = [(1, "fine " * 20000 + "Nasty"), (2, "y" * 300_000), (3, "fine " * 20000)]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
+    df = frame(spark, docs[len(TEXTS) :] + long)
+    got = {r.doc_id: r.score for r in toxicity.score(df, toxicity.train(df, known)).collect()}
+    assert all(0 <= got[k] <= 1 for k, _ in long) and got[1] >= got[3]
+    assert {r.doc_id for r in resample.resample(df, known, Scratch(spark, "t")).collect()} >= {1, 2, 3}
+
+
+def test_resampling_prefers_the_target(spark):
+    """Of the sample tables' labelled rows, those of quality 1 stay more often."""
+    import duckdb
+    from rowlake.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    kept = {r.doc_id: r.kept for r in queries.op10_importance_resampling(spark, sf).collect()}
+    rows = duckdb.sql(f"select doc_id, quality from '{sf}/labels.parquet' where quality is not null").fetchall()
+    share = {q: np.mean([kept[k] for k, y in rows if y == q]) for q in (0, 1)}
+    assert share[1] >= 0.97 and share[0] <= 0.7
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score(frame(spark), toxicity.train(frame(spark), none)).collect()} == {0.5}
