@@ -2,8 +2,9 @@
 
 Words are runs of [^\\x20\\x09-\\x0D]+. A line is normalised to its words, A-Z lower-cased and digits made 0, and hashed.
 For each host the distinct documents that have the line are counted; documents of one and the same text count once, so
-that copies don't make each other's lines frequent. Lines in more than max(MIN_DOCS, MAX_SHARE of the host's documents)
-are removed, and a document that loses more than MAX_LOSS of its words is depleted and rejected. Counts go by
+that copies don't make each other's lines frequent. Lines in more than MAX_SHARE of the host's documents, MIN_DOCS at
+least and MAX_DOCS at most, are removed: so a line of a fifth of a small host goes, and one of thousands of documents
+of a very large host too; and a document that loses more than MAX_LOSS of its words is depleted and rejected. Counts go by
 (host, line) with partial sums in every task; no host, line or document group meets in one task.
 
 Nulls: a null text is empty and fails the base rules; a null host is a host of its own, as is a missing host column.
@@ -20,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlake.llm import bytescan
-from rowlake.llm.common import Scratch, column_or_null, free_name, map_batches, slices, text_bytes
+from rowlake.llm.common import Scratch, column_or_null, free_name, map_arrow, map_batches, slices, text_bytes
 
-MIN_DOCS, MAX_SHARE, MAX_LOSS = 50, 0.01, 0.7
+MIN_DOCS, MAX_SHARE, MAX_DOCS, MAX_LOSS = 10, 0.05, 1000, 0.7
 MIN_WORDS, WINDOW, MAX_REPEATED = 20, 8, 30
 #: Frequent lines that are broadcast for the removal of lines; beyond, the lists of lines are joined to the documents.
 MAX_BROADCAST = 200_000
@@ -95,28 +96,29 @@ def features(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
         column_or_null(docs, key, "long").alias("k"), F.coalesce(column_or_null(docs, host, "string"), F.lit("")).alias("h"),
         F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("c"), F.col(f"`{text}`").cast("string").alias("t"),
     )
-    return scratch.write(rows.mapInArrow(_features, FEATURES), "features")
+    return scratch.write(map_arrow(rows, _features, FEATURES), "features")
 
 
-def frequent_lines(feats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def frequent_lines(feats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """(host, line, n_docs) of the lines above the limit of their host."""
     hosts = feats.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("of"))
     lines = feats.select("host", "content", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
-    return lines.filter(F.col("n_docs") > min_docs).join(hosts, "host").filter(F.col("n_docs") > F.col("of") * max_share).drop("of")
+    limit = F.least(F.lit(float(max_docs)), F.col("of") * max_share)
+    return lines.filter(F.col("n_docs") > min_docs).join(hosts, "host").filter(F.col("n_docs") > limit).drop("of")
 
 
-def verdicts(feats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS) -> DataFrame:
+def verdicts(feats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, max_docs: int = MAX_DOCS) -> DataFrame:
     """feats without lines, with n_removed_words and kept."""
     lines = feats.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
-    removed = lines.join(frequent_lines(feats, min_docs, max_share), ["host", "line"]).groupBy("row").agg(F.sum("n").alias("n_removed_words"))
+    removed = lines.join(frequent_lines(feats, min_docs, max_share, max_docs), ["host", "line"]).groupBy("row").agg(F.sum("n").alias("n_removed_words"))
     out = feats.drop("lines", "line_words").join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= F.col("n_words") * max_loss)).drop("row")
 
 
-def filter_documents(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS) -> DataFrame:
+def filter_documents(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, max_docs: int = MAX_DOCS) -> DataFrame:
     """The documents that are kept, without their frequent lines; the columns stay, and n_chars follows the text."""
     feats = features(docs, scratch, key, text, host)
-    frequent = scratch.write(frequent_lines(feats, min_docs, max_share), "frequent")
+    frequent = scratch.write(frequent_lines(feats, min_docs, max_share, max_docs), "frequent")
     columns, at, schema = docs.columns, docs.columns.index(text), docs.schema
     chars = columns.index("n_chars") if "n_chars" in columns else None
     host_column = F.coalesce(column_or_null(docs, host, "string"), F.lit(""))

@@ -97,17 +97,17 @@ line AS (SELECT r, host, text, x, regexp_extract_all(x, {_WORDS7}) AS lw FROM (S
 full_ AS (SELECT *, regexp_replace(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS k FROM line WHERE len(lw) > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM full_ GROUP BY 1),
 hosts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY 1),
-often AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT text) AS c FROM full_ GROUP BY 1, 2) JOIN hosts USING (host) WHERE c > {quality.MIN_DOCS} AND c > {quality.MAX_SHARE} * n),
+often AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT text) AS c FROM full_ GROUP BY 1, 2) JOIN hosts USING (host) WHERE c > {quality.MIN_DOCS} AND c > least({quality.MAX_DOCS}.0, {quality.MAX_SHARE} * n)),
 gone AS (SELECT r, sum(len(lw)) AS n FROM full_ JOIN often USING (host, k) GROUP BY 1),
 base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_removed_words <= n_words * {quality.MAX_LOSS} AS kept FROM base"""
 
 _OP6 = """
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', NULL UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', NULL),
 e AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss, length(text) + length(text) - length(replace(text, chr(92), ''))
   + length(text) - length(replace(text, '<|', '<')) + length(text) - length(replace(text, '|>', '>')) + (length(text) - length(replace(text, '<s>', ''))) // 3 + (length(text) - length(replace(text, '</s>', ''))) // 4
   + (length(text) - length(replace(text, '[INST]', ''))) // 6 + (length(text) - length(replace(text, '[/INST]', ''))) // 7 + (length(text) - length(replace(text, '<<SYS>>', ''))) // 7 + (length(text) - length(replace(text, '<</SYS>>', ''))) // 8 + length(role) + 13 AS chars FROM c)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY 1"""
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id, alone"""
 
 
 _OP4 = """

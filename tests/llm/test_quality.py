@@ -21,7 +21,7 @@ def normal(line):
     return tuple(re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), w)) for w in re.findall(r"[^\x20\x09-\x0D]+", line))
 
 
-def brute(rows, min_docs, share, loss):
+def brute(rows, min_docs, share, loss, most=1000):
     """rows: (doc_id, text, host) -> (doc_id, n_words, ..., base_failed, removed, kept), and the kept texts."""
     texts = {(h or "", t or "") for _, t, h in rows}
     of = Counter(h for h, _ in texts)
@@ -29,7 +29,7 @@ def brute(rows, min_docs, share, loss):
     out = []
     for k, t, h in rows:
         b = base(t)
-        bad = [x for x in (t or "").split("\n") if (c := seen[h or "", normal(x)]) > min_docs and c > share * of[h or ""]]
+        bad = [x for x in (t or "").split("\n") if (c := seen[h or "", normal(x)]) > min_docs and c > min(most, share * of[h or ""])]
         gone = sum(len(normal(x)) for x in bad)
         out.append((k, *b, gone, not b[5] and gone <= loss * b[0]))
     return out
@@ -74,3 +74,18 @@ def test_filter_removes_lines(spark, monkeypatch):
 def test_empty(spark):
     assert quality.verdicts(quality.features(table(spark, []), Scratch(spark, "t"))).count() == 0
     assert quality.filter_documents(frame(spark, []), Scratch(spark, "t")).count() == 0
+
+
+def test_production_limits(spark):
+    """A line of a fifth of a small host goes, one of few documents of a middling host stays, one above the ceiling goes on a large host."""
+    letters = lambda n: "".join("abcdefghij"[int(x)] for x in str(n))  # noqa: E731  (digits are all alike in a line)
+    say = lambda i: " ".join(f"p{letters(i)}q{letters(j)}" for j in range(30))
+    rows = [(i, ("Subscribe to our letter\n" if i < 11 else "") + say(i), "small") for i in range(50)]
+    rows += [(1000 + i, ("Read it again\n" if i < 11 else "") + say(1000 + i), "middling") for i in range(500)]
+    rows += [(2000 + i, ("All rights reserved\n" if i < 60 else "") + say(2000 + i), "large") for i in range(1500)]
+    feats = quality.features(table(spark, rows), Scratch(spark, "t"))
+    lines = {(r.host, r.n_docs) for r in quality.frequent_lines(feats).collect()}
+    assert lines == {("small", 11)} and quality.MAX_DOCS == 1000
+    assert {(r.host, r.n_docs) for r in quality.frequent_lines(feats, max_docs=50).collect()} == {("small", 11), ("large", 60)}
+    got = {r.doc_id: r.n_removed_words for r in quality.verdicts(feats).collect()}
+    assert got == {x[0]: x[-2] for x in brute(rows, quality.MIN_DOCS, quality.MAX_SHARE, quality.MAX_LOSS)}
