@@ -1,13 +1,14 @@
 """Secret scans: candidates by pattern, and a random forest that takes the false positives out.
 
 Finding, features, scoring and redaction are SQL expressions. A candidate is a match of PATTERN; the text between
-matches gives its place and its neighbouring words (up to NEARBY characters of it). The features of a candidate are its length, how its characters
+matches gives its place and its neighbouring words, whole. The features of a candidate are its length, how its characters
 change class, how much of it dictionary words cover, what of a path is in and around it, and which words stand beside
 it. The forest is grown on the driver from labelled findings, a table of at most SAMPLE rows, by default the built-in
 ones; its trees become nested CASE expressions, and the score is the mean share of true findings in the leaves.
 
 Nulls: a null text has no candidates. Overlapping matches don't occur: a candidate begins where the last has ended.
-Repeated rows give repeated findings. An empty table gives no findings. Other columns may have any names.
+Ties: a score of just the threshold is a secret. A text of any length is searched whole, and a secret of any length is
+one candidate. Repeated rows give repeated findings. An empty table gives no findings. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ DICTIONARY = ["example", "changeme", "change", "password", "secret", "default",
 NEAR = r"(?i)(pass|secret|token|key|auth|credential|login|bearer)"
 FAKE = r"(?i)(example|sample|dummy|test|fake|placeholder|mock|fixture|template|checksum|sha|md5|commit|uuid|hash|digest|revision)"
 FEATURES = ["length", "digits", "uppers", "symbols", "to_digit", "to_letter", "case_changes", "repeats", "covered", "vowels", "slashes", "dots", "in_path", "near_before", "fake_before", "fake_after", "fake_source", "known_kind"]
-SAMPLE, TREES, DEPTH, LEAF, SEED, NEARBY = 6000, 15, 7, 3, 7, 200
+SAMPLE, TREES, DEPTH, LEAF, SEED = 6000, 15, 7, 3, 7
 
 
 def _value(candidate: Column) -> Column:
@@ -52,13 +53,13 @@ def feature_columns(candidate: Column, before: Column, after: Column, source: Co
     n = F.greatest(F.length(v), F.lit(1))
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
-    last = F.lower(F.regexp_extract(before, r"(\S*\s*\S*\s*\S*)$", 1))
-    first = F.lower(F.regexp_extract(after, r"^(\S*\s*\S*)", 1))
+    spaced = lambda x: F.regexp_replace(x, r"\s+", " ")
+    last, first = F.lower(F.substring_index(spaced(before), " ", -3)), F.lower(F.substring_index(spaced(after), " ", 2))
     kinds = [flag(candidate.rlike("^" + KINDS[k])) for k in ("private_key", "aws_key", "github", "slack", "google", "jwt", "url_password")]
     out = [
         F.least(F.length(v), F.lit(400)), share("[0-9]"), share("[A-Z]"), share("[^A-Za-z0-9]"), share("[A-Za-z](?=[0-9])"), share("[0-9](?=[A-Za-z])"),
         share("[a-z](?=[A-Z])|[A-Z](?=[a-z])"), share(r"(.)(?=\1)"), (F.length(v) - F.length(F.regexp_replace(F.lower(v), "|".join(DICTIONARY), ""))) / n, share("[aeiouAEIOU]"),
-        share("/"), share(r"\."), flag(last.rlike(r"[/\\]\S*$|https?:") | first.rlike(r"^\.\w") | v.rlike(r"^[/.~]|\.(?:py|js|java|html?|png|jpe?g|css|json|txt)$")),
+        share("/"), share(r"\."), flag(F.substring_index(last, " ", -1).rlike(r"[/\\]") | last.rlike("https?:") | first.rlike(r"^\.\w") | v.rlike(r"^[/.~]|\.(?:py|js|java|html?|png|jpe?g|css|json|txt)$")),
         flag(last.rlike(NEAR) | candidate.rlike("^" + NAMED)), flag(last.rlike(FAKE)), flag(first.rlike(FAKE)), flag(F.coalesce(source, F.lit("")).rlike(FAKE)), F.greatest(*kinds),
     ]
     return [c.cast("double").alias(f"f_{name}") for c, name in zip(out, FEATURES)]
@@ -189,7 +190,7 @@ def find(docs: DataFrame, forest: list, key: str = "doc_id", text: str = "text",
     rows = _split(docs, text, source, F.col(f"`{key}`").cast("long").alias("doc_id")).filter("_hits is not null")
     running = "aggregate(slice(_gaps, 1, size(_hits)), named_struct('at', 0, 'i', 0, 'out', cast(array() as array<int>)), (a, g) -> named_struct('at', a.at + length(g) + length(_hits[a.i]), 'i', a.i + 1, 'out', array_append(a.out, a.at + length(g))), a -> a.out)"
     rows = rows.withColumn("_starts", F.expr(running))
-    each = F.transform("_hits", lambda h, i: F.struct(h.alias("hit"), F.col("_starts")[i].alias("start"), F.right(F.col("_gaps")[i], F.lit(NEARBY)).alias("before"), F.substring(F.col("_gaps")[i + 1], 1, NEARBY).alias("after")))
+    each = F.transform("_hits", lambda h, i: F.struct(h.alias("hit"), F.col("_starts")[i].alias("start"), F.col("_gaps")[i].alias("before"), F.col("_gaps")[i + 1].alias("after")))
     each = rows.select("doc_id", "_path", F.explode(each).alias("x")).select("doc_id", "_path", "x.*")
     kind = F.coalesce(*(F.when(F.col("hit").rlike("^" + (NAMED + "[^\\r\\n]{6,}" if k == "assigned" else p)), F.lit(k)) for k, p in KINDS.items() if k != "random"), F.lit("random"))
     marked = each.select("doc_id", "start", (F.col("start") + F.length("hit")).alias("end"), kind.alias("kind"), F.sha2(_value(F.col("hit")), 256).alias("value_sha256"), *feature_columns(F.col("hit"), F.col("before"), F.col("after"), F.col("_path")))
@@ -204,7 +205,7 @@ def redact(docs: DataFrame, forest: list, text: str = "text", source: str = "sou
 
     def part(h: Column, i: Column) -> Column:
         gap = F.col("_gaps")[i + 1]
-        seen = F.array(F.struct(*feature_columns(h, F.right(F.col("_gaps")[i], F.lit(NEARBY)), F.substring(gap, 1, NEARBY), F.col("_path"))))
+        seen = F.array(F.struct(*feature_columns(h, F.col("_gaps")[i], gap, F.col("_path"))))
         score = F.transform(seen, lambda s: forest_column(forest, lambda name: s[f"f_{name}"]))[0]
         return F.concat(F.when(score >= threshold, F.lit(mark)).otherwise(h), gap)
 
