@@ -12,8 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of rows that an operator takes at a time; Spark's own batches hold spark.sql.execution.arrow.maxBytesPerBatch.
-BATCH_BYTES = 4 << 20
+#: Bytes of rows that an operator takes at a time, and that Spark hands over at a time unless the session says otherwise.
+BATCH_BYTES, BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 _open: dict[str, "Scratch"] = {}
 
 
@@ -119,7 +119,10 @@ def bounded(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Itera
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow in batches of bounded bytes, whatever the session's batch size is."""
+    """mapInArrow in batches of bounded bytes. A session that doesn't set BATCH_KEY itself gets BATCH_BYTES, which bounds the JVM's side too."""
+    conf = df.sparkSession.conf
+    if not df.sparkSession._jsparkSession.sessionState().conf().contains(BATCH_KEY):
+        conf.set(BATCH_KEY, BATCH_BYTES)
     return df.mapInArrow(lambda batches: run(bounded(batches)), schema)
 
 
