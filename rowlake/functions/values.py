@@ -77,9 +77,17 @@ def truncated(x: Column) -> Column:
     return F.when(F.abs(x) < 9.2e18, F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))).cast("long")
 
 
-def cast_to(c: Column, kind: T.DataType, to: str) -> Column:
-    """string, int, float or bool of a value, null where it has none; any other name leaves it."""
+def cast_to(c: Column, kind: T.DataType, to: str, strict: bool = False) -> Column:
+    """string, int, float or bool of a value, null where it has none; any other name leaves it.
+
+    strict reads texts as plain numbers, commas left out, without currencies, units or signs behind; whole ones for int.
+    """
     to = to.lower()
+    if strict and isinstance(kind, T.StringType) and to in ("int", "integer", "float", "double", "number"):
+        text = F.replace(F.trim(c), F.lit(","), F.lit(""))
+        if to.startswith("int"):
+            return F.when(text.rlike(r"^[+-]?[0-9]{1,19}$"), text).try_cast("long")
+        return F.when(text.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), text).try_cast("double")
     if to in ("string", "str"):
         return c.cast("string")
     if to in ("int", "integer"):

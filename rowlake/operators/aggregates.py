@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowlake.functions.values import col, kind_of, number, vts
+from rowlake.operators.ranges import percentiles
 
 BASIC = ("count", "sum", "avg", "min", "max")
 SKETCHED = re.compile(r"approx_count_distinct(?:_hll)?|hll_count|topk(?:_\d+)?|tdigest_p\d+|approx_percentile_p?\d+|approx_p\d+")
@@ -77,8 +78,8 @@ def aggregate_stats(df: DataFrame, group_by: list[str], aggregates: list[dict],
     names = list(group_by)
     out = df.groupBy(*keys).agg(F.count("*").alias("__n"), *plain)
     for field in dict.fromkeys(s["field"] for s in ranked):
-        mine = [s for s in ranked if s["field"] == field]
-        out = _null_safe(out, _percentiles(df, keys, names, field, mine), names)
+        mine = {s["as"]: share_of(s["op"]) for s in ranked if s["field"] == field}
+        out = _null_safe(out, percentiles(df.select(*keys, number(df, field).alias("__v")), names, "__v", mine), names)
     for s in parse_specs(aggregates):
         if s["op"].startswith("topk"):
             out = _null_safe(out, top_values(df, group_by, s["field"], int((s["op"].split("_") + ["5"])[1]), s["as"]), names)
@@ -87,21 +88,12 @@ def aggregate_stats(df: DataFrame, group_by: list[str], aggregates: list[dict],
 
 def _null_safe(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
     if not names:
-        return a.crossJoin(b)  # one row each
+        return a.crossJoin(b)  # one row each: both are aggregates without keys
     b = b.withColumnsRenamed({c: f"__r_{c}" for c in names})
     condition = [a[f"`{c}`"].eqNullSafe(b[f"`__r_{c}`"]) for c in names]
     return a.join(b, condition, "left").drop(*(f"__r_{c}" for c in names))
 
 
-def _percentiles(df: DataFrame, keys: list[Column], names: list[str], field: str, specs: list[dict]) -> DataFrame:
-    """Nearest ranks from counts of distinct values: partial sums per value first, then a running total in each group."""
-    counts = df.select(*keys, number(df, field).alias("__x")).filter("__x is not null").groupBy(*(col(c) for c in names), "__x").agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*(col(c) for c in names)).orderBy("__x")
-    ranked = counts.withColumn("__upto", F.sum("__c").over(w)).withColumn("__n", F.sum("__c").over(Window.partitionBy(*(col(c) for c in names))))
-    at = lambda p: F.floor((F.col("__n") - 1) * p + 0.5)
-    return ranked.groupBy(*(col(c) for c in names)).agg(*(F.min(F.when(F.col("__upto") > at(share_of(s["op"])), F.col("__x"))).alias(s["as"]) for s in specs))
-
-
 def top_values(df: DataFrame, group_by: list[str], field: str, n: int = 5, alias: str = "top") -> DataFrame:
     """The n most frequent texts of each group as [{value, count}]; of equally frequent ones the smaller text first."""
     n = min(100, max(1, n))
@@ -139,15 +131,16 @@ def verify_exact(df: DataFrame, group_by: list[str], aggregates: list[dict]) ->
 def chart_first_seen(df: DataFrame, order_by: str, category: str = "category", series: str = "series", value: str = "value") -> DataFrame:
     """category, series, value and the places of both in order of their first rows."""
     sums = df.groupBy(vts(col(category)).alias("category"), vts(col(series)).alias("series")).agg(F.coalesce(F.sum(number(df, value)), F.lit(0.0)).alias("value"), F.min(col(order_by)).alias("__first"))
-    place = lambda c: sums.groupBy(c).agg(F.min("__first").alias("__f")).select(c, F.row_number().over(Window.orderBy("__f", c)).alias(f"{c}_order"))  # noqa: E731  a row for each value
+    place = lambda c: sums.groupBy(c).agg(F.min("__first").alias("__f")).select(c, F.row_number().over(Window.orderBy("__f", c)).alias(f"{c}_order"))  # noqa: E731  a row for each value that the chart shows
     return sums.drop("__first").join(place("category"), "category").join(place("series"), "series")
 
 
 def chart_data(df: DataFrame, category: str, series: str, value: str, top_n: int = 100) -> DataFrame:
-    """category, series, value: sums over every pair of a kept category and a series, 0 where there are none."""
+    """category, series, value: sums over every pair of one of the first top_n categories and a series that one of them has, 0 where there are none."""
     sums = df.groupBy(vts(col(category)).alias("category"), vts(col(series)).alias("series")).agg(F.coalesce(F.sum(number(df, value)), F.lit(0.0)).alias("value"))
     categories = sums.select("category").distinct().orderBy("category").limit(top_n)
-    grid = categories.crossJoin(F.broadcast(sums.select("series").distinct().orderBy("series").limit(top_n)))
+    sums = sums.join(categories, "category", "left_semi")
+    grid = sums.select("series").distinct().crossJoin(F.broadcast(categories)).select("category", "series")  # the result itself: at most top_n rows a series
     return grid.join(sums, ["category", "series"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlake.functions.values import col, kind_of, miss, num, number, vts, ymd
+from rowlake.operators.ranges import percentiles
 
 DEFAULTS = {"max_null_ratio": 1.0, "max_z": 4.0, "max_psi": 0.25, "iqr_ratio": 0.10}
 #: The score falls by so much for each violation, by version.
@@ -116,27 +117,18 @@ def outliers_z(df: DataFrame, field: str, max_z: float = 4.0) -> DataFrame:
     return out.filter((F.col("__n") >= 3) & (F.col("__s") > 0) & (F.abs(x - F.col("__m")) / F.col("__s") > max_z)).drop("__m", "__s", "__n")
 
 
-def quartiles(df: DataFrame, field: str) -> DataFrame:
-    """One row: n, q1 and q3 by nearest rank, from counts of distinct values summed over ranges of them."""
-    counts = df.select(number(df, field).alias("x")).filter("x is not null").groupBy("x").agg(F.count("*").alias("c"))
-    n = counts.agg(F.sum("c").alias("n"))
-    ranked = running_totals(counts, "x", "c").crossJoin(F.broadcast(n))  # one row
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * p + 0.5), F.col("x")))
-    return ranked.agg(F.first("n").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+def quartiles(df: DataFrame, field: str, interpolated: bool = False) -> DataFrame:
+    """One row: n, q1 and q3 by nearest rank, or between the two nearest numbers (interpolated, from counts of distinct values in one task's memory)."""
+    rows = df.select(number(df, field).alias("x"))
+    n = rows.agg(F.count("x").alias("n"))
+    if interpolated:
+        return rows.agg(F.count("x").alias("n"), F.percentile("x", F.lit(0.25)).alias("q1"), F.percentile("x", F.lit(0.75)).alias("q3"))
+    return n.crossJoin(F.broadcast(percentiles(rows, [], "x", {"q1": 0.25, "q3": 0.75})))  # one row each
 
 
-def running_totals(df: DataFrame, order: str, value: str) -> DataFrame:
-    """df with upto, the sum of value over all rows up to this one, without one task for all: totals of ranges, then within."""
-    parts = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    sums = parts.groupBy("__p").agg(F.sum(value).alias("__s"))  # one row a partition
-    before = sums.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__before"))
-    w = Window.partitionBy("__p").orderBy(order)
-    return parts.join(F.broadcast(before), "__p").withColumn("upto", F.sum(value).over(w) + F.col("__before")).drop("__p", "__before")
-
-
-def iqr_outliers(df: DataFrame, field: str, factor: float = 1.5) -> DataFrame:
+def iqr_outliers(df: DataFrame, field: str, factor: float = 1.5, interpolated: bool = False) -> DataFrame:
     """One row: n and outliers, the numbers beyond factor quartile ranges; none below four numbers."""
-    x, q = number(df, field), quartiles(df, field)
+    x, q = number(df, field), quartiles(df, field, interpolated)
     wide = factor * (F.col("q3") - F.col("q1"))
     out = df.select(x.alias("x")).crossJoin(F.broadcast(q))  # one row
     beyond = (F.col("n") >= 4) & ((F.col("x") < F.col("q1") - wide) | (F.col("x") > F.col("q3") + wide))

@@ -43,6 +43,8 @@ class Rules:
     survivorship: dict = field(default_factory=dict)
     sort_by: list = field(default_factory=list)
     aggregate: dict = field(default_factory=dict)
+    strict_numbers: bool = False  # plain numbers with commas only, no currency grammar
+    max_rows: int | None = None  # more input rows than that are an error
 
     @classmethod
     def of(cls, rules: dict) -> Rules:
@@ -55,10 +57,12 @@ def _is(kind, to: str) -> bool:
     return {"string": ("string", "str"), "long": ("int", "integer"), "double": ("float", "double", "number"), "boolean": ("bool", "boolean")}.get(kind.typeName(), ()).__contains__(to.lower())
 
 
-def prepare(df: DataFrame, rules: Rules, keep_rejected: bool = True) -> DataFrame:
+def prepare(df: DataFrame, rules: Rules, keep_rejected: bool = True, counters: bool = False) -> DataFrame:
     """All rows, cleaned up to the filters, with __status: ok, cast_failed, required_missing or filter_rejected.
 
-    keep_rejected=False gives the ok rows only, without __status, by plain filters that can reach the scan.
+    keep_rejected=False gives the ok rows only, without __status, by plain filters that can reach the scan. counters
+    adds __cells and __parsed, a row's cells under number casts that aren't missing and those of them that are numbers,
+    and __hits, the names of the rules that rejected the row.
     """
     tokens = [str(x).lower() for x in rules.null_values]
     out: list[Column] = []
@@ -76,8 +80,11 @@ def prepare(df: DataFrame, rules: Rules, keep_rejected: bool = True) -> DataFram
     for c, value in rules.default_values.items():
         given = F.lit(value)
         df = df.withColumn(c, F.when(miss(col(c)), given.cast(kind_of(df, c))).otherwise(col(c)) if c in df.columns else given)
-    casts = {c: cast_to(col(c), kind_of(df, c), to) for c, to in rules.casts.items() if c in df.columns and not _is(kind_of(df, c), to)}
-    broken = [new.isNull() & col(c).isNotNull() for c, new in casts.items()]
+    known = {c: to for c, to in rules.casts.items() if c in df.columns}
+    casts = {c: cast_to(col(c), kind_of(df, c), to, rules.strict_numbers) for c, to in known.items() if not _is(kind_of(df, c), to)}
+    if rules.strict_numbers:  # absent columns under a cast are there, as null
+        df = df.withColumns({c: F.lit(None).cast("string") for c in rules.casts if c not in df.columns})
+    broken = [new.isNull() & (~miss(col(c)) if rules.strict_numbers else col(c).isNotNull()) for c, new in casts.items()]
     missing = [c for c in rules.required_fields if c not in df.columns]
     if not keep_rejected:
         for bad in broken:
@@ -88,10 +95,21 @@ def prepare(df: DataFrame, rules: Rules, keep_rejected: bool = True) -> DataFram
         for spec in rules.filters:
             df = df.filter(predicate(df, spec))
         return df
-    df = df.withColumn("__failed", reduce(lambda a, b: a | b, broken, F.lit(False))).withColumns(casts)
-    body = df.drop("__failed")
-    absent = reduce(lambda a, b: a | b, (miss(col(c)) if c in df.columns else F.lit(True) for c in rules.required_fields), F.lit(False))
-    kept = reduce(lambda a, b: a & b, (F.coalesce(predicate(body, s), F.lit(False)) for s in rules.filters), F.lit(True))
+    made = {"__failed": reduce(lambda a, b: a | b, broken, F.lit(False))}
+    if counters:
+        numeric = [c for c, to in known.items() if to.lower() in ("int", "integer", "float", "double", "number", "decimal")]
+        one = lambda flags: sum((F.when(x, 1).otherwise(0) for x in flags), F.lit(0))
+        made["__cells"], made["__parsed"] = one(~miss(col(c)) for c in numeric), one(~miss(col(c)) & casts.get(c, col(c)).isNotNull() for c in numeric)
+        made["__hits"] = F.array(*(F.when(bad, F.lit(f"cast_fail_{c}")) for c, bad in zip(casts, broken))) if casts else F.array().cast("array<string>")
+    df = df.withColumns(made).withColumns(casts)
+    body = df.drop(*made)
+    lacking = [miss(col(c)) if c in df.columns else F.lit(True) for c in rules.required_fields]
+    passing = [F.coalesce(predicate(body, s), F.lit(False)) for s in rules.filters]
+    absent = reduce(lambda a, b: a | b, lacking, F.lit(False))
+    kept = reduce(lambda a, b: a & b, passing, F.lit(True))
+    if counters:  # of each row the first rule that rejects it
+        ways = [*(F.when(x, F.lit(f"required_missing_{c}")) for c, x in zip(rules.required_fields, lacking)), *(F.when(~x, F.lit(f"filter_{s.get('field') or s.get('op', '')}")) for s, x in zip(rules.filters, passing))]
+        df = df.withColumn("__hits", F.slice(F.array_compact(F.concat("__hits", F.array(*ways))), 1, 1) if ways else F.slice(F.array_compact("__hits"), 1, 1))
     status = F.when(F.col("__failed"), "cast_failed").when(absent, "required_missing").when(~kept, "filter_rejected").otherwise("ok")
     return df.withColumn(STATUS, status).drop("__failed")
 
@@ -150,6 +168,8 @@ def transform(df: DataFrame, rules: Rules | dict, order_by: list[str] | None = N
     filter_expr and computed are expression trees and apply last; neither the aggregate nor the counts reflect them.
     """
     rules = rules if isinstance(rules, Rules) else Rules.of(rules)
+    if rules.max_rows is not None and df.limit(rules.max_rows + 1).count() > rules.max_rows:
+        raise ValueError(f"more than {rules.max_rows} rows")
     audit = prepare(df, rules).groupBy(STATUS).agg(F.count("*").alias("rows")).withColumnRenamed(STATUS, "status")
     out = prepare(df, rules, keep_rejected=False)
     if rules.include_fields:
@@ -178,55 +198,109 @@ def transform(df: DataFrame, rules: Rules | dict, order_by: list[str] | None = N
     return Result(out, audit, total)
 
 
-def quality_metrics(df: DataFrame, rules: Rules | dict) -> DataFrame:
-    """One row of counts and rates of a transform, in one pass over its input plus the distinct keys."""
+def quality_metrics(df: DataFrame, rules: Rules | dict, order_by: list[str] | None = None, required: list[str] | None = None) -> DataFrame:
+    """One row of counts and rates of a transform: its input by status, the cells that casts and date operations read, and its output.
+
+    required: the fields whose missing cells are counted in the output, by default the required ones.
+    """
     rules = rules if isinstance(rules, Rules) else Rules.of(rules)
-    staged = prepare(df, rules)
-    ok = F.col(STATUS) == "ok"
+    staged, ok = prepare(df, rules, counters=True), F.col(STATUS) == "ok"
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
-    cells = F.concat_ws("", *(vts(col(c)) for c in staged.columns if c != STATUS))
-    out = staged.agg(F.count("*").alias("input_rows"), n(F.col(STATUS) == "cast_failed").alias("invalid_rows"), n(F.col(STATUS) == "required_missing").alias("required_missing_rows"), n(F.col(STATUS).isin("filter_rejected", "required_missing")).alias("filtered_rows"), n(ok).alias("passed_rows"), n(F.trim(cells) == "").alias("blank_rows"))
-    if rules.deduplicate_by:
-        keys = [vts(col(c)).alias(f"k{i}") for i, c in enumerate(rules.deduplicate_by)]
-        distinct = staged.filter(ok).select(*keys).distinct().agg(F.count("*").alias("output_rows"))
-        out = out.crossJoin(distinct)  # one row each
-    else:
-        out = out.withColumn("output_rows", F.col("passed_rows"))
-    out = out.withColumn("duplicate_rows_removed", F.col("passed_rows") - F.col("output_rows"))
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return out.withColumns({
-        "invalid_ratio": ratio(F.col("invalid_rows"), F.col("input_rows")), "required_missing_ratio": ratio(F.col("required_missing_rows"), F.col("input_rows")),
-        "duplicate_key_ratio": ratio(F.col("duplicate_rows_removed"), F.col("passed_rows")), "blank_row_ratio": ratio(F.col("blank_rows"), F.col("input_rows")),
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    ratio = lambda a, b, none: F.when(b > 0, a / b).otherwise(none)
+    dates = [s["field"] for s in [*rules.date_ops, *(s for s in rules.field_ops if s.get("op") == "parse_date")] if s["field"] in staged.columns]
+    there, read = ([ok & ~miss(col(c)) for c in dates], [ok & ~miss(col(c)) & ymd(col(c)).isNotNull() for c in dates])
+    one = staged.agg(
+        F.count("*").alias("input_rows"), n(F.col(STATUS) == "cast_failed").alias("invalid_rows"), n(F.col(STATUS) == "required_missing").alias("required_missing_rows"), n(F.col(STATUS).isin("filter_rejected", "required_missing")).alias("filtered_rows"), n(ok).alias("passed_rows"),
+        total("__cells").alias("numeric_cells_total"), total("__parsed").alias("numeric_cells_parsed"), sum((n(x) for x in there), F.lit(0).cast("long")).alias("date_cells_total"), sum((n(x) for x in read), F.lit(0).cast("long")).alias("date_cells_parsed"),
+    )
+    out = transform(df, Rules(**{**rules.__dict__, "sort_by": [], "aggregate": {}}), order_by).df
+    fields = rules.required_fields if required is None else required
+    blank = reduce(lambda x, y: x & y, (miss(col(c)) for c in out.columns), F.lit(True))
+    lacking = [n(miss(col(c)) if c in out.columns else F.lit(True)) for c in fields]
+    two = out.agg(F.count("*").alias("output_rows"), n(blank).alias("blank_rows"), sum(lacking, F.lit(0).cast("long")).alias("required_missing_cells"))
+    both = one.crossJoin(two).withColumn("duplicate_rows_removed", F.col("passed_rows") - F.col("output_rows"))  # one row each
+    c = F.col
+    return both.withColumns({
+        "invalid_ratio": ratio(c("invalid_rows"), c("input_rows"), 0.0), "required_missing_ratio": ratio(c("required_missing_cells"), c("output_rows") * max(1, len(fields)), 0.0), "duplicate_key_ratio": ratio(c("duplicate_rows_removed"), c("passed_rows"), 0.0),
+        "blank_row_ratio": ratio(c("blank_rows"), c("output_rows"), 0.0), "numeric_parse_rate": ratio(c("numeric_cells_parsed"), c("numeric_cells_total"), 1.0), "date_parse_rate": ratio(c("date_cells_parsed"), c("date_cells_total"), 1.0),
     })
 
 
+#: A gate's metric, and 1 where it may be the bound at most, -1 where at least.
+_LIMITS = {
+    "max_invalid_rows": ("invalid_rows", 1), "max_filtered_rows": ("filtered_rows", 1), "max_duplicate_rows_removed": ("duplicate_rows_removed", 1), "max_invalid_ratio": ("invalid_ratio", 1), "max_required_missing_ratio": ("required_missing_ratio", 1),
+    "duplicate_key_ratio_max": ("duplicate_key_ratio", 1), "blank_row_ratio_max": ("blank_row_ratio", 1), "min_output_rows": ("output_rows", -1), "numeric_parse_rate_min": ("numeric_parse_rate", -1), "date_parse_rate_min": ("date_parse_rate", -1),
+}
+
+
+def gate_report(metrics: DataFrame, gates: dict) -> DataFrame:
+    """A row for each gate: gate, value, bound and passed, from one row of metrics. Unknown gates and gates without their metric raise."""
+    rows = []
+    for gate, bound in gates.items():
+        if gate == "allow_empty_output":
+            value, limit, passed = F.col("output_rows").cast("double"), 0.0 if bound else 1.0, F.lit(bool(bound)) | (F.col("output_rows") > 0)
+        elif gate not in _LIMITS:
+            raise ValueError(f"unknown gate {gate!r}")
+        elif bound is None:
+            continue
+        else:
+            name, sign = _LIMITS[gate]
+            if name not in metrics.columns:
+                raise ValueError(f"{gate} needs the metric {name}")
+            value, limit = F.col(name).cast("double"), float(bound)
+            passed = value * sign <= limit * sign
+        rows.append(F.struct(F.lit(gate).alias("gate"), value.alias("value"), F.lit(limit).alias("bound"), passed.alias("passed")))
+    if not rows:
+        raise ValueError("no gates")
+    return metrics.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def check_gates(metrics: dict, gates: dict) -> None:
-    """Raises QualityGateError for the first gate that the metrics miss."""
-    limits = {
-        "max_invalid_rows": ("invalid_rows", 1), "max_filtered_rows": ("filtered_rows", 1), "max_duplicate_rows_removed": ("duplicate_rows_removed", 1), "max_invalid_ratio": ("invalid_ratio", 1), "max_required_missing_ratio": ("required_missing_ratio", 1),
-        "duplicate_key_ratio_max": ("duplicate_key_ratio", 1), "blank_row_ratio_max": ("blank_row_ratio", 1), "min_output_rows": ("output_rows", -1), "numeric_parse_rate_min": ("numeric_parse_rate", -1), "date_parse_rate_min": ("date_parse_rate", -1),
-    }
+    """Raises QualityGateError for the first gate that the metrics miss, ValueError for an unknown gate or one without its metric."""
     for gate, bound in gates.items():
         if gate == "allow_empty_output":
             if not bound and not metrics["output_rows"]:
                 raise QualityGateError("the output is empty")
-        elif gate in limits and bound is not None:
-            name, sign = limits[gate]
-            value = metrics.get(name, 1.0)
-            if sign * (value - bound) > 0:
-                raise QualityGateError(f"{name} is {value}; {gate} is {bound}")
+        elif gate not in _LIMITS:
+            raise ValueError(f"unknown gate {gate!r}")
+        elif bound is not None:
+            name, sign = _LIMITS[gate]
+            if metrics.get(name) is None:
+                raise ValueError(f"{gate} needs the metric {name}")
+            if sign * (metrics[name] - bound) > 0:
+                raise QualityGateError(f"{name} is {metrics[name]}; {gate} is {bound}")
+
+
+def rule_hits(df: DataFrame, rules: Rules | dict, order_by: list[str] | None = None) -> DataFrame:
+    """reason and rows: how often each cast, required field and filter was the first to reject a row, and duplicate_removed."""
+    rules = rules if isinstance(rules, Rules) else Rules.of(rules)
+    hits = prepare(df, rules, counters=True).select(F.explode("__hits").alias("reason")).groupBy("reason").agg(F.count("*").alias("rows"))
+    if not (rules.deduplicate_by or rules.survivorship):
+        return hits
+    gone = quality_metrics(df, rules, order_by).filter("duplicate_rows_removed > 0").select(F.lit("duplicate_removed").alias("reason"), F.col("duplicate_rows_removed").alias("rows"))
+    return hits.unionByName(gone)
 
 
 def run_transform(df: DataFrame, rules: Rules | dict, gates: dict | None = None, **options) -> Result:
     """transform, after its quality gates."""
     if gates:
-        check_gates(quality_metrics(df, rules).first().asDict(), gates)
+        gates = dict(gates)
+        required = gates.pop("required_fields", None)
+        check_gates(quality_metrics(df, rules, options.get("order_by"), required).first().asDict(), gates)
     return transform(df, rules, **options)
 
 
 def reason_samples(df: DataFrame, rules: Rules | dict, order_by: list[str], limit: int = 5) -> DataFrame:
-    """The first rows of each rejection reason, as JSON."""
-    staged = prepare(df, rules if isinstance(rules, Rules) else Rules.of(rules)).filter(F.col(STATUS) != "ok")
+    """The first rows of each reason (cast_failed, required_missing, filter_rejected, and duplicate_removed by deduplicate_by), as JSON."""
+    rules = rules if isinstance(rules, Rules) else Rules.of(rules)
+    staged = prepare(df, rules)
+    if rules.deduplicate_by:
+        keep = [(col(c).desc_nulls_last() if rules.deduplicate_keep == "last" else col(c).asc_nulls_first()) for c in order_by]
+        keys = [vts(col(c)) if c in staged.columns else F.lit("") for c in rules.deduplicate_by]
+        later = F.row_number().over(Window.partitionBy(F.col(STATUS), *keys).orderBy(*keep)) > 1
+        staged = staged.withColumn("__later", later).withColumn(STATUS, F.when((F.col(STATUS) == "ok") & F.col("__later"), "duplicate_removed").otherwise(F.col(STATUS))).drop("__later")
+    staged = staged.filter(F.col(STATUS) != "ok")
     w = Window.partitionBy(STATUS).orderBy(*(col(c) for c in order_by))
     rows = staged.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= min(100, limit))
     return rows.select(F.col(STATUS).alias("status"), F.to_json(F.struct(*(col(c) for c in staged.columns if c != STATUS))).alias("row"))

@@ -6,34 +6,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowlake.functions.values import col, kind_of, number, time_key, vts
+from rowlake.operators.ranges import in_blocks, numbered, running_totals
 
 
-def _over(df: DataFrame, partition_by: list[str], order_by: str, tie: list[str] | None):
-    return Window.partitionBy(*(vts(col(c)) for c in partition_by)).orderBy(time_key(col(order_by), kind_of(df, order_by)), *(col(c) for c in tie or [order_by]))
+def _order(df: DataFrame, order_by: str, tie: list[str] | None) -> list[Column]:
+    return [time_key(col(order_by), kind_of(df, order_by)), *(col(c) for c in tie or [order_by])]
+
+
+def _windowed(df: DataFrame, partition_by: list[str], order: list[Column], margin: int, make) -> DataFrame:
+    """df with make(window): by partition, or, without any, over numbered rows in blocks with margins, so that no task has all rows."""
+    if partition_by:
+        return df.withColumns(make(Window.partitionBy(*(vts(col(c)) for c in partition_by)).orderBy(*order)))
+    return in_blocks(numbered(df, order), "__rn", margin, lambda rows, w: rows.withColumns(make(w))).drop("__rn")
 
 
 def window_rows(df: DataFrame, partition_by: list[str], order_by: str, functions: list[dict], tie: list[str] | None = None) -> DataFrame:
     """row_number, rank, dense_rank, lag, lead and moving_avg in order of the time key; ties go by `tie`, ranks by the text of order_by."""
-    w = _over(df, partition_by, order_by, tie)
-    by_text = Window.partitionBy(*(vts(col(c)) for c in partition_by)).orderBy(time_key(col(order_by), kind_of(df, order_by)), vts(col(order_by)))
-    out: dict[str, Column] = {}
-    for f in functions:
-        alias, name, offset, n = f.get("as", ""), f.get("field", ""), int(f.get("offset", 1)), int(f.get("window", 3))
-        if not alias.strip():
-            continue
-        value = col(name) if name in df.columns else F.lit(None).cast("string")
-        out[alias] = {
-            "row_number": lambda: F.row_number().over(w), "rank": lambda: F.rank().over(by_text), "dense_rank": lambda: F.dense_rank().over(by_text), "lag": lambda: F.lag(value, offset).over(w),
-            "lead": lambda: F.lead(value, offset).over(w), "moving_avg": lambda: F.avg(number(df, name)).over(w.rowsBetween(1 - max(1, n), 0)),
-        }.get(str(f.get("op", "")).lower(), lambda: F.lit(None).cast("string"))()
-    return df.withColumns(out)
+    wanted = [f for f in functions if str(f.get("as", "")).strip()]
+    op = lambda f: str(f.get("op", "")).lower()
+    offset, size = (lambda f: int(f.get("offset", 1))), (lambda f: max(1, int(f.get("window", 3))))
+
+    def make(w, ranks: dict[str, Column]) -> dict[str, Column]:
+        out: dict[str, Column] = {}
+        for f in wanted:
+            name = f.get("field", "")
+            value = col(name) if name in df.columns else F.lit(None).cast("string")
+            out[f["as"]] = {
+                **{k: (lambda c=c: c) for k, c in ranks.items()}, "lag": lambda: F.lag(value, offset(f)).over(w), "lead": lambda: F.lead(value, offset(f)).over(w), "moving_avg": lambda: F.avg(number(df, name)).over(w.rowsBetween(1 - size(f), 0)),
+            }.get(op(f), lambda: F.lit(None).cast("string"))()
+        return out
+
+    key, text = time_key(col(order_by), kind_of(df, order_by)), vts(col(order_by))
+    if partition_by:
+        part = Window.partitionBy(*(vts(col(c)) for c in partition_by))
+        w, by_text = part.orderBy(*_order(df, order_by, tie)), part.orderBy(key, text)
+        return df.withColumns(make(w, {"row_number": F.row_number().over(w), "rank": F.rank().over(by_text), "dense_rank": F.dense_rank().over(by_text)}))
+    rows = numbered(df.withColumns({"__key": key, "__text": text}), [F.col("__key"), F.col("__text"), *(col(c) for c in tie or [])])
+    ranked = any(op(f) in ("rank", "dense_rank") for f in wanted)
+    if ranked:
+        runs = rows.groupBy("__key", "__text").agg(F.min("__rn").alias("__first")).withColumn("__one", F.lit(1))
+        runs = running_totals(runs, "__first", "__one").select(F.col("__key").alias("__key2"), F.col("__text").alias("__text2"), "__first", F.col("upto").alias("__dense"))
+        rows = rows.join(runs, (F.col("__key") == F.col("__key2")) & (F.col("__text") == F.col("__text2"))).drop("__key2", "__text2")
+    ranks = {"row_number": (F.col("__rn") + 1).cast("int"), "rank": (F.col("__first") + 1).cast("int") if ranked else F.lit(None), "dense_rank": F.col("__dense").cast("int") if ranked else F.lit(None)}
+    margin = max([0, *(offset(f) for f in wanted if op(f) in ("lag", "lead")), *(size(f) for f in wanted if op(f) == "moving_avg")])
+    return in_blocks(rows, "__rn", margin, lambda r, w: r.withColumns(make(w, ranks))).drop("__rn", "__key", "__text", "__first", "__dense")
 
 
 def time_series(df: DataFrame, time_field: str, value_field: str, group_by: list[str] | None = None, window: int = 3, tie: list[str] | None = None) -> DataFrame:
     """ts_moving_avg over the last rows, ts_mom (against the row before; missing is 0) and ts_yoy (against twelve rows before)."""
-    w, x = _over(df, group_by or [], time_field, tie), F.coalesce(number(df, value_field), F.lit(0.0))
-    before, year = F.lag(x, 1).over(w), F.lag(x, 12).over(w)
-    return df.withColumns({"ts_moving_avg": F.avg(x).over(w.rowsBetween(1 - window, 0)), "ts_mom": x - before, "ts_yoy": F.when(F.abs(year) >= 2.220446049250313e-16, (x - year) / year)})
+    x = F.coalesce(number(df, value_field), F.lit(0.0))
+
+    def make(w) -> dict[str, Column]:
+        before, year = F.lag(x, 1).over(w), F.lag(x, 12).over(w)
+        return {"ts_moving_avg": F.avg(x).over(w.rowsBetween(1 - window, 0)), "ts_mom": x - before, "ts_yoy": F.when(F.abs(year) >= 2.220446049250313e-16, (x - year) / year)}
+
+    return _windowed(df, group_by or [], _order(df, time_field, tie), max(12, window), make)
 
 
 def forecast(df: DataFrame, time_field: str, value_field: str, group_by: list[str] | None = None, horizon: int = 3, method: str = "naive_drift") -> DataFrame:

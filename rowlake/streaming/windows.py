@@ -94,12 +94,11 @@ def transform_stream(stream: DataFrame, rules: dict, path: str, checkpoint: str,
 
 
 def chunk_ids(df: DataFrame, order_by: str, size: int = 2000, after=None) -> DataFrame:
-    """df after the watermark value, with chunk_id: `size` consecutive rows each in order_by. Ranges are numbered, not one sorted task."""
-    from rowlake.operators.quality import running_totals
+    """df after the watermark value, with chunk_id: `size` consecutive rows each in order_by, rows of equal keys by the hash of the row. Ranges are numbered, not one sorted task."""
+    from rowlake.operators.ranges import numbered
 
     rows = df.filter(col(order_by) > F.lit(after)) if after is not None else df
-    numbered = running_totals(rows.withColumn("__one", F.lit(1)), order_by, "__one")
-    return numbered.withColumn("chunk_id", F.floor((F.col("upto") - 1) / size).cast("long")).drop("__one", "upto")
+    return numbered(rows, [col(order_by)]).withColumn("chunk_id", F.floor(F.col("__rn") / size).cast("long")).drop("__rn")
 
 
 def session_ids(df: DataFrame, partition_by: list[str], time: str, gap_ms: int) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
-from rowlake.operators import aggregates, filters, intelligence, joins, quality, text, transform, windows
+from rowlake.operators import aggregates, filters, intelligence, joins, quality, ranges, text, transform, windows
 
 
 def rows(df):
@@ -129,9 +129,116 @@ def test_statistics(spark):
 
 def test_running_totals_match_one_sort(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 501).alias("k"), (F.col("id") % 7).alias("v")).groupBy("k").agg(F.sum("v").alias("v"))
-    got = {r.k: r.upto for r in quality.running_totals(df, "k", "v").collect()}
+    got = {r.k: r.upto for r in ranges.running_totals(df, "k", "v").collect()}
     total, want = 0, {}
     for r in sorted(df.collect()):
         total += r.v
         want[r.k] = total
     assert got == want
+
+
+def test_chunks_of_wide_rows_over_many_ranges(spark):
+    from rowlake.streaming.windows import chunk_ids
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        df = spark.range(0, 60000, 1, 7).select((F.col("id") * 7919 % 60000).alias("k"), F.concat(F.lit("text "), F.col("id")).alias("wide"), (F.col("id") % 3).alias("more"))
+        got = chunk_ids(df, "k", 500).collect()
+        assert all(r.chunk_id == r.k // 500 for r in got) and len(got) == 60000
+        done, seen = -1, []
+        for _ in range(9):  # resumed runs lose and repeat nothing
+            out, state = transform.transform_chunks(df, {}, "k", 500, done=done, most=17)
+            seen += [r.k for r in out.select("k").collect()]
+            done = state["last_chunk"]
+            if not state["has_more"]:
+                break
+        assert sorted(seen) == list(range(60000)) and done == 119
+        hot = df.withColumn("k", F.when(F.col("k") < 30000, 5).otherwise(F.col("k")))  # one key has half of the rows
+        sizes = {r.chunk_id: r["count"] for r in chunk_ids(hot, "k", 500).groupBy("chunk_id").count().collect()}
+        assert sizes == {i: 500 for i in range(120)}
+        nulls = df.withColumn("k", F.when(F.col("k") % 4 > 0, F.col("k")))
+        assert {r.k for r in chunk_ids(nulls, "k", 15000).filter("chunk_id = 0").collect()} == {None}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_exact_percentiles(spark):
+    import random
+
+    rng = random.Random(3)
+    values = [rng.choice([0.0, -1.5, 2.0, rng.lognormvariate(0, 3), -rng.lognormvariate(2, 2), 1e300, -1e-300, float(rng.randint(0, 9))]) for _ in range(4000)]
+    df = spark.createDataFrame([(rng.choice(["a", "b", None]), x if rng.random() > 0.05 else None) for x in values], "g string, x double")
+    shares = {"q0": 0.0, "q1": 0.25, "mid": 0.5, "p99": 0.99, "top": 1.0}
+    for by in ([], ["g"]):
+        for r in ranges.percentiles(df, by, "x", shares).collect():
+            mine = sorted(y for g, y in map(tuple, df.collect()) if y is not None and (not by or g == r.g))
+            assert [r[k] for k in shares] == [mine[int((len(mine) - 1) * p + 0.5)] for p in shares.values()]
+    assert ranges.percentiles(df.limit(0), [], "x", shares).first() == (None,) * 5
+    assert quality.quartiles(spark.createDataFrame([(float(i),) for i in (1, 2, 3, 4)], "x double"), "x", interpolated=True).first() == (4, 1.75, 3.25)
+
+
+def test_windows_without_partitions(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "BLOCK", 16)
+    df = spark.createDataFrame([(i, f"2024-01-{1 + i * 7 % 28:02d}", float(i % 11) if i % 5 else None) for i in range(200)], "n int, d string, v double").repartition(5)
+    made = [{"op": "row_number", "as": "rn"}, {"op": "rank", "as": "rk"}, {"op": "dense_rank", "as": "dr"}, {"op": "lag", "field": "v", "offset": 9, "as": "before"}, {"op": "lead", "field": "n", "as": "after"}, {"op": "moving_avg", "field": "v", "window": 7, "as": "avg"}, {"op": "what", "as": "none"}]
+    one = windows.window_rows(df.withColumn("all", F.lit("x")), ["all"], "d", made, ["n"]).drop("all")
+    whole = windows.window_rows(df, [], "d", made, ["n"])
+    assert whole.columns == one.columns and rows(whole) == rows(one)
+    assert rows(windows.time_series(df, "d", "v", tie=["n"])) == rows(windows.time_series(df.withColumn("all", F.lit(1)), "d", "v", ["all"], tie=["n"]).drop("all"))
+
+
+def test_outer_joins_are_one_join(spark):
+    a = spark.createDataFrame([(1, "x", 5), (None, "n", 6), (3, "z", 7), (None, "m", 8)], "k int, v string, c int")
+    b = spark.createDataFrame([("1", "p", "c1"), ("", "q", "c2"), ("9", "r", "c3")], "k string, w string, c string")
+    full = joins.join_rows(a, b, "k", "k", "full")
+    assert full.columns == ["k", "v", "c", "right_k", "w", "right_c"]
+    assert rows(full) == sorted([("1", "x", "5", "1", "p", "c1"), (None, "n", "6", "", "q", "c2"), (None, "m", "8", "", "q", "c2"), ("3", "z", "7", None, None, None), ("9", None, "c3", None, "r", None)], key=str)
+    assert full._jdf.queryExecution().analyzed().toString().count("Join ") == 1
+    assert rows(joins.join_rows(a, b, "k", "k", "right")) == sorted([x for x in rows(full) if x[0] != "3"], key=str)
+    none = joins.join_rows(a, b, "k", "k", "full", match_missing=False)
+    assert none.count() == 6 and rows(joins.join_rows(a, b, "k", "k", match_missing=False)) == [(1, "x", 5, "1", "p", "c1")]
+    for how in ("inner", "left", "right", "full", "semi", "anti"):  # the rewritten join gives what the semi join before it gave
+        kept = joins.join_rows(a, b, "k", "k", "semi")
+        assert rows(joins.join_rows_prefiltered(a, b, "k", "k", how)) == rows(joins.join_rows(kept, b, "k", "k", how))
+    two = joins.join_rows_prefiltered(a.withColumn("j", F.lit(1)), b.withColumn("j", F.lit(1)), ["k", "j"], ["k", "j"], "left")
+    assert two.count() == 3
+
+
+def test_chart_keeps_every_series(spark):
+    df = spark.createDataFrame([(f"c{i % 5}", f"s{i:03d}", 1.0) for i in range(300)], "c string, s string, v double")
+    out = aggregates.chart_data(df, "c", "s", "v", top_n=2)
+    assert out.select("category").distinct().count() == 2 and out.select("series").distinct().count() == 120 and out.count() == 240
+
+
+def test_gates_and_parse_rates(spark):
+    df = spark.createDataFrame([("1", "5", "2024-01-02"), ("1", "x", "2024-01-03"), ("2", "7", "no"), ("2", "8", None), ("3", None, "2024/2/3"), ("4", "-1", "")], "id string, v string, d string")
+    rules = {"casts": {"v": "float"}, "filters": [{"field": "v", "op": "gte", "value": 0}], "date_ops": [{"field": "d", "op": "parse_ymd"}], "deduplicate_by": ["id"], "required_fields": ["id"]}
+    m = transform.quality_metrics(df, rules, ["v"]).first().asDict()
+    assert (m["numeric_cells_total"], m["numeric_cells_parsed"], m["date_cells_total"], m["date_cells_parsed"]) == (5, 4, 2, 1)
+    assert (m["numeric_parse_rate"], m["date_parse_rate"], m["duplicate_rows_removed"], m["output_rows"]) == (0.8, 0.5, 1, 2)
+    assert m["required_missing_ratio"] == 0 and transform.quality_metrics(df, rules, ["v"], ["d"]).first().required_missing_ratio == 0.5
+    for gate, bound in {"numeric_parse_rate_min": 0.9, "date_parse_rate_min": 0.6, "duplicate_key_ratio_max": 0.1, "max_invalid_rows": 0, "min_output_rows": 3}.items():
+        with pytest.raises(transform.QualityGateError):
+            transform.run_transform(df, rules, {gate: bound}, order_by=["v"])
+    with pytest.raises(transform.QualityGateError):
+        transform.run_transform(df, rules, {"max_required_missing_ratio": 0.4, "required_fields": ["d"]}, order_by=["v"])
+    assert transform.run_transform(df, rules, {"numeric_parse_rate_min": 0.8, "date_parse_rate_min": 0.5, "max_required_missing_ratio": 0.0}, order_by=["v"]).df.count() == 2
+    with pytest.raises(ValueError, match="unknown gate"):
+        transform.run_transform(df, rules, {"whatever_min": 1})
+    with pytest.raises(ValueError, match="metric"):
+        transform.check_gates({"output_rows": 1}, {"numeric_parse_rate_min": 0.5})
+    report = {r.gate: r.passed for r in transform.gate_report(transform.quality_metrics(df, rules, ["v"]), {"numeric_parse_rate_min": 0.9, "allow_empty_output": False, "max_invalid_rows": 1}).collect()}
+    assert report == {"numeric_parse_rate_min": False, "allow_empty_output": True, "max_invalid_rows": True}
+    assert dict(map(tuple, transform.rule_hits(df, rules, ["v"]).collect())) == {"cast_fail_v": 1, "filter_v": 2, "duplicate_removed": 1}
+    assert sorted(r.status for r in transform.reason_samples(df, rules, ["v"]).collect()) == ["cast_failed", "duplicate_removed", "filter_rejected", "filter_rejected"]
+
+
+def test_strict_casts_and_limits(spark):
+    df = spark.createDataFrame([("1,200", "¥5"), (" 7 ", "1.5e3"), ("", "-.5"), ("1.5", "2")], "i string, f string")
+    out = transform.transform(df, {"casts": {"i": "int", "f": "float", "z": "int"}, "strict_numbers": True})
+    assert rows(out.df) == sorted([(7, 1500.0, None), (None, -0.5, None)], key=str) and dict(map(tuple, out.audit.collect())) == {"ok": 2, "cast_failed": 2}
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        transform.transform(df, {"max_rows": 3})
