@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowlake.functions.values import col, kind_of, miss, num, plain_number, vts
+from rowlake.functions.values import NUMERIC, col, kind_of, miss, num, plain_number, vts
 
 #: Words of subtotal and note rows, and names that a repeated header row holds.
 SUBTOTAL = ["subtotal", "sub total", "grand total", "total", "合计", "小计", "总计", "累计", "本页合计"]
@@ -78,6 +78,52 @@ def predicate(df: DataFrame, spec: dict) -> Column:
     return F.lit(True)
 
 
+def typed_predicate(df: DataFrame, spec: dict) -> Column:
+    """The filters of text pre-processing: a value equals only one of its own kind (numbers among each other, 10 = 10.0), null equals null, texts read None where a cell is null.
+
+    The four that look at whole rows are unknown here; a registered filter of that name is used, else unknown ones raise.
+    """
+    from rowlake.plans.registry import ROW_FILTERS
+
+    op, name, value = str(spec.get("op", "eq")).lower(), str(spec.get("field") or "").strip(), spec.get("value")
+    if op in ROW_FILTERS:
+        return F.coalesce(ROW_FILTERS.get(op)(df, spec), F.lit(False))
+    if op not in ("exists", "not_exists", "eq", "ne", "in", "not_in", "contains", "regex", "not_regex", "gt", "gte", "lt", "lte"):
+        raise ValueError(f"unknown filter {op!r}")
+    if not name and op not in ("exists", "not_exists"):
+        return F.lit(True)
+    c, kind = (col(name), kind_of(df, name)) if name in df.columns else (F.lit(None).cast("string"), T.StringType())
+    text = F.coalesce(c.cast("string"), F.lit("None"))
+
+    def same(v) -> Column:
+        if v is None:
+            return c.isNull()
+        if isinstance(v, bool):
+            fits = isinstance(kind, T.BooleanType)
+        elif isinstance(v, (int, float)):
+            fits = isinstance(kind, NUMERIC)
+        else:
+            fits = isinstance(kind, T.StringType) and isinstance(v, str)
+        return F.coalesce(c == F.lit(v), F.lit(False)) if fits else F.lit(False)
+
+    match op:
+        case "exists" | "not_exists":
+            return ~miss(c) if op == "exists" else miss(c)
+        case "eq" | "ne":
+            return same(value) if op == "eq" else ~same(value)
+        case "in" | "not_in":
+            inside = reduce(lambda a, b: a | b, map(same, value if isinstance(value, list) else []), F.lit(False))
+            return inside if op == "in" else ~inside
+        case "contains":
+            return text.contains(F.lit(str(value)))
+        case "regex" | "not_regex":
+            if not _compiles(str(value)):
+                return F.lit(False)
+            return text.rlike(str(value)) if op == "regex" else ~text.rlike(str(value))
+    x, bound = (c.cast("double") if isinstance(kind, NUMERIC) else plain_number(c)), plain_number(F.lit(str(value)))
+    return F.coalesce({"gt": x > bound, "gte": x >= bound, "lt": x < bound, "lte": x <= bound}[op], F.lit(False))
+
+
 def _compiles(pattern: str) -> bool:
     try:
         re.compile(pattern)
@@ -103,16 +149,18 @@ def _row_predicate(df: DataFrame, op: str, spec: dict) -> Column:
     return hits < int(spec.get("min_matches", 2))
 
 
-def apply_filters(df: DataFrame, specs: list[dict]) -> DataFrame:
-    return df.filter(reduce(lambda a, b: a & b, (predicate(df, s) for s in specs))) if specs else df
+def apply_filters(df: DataFrame, specs: list[dict], typed: bool = False) -> DataFrame:
+    make = typed_predicate if typed else predicate
+    return df.filter(reduce(lambda a, b: a & b, (make(df, s) for s in specs))) if specs else df
 
 
-def columnar_eval(df: DataFrame, where: dict | None = None, select: list[str] | None = None, limit: int = 10000) -> DataFrame:
-    """Rows whose texts equal the given ones (unknown columns are ignored), as text columns, `limit` at most."""
+def columnar_eval(df: DataFrame, where: dict | None = None, select: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Rows whose texts equal the given ones (unknown columns are ignored), as text columns, `limit` at most if there is one."""
     for name, value in (where or {}).items():
         if name in df.columns:
             df = df.filter(vts(col(name)) == _json_text(value))
-    return df.select(*(col(c).cast("string").alias(c) for c in (select or df.columns) if c in df.columns)).limit(limit)
+    out = df.select(*(col(c).cast("string").alias(c) for c in (select or df.columns) if c in df.columns))
+    return out if limit is None else out.limit(limit)
 
 
 def query_lang(df: DataFrame, text: str) -> DataFrame:

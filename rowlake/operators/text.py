@@ -47,12 +47,12 @@ def chunk(df: DataFrame, text: str, mode: str = "paragraph", max_chars: int = 50
     return df.select(*(col(c) for c in df.columns), F.posexplode(parts).alias("chunk_seq", "chunk_text"))
 
 
-def extract_entities(df: DataFrame, key: str, text: str, most: int = 2000) -> DataFrame:
-    """key, kind (email, url, number), position and value, repeats included, in order of occurrence; of the numbers the first `most`."""
+def extract_entities(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
+    """key, kind (email, url, number), position and value, repeats included, in order of occurrence; of the numbers the first `most`, if given."""
     t = vts(col(text))
     all_of = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     found = lambda kind, values: F.transform(values, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("position"), x.alias("value")))
-    every = F.concat(found("email", all_of(EMAIL)), found("url", all_of(URL)), found("number", F.slice(all_of(NUMBER), 1, most)))
+    every = F.concat(found("email", all_of(EMAIL)), found("url", all_of(URL)), found("number", all_of(NUMBER) if most is None else F.slice(all_of(NUMBER), 1, most)))
     return df.select(col(key), F.explode(every).alias("x")).select(col(key), "x.*")
 
 

@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 
+from rowlake.plans.headers import ALIASES, map_header, token
 from rowlake.streaming.state import JsonStore
 
 _OPS = [("<=", "lte"), (">=", "gte"), ("==", "eq"), ("!=", "ne"), (">", "gt"), ("<", "lt")]
@@ -62,7 +63,7 @@ class RulePackages:
         return found
 
 
-#: The canonical profiles and the header names that stand for their fields.
+#: The canonical profiles.
 PROFILES = {
     "finance_statement": {"required": ["id", "amount"], "numeric": ["id", "amount"], "date": ["biz_date", "published_at"], "unique": ["id"]},
     "bank_statement": {"required": ["account_no", "txn_date"], "numeric": ["debit_amount", "credit_amount", "amount", "balance"], "date": ["txn_date"], "unique": ["account_no", "txn_date", "ref_no", "amount"]},
@@ -70,41 +71,34 @@ PROFILES = {
     "customer_ledger": {"required": ["customer_name", "phone", "amount", "biz_date"], "numeric": ["amount"], "date": ["biz_date"], "unique": ["phone", "biz_date", "amount"]},
     "debate_evidence": {"required": ["claim_text", "source_path"], "numeric": ["confidence"], "date": ["published_at"], "unique": ["source_path", "speaker", "source_domain", "claim_text"]},
 }
-HEADER_ALIASES = {
-    "id": ["id", "no", "编号", "序号"], "amount": ["amount", "金额", "total", "sum"], "biz_date": ["biz_date", "date", "日期", "业务日期"], "account_no": ["account_no", "account", "账号", "account number"], "txn_date": ["txn_date", "transaction date", "交易日期"], "balance": ["balance", "余额"],
-    "debit_amount": ["debit_amount", "debit", "借方", "支出"], "credit_amount": ["credit_amount", "credit", "贷方", "收入"], "ref_no": ["ref_no", "reference", "流水号"], "customer_name": ["customer_name", "customer", "name", "客户", "姓名"], "phone": ["phone", "mobile", "tel", "电话", "手机"],
-    "claim_text": ["claim_text", "claim", "text"], "source_path": ["source_path", "path"], "speaker": ["speaker", "author"], "published_at": ["published_at", "published"], "confidence": ["confidence"],
-}
-
-
-def _bare(x: str) -> str:
-    return re.sub(r"[^0-9a-z一-鿿]+", " ", x.lower()).strip()
-
-
-def map_headers(headers: list[str]) -> dict[str, tuple[str | None, float]]:
-    """header -> (field, confidence): an alias exactly 1.0, an alias within 0.88, else none at 0.55."""
-    out: dict[str, tuple[str | None, float]] = {}
-    aliases = [(f, _bare(a)) for f, names in HEADER_ALIASES.items() for a in names]
-    for h in headers:
-        bare = _bare(h)
-        exact = next((f for f, a in aliases if a == bare), None)
-        inner = next((f for f, a in sorted(aliases, key=lambda x: -len(x[1])) if len(a) > 1 and a in bare), None)
-        out[h] = (exact, 1.0) if exact else (inner, 0.88) if inner else (None, 0.55)
-    return out
 
 
-def recommend_profile(headers: list[str]) -> list[dict]:
-    """The profiles by score: coverage of required fields .55, share of matched headers .25, mean confidence .20."""
-    mapped = map_headers(headers)
-    fields = {f for f, _ in mapped.values() if f}
+def map_headers(headers: list[str], mode: str = "strict", profile: str | None = None, samples: dict[str, list] | None = None) -> dict[str, tuple[str | None, float]]:
+    """header -> (field, confidence), by headers.map_header."""
+    found = {h: map_header(h, mode, PROFILES.get(profile or ""), (samples or {}).get(h, ())) for h in headers}
+    return {h: (x["field"], x["confidence"]) for h, x in found.items()}
+
+
+def recommend_profile(headers: list[str], mode: str = "strict") -> list[dict]:
+    """The profiles by score: coverage of required fields .55, share of matched headers .25, mean confidence .20, less .08 if several headers stand for one required field."""
     out = []
     for name, p in PROFILES.items():
-        known = {*p["required"], *p["numeric"], *p["date"], *p["unique"]}
-        hits = [c for f, c in mapped.values() if f in known]
-        coverage = len(fields & set(p["required"])) / len(p["required"])
-        score = 0.55 * coverage + 0.25 * len(hits) / max(1, len(headers)) + 0.20 * (sum(hits) / len(hits) if hits else 0)
-        out.append({"profile": name, "score": round(score, 4), "required_coverage": coverage, "recommended": coverage == 1.0 or score >= 0.78})
-    first = {"customer_ledger": 0} if {"amount", "biz_date"} <= fields else {}
+        own = {*p["required"], *p["numeric"], *p["date"], *p["unique"]}
+        mapped = {}
+        for h in headers:  # of the fields that a header may stand for, one of the profile's own
+            options = [f for f, names in ALIASES.items() if token(h) in (token(x) for x in [f, *names])]
+            mine = next((f for f in options if f in own), None)
+            x = map_header(h, mode, p)
+            if not mine and x["field"] not in own and len(token(h)) > 1:  # a short header that is a part of a name of one of them
+                x = next(({"field": f, "confidence": 0.88} for f, names in ALIASES.items() if f in own and any(token(h) in token(y) for y in names)), x)
+            mapped[h] = (mine, 1.0) if mine else (x["field"], x["confidence"])
+        hits = [c for f, c in mapped.values() if f in own]
+        fields = [f for f, _ in mapped.values() if f in p["required"]]
+        coverage = len(set(fields)) / len(p["required"])
+        score = 0.55 * coverage + 0.25 * len(hits) / max(1, len(headers)) + 0.20 * (sum(hits) / len(hits) if hits else 0) - (0.08 if len(fields) > len(set(fields)) else 0)
+        out.append({"profile": name, "score": round(max(0.0, score), 4), "required_coverage": coverage, "recommended": coverage == 1.0 or score >= 0.78, "mapping": {h: f for h, (f, _) in mapped.items()}})
+    ledger = next(x for x in out if x["profile"] == "customer_ledger")
+    first = {"customer_ledger": 0} if {"amount", "biz_date"} <= {*ledger["mapping"].values()} else {}
     return sorted(out, key=lambda x: (-x["score"], first.get(x["profile"], 1), x["profile"]))
 
 
@@ -112,7 +106,8 @@ def cleaning_spec(profile: str, headers: list[str], overrides: dict | None = Non
     """A transform rule set of a profile for these headers: renames, casts, required fields, dates and deduplication."""
     p = PROFILES[profile]
     renames: dict[str, str] = {}
-    for h, (f, _) in map_headers(headers).items():
+    mapping = next(x for x in recommend_profile(headers) if x["profile"] == profile)["mapping"]
+    for h, f in mapping.items():
         if f and f != h and f not in headers and f not in renames.values():
             renames[h] = f
     fields = {renames.get(h, h) for h in headers}

@@ -60,33 +60,60 @@ class Tasks:
         self.spark.sparkContext.cancelJobGroup(name)
 
 
+def input_stamp(df: DataFrame) -> str:
+    """The files that a plan reads, with their sizes and times: another stamp where one of them has changed."""
+    spark = df.sparkSession
+    conf, found = spark._jsc.hadoopConfiguration(), []
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(conf)
+        status = fs.getFileStatus(path) if fs.exists(path) else None
+        found.append([name, status.getLen(), status.getModificationTime()] if status else [name])
+    return fingerprint(sorted(found))
+
+
 class ResultCache:
-    """Cached DataFrames by the fingerprint of plan and rules: `ttl_s` long, `most` of them, the least recently used goes first."""
+    """Cached DataFrames by plan and rules: `ttl_s` long, `most` of them, the least recently used goes first.
+
+    An entry counts only if its plan is the same one (hashes may be equal for others) and its input files haven't changed.
+    """
 
     def __init__(self, ttl_s: float = 600, most: int = 256):
         self.ttl_s, self.most = ttl_s, most
-        self.kept: OrderedDict[str, tuple[float, DataFrame]] = OrderedDict()
+        self.kept: OrderedDict[str, list[tuple[float, DataFrame, str, DataFrame]]] = OrderedDict()
         self.hits = self.misses = 0
 
-    def get(self, df: DataFrame, rules: dict, make) -> DataFrame:
-        key = f"{df.semanticHash()}-{fingerprint(rules)}"
-        now = time.monotonic()
-        if key in self.kept and now - self.kept[key][0] < self.ttl_s:
-            self.kept.move_to_end(key)
-            self.hits += 1
-            return self.kept[key][1]
+    def get(self, df: DataFrame, rules: dict, make, stamp: str | None = None) -> DataFrame:
+        """make(df) under the rules, or what it gave before. stamp says the state of the input; by default its files do."""
+        key, now = f"{df.semanticHash()}-{fingerprint(rules)}", time.monotonic()
+        stamp = input_stamp(df) if stamp is None else stamp
+        valid = []
+        for entry in self.kept.get(key, []):
+            if now - entry[0] < self.ttl_s and (entry[2] == stamp or not entry[1].sameSemantics(df)):
+                valid.append(entry)
+            else:
+                entry[3].unpersist()
+        self.kept[key] = valid
+        self.kept.move_to_end(key)
+        for _, plan, _, result in valid:
+            if plan.sameSemantics(df):
+                self.hits += 1
+                return result
         self.misses += 1
-        self.kept[key] = (now, make(df).cache())
-        while len(self.kept) > self.most:
-            self.kept.popitem(last=False)[1][1].unpersist()
-        return self.kept[key][1]
+        valid.append((now, df, stamp, make(df).cache()))
+        while sum(map(len, self.kept.values())) > self.most:
+            oldest = next(iter(self.kept))
+            for entry in self.kept.pop(oldest):
+                entry[3].unpersist()
+        return valid[-1][3]
 
     def clear(self) -> int:
-        n = len(self.kept)
-        for _, df in self.kept.values():
-            df.unpersist()
+        n = sum(map(len, self.kept.values()))
+        for entries in self.kept.values():
+            for entry in entries:
+                entry[3].unpersist()
         self.kept.clear()
         return n
 
     def stats(self) -> dict:
-        return {"entries": len(self.kept), "hits": self.hits, "misses": self.misses}
+        return {"entries": sum(map(len, self.kept.values())), "hits": self.hits, "misses": self.misses}

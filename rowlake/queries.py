@@ -208,7 +208,7 @@ for _name, (_spec, _where) in _FILTERS.items():
 
 @query("columnar_eval", "part", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_brand FROM part WHERE p_size = 5")
 def _(p):
-    return filters.columnar_eval(p, {"p_size": 5, "nothing": 1}, ["p_partkey", "p_brand"], 10**6)
+    return filters.columnar_eval(p, {"p_size": 5, "nothing": 1}, ["p_partkey", "p_brand"])
 
 
 @query("query_lang", "part", "SELECT p_partkey, p_size FROM part WHERE p_size >= 40")

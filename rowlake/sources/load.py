@@ -7,7 +7,7 @@ import sqlite3
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowlake.functions.values import col
@@ -36,14 +36,17 @@ def read_jsonl(spark: SparkSession, source: str, schema=None, skip_bad: bool = F
 
 
 @register_reader("csv")
-def read_csv(spark: SparkSession, source: str, naive: bool = False, delimiter: str = ",", schema=None, **_) -> DataFrame:
-    """Texts with a header. naive: quotes are characters like others, cells are trimmed, absent cells are empty."""
+def read_csv(spark: SparkSession, source: str, naive: bool = False, delimiter: str = ",", schema=None, multi_line: bool = False, **_) -> DataFrame:
+    """Texts with a header. naive: quotes are characters like others, cells are trimmed, absent cells are empty.
+
+    multi_line allows line ends inside of quotes; a file is then one task, else large files are split.
+    """
     reader = spark.read.option("header", True).option("sep", delimiter)
     if naive:
         reader = reader.option("quote", "").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("emptyValue", "").option("nullValue", "\u0000")
         df = reader.csv(source)
         return df.select(*(F.coalesce(col(c), F.lit("")).alias(c) for c in df.columns))
-    reader = reader.option("multiLine", True).option("escape", '"')
+    reader = reader.option("multiLine", multi_line).option("escape", '"')
     return (reader.schema(schema) if schema else reader).csv(source)
 
 
@@ -58,23 +61,50 @@ def read_parquet(spark: SparkSession, source: str, payload_schema=None, **_) ->
 
 @register_reader("txt")
 def read_txt(spark: SparkSession, source: str, paragraphs: bool = False, **_) -> DataFrame:
-    """source_path, line_no (or chunk_index of blank-line paragraphs) and text; one row a file is split in its own task."""
-    files = spark.read.text(source, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.col("value"))
+    """source_path, line_no and text. Large files are split; line numbers are those within a split plus the lines of the splits before.
+
+    paragraphs: source_path, chunk_index and text of blank-line paragraphs, each file read whole by one task.
+    """
     if paragraphs:
+        files = spark.read.text(source, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.col("value"))
         parts = F.filter(F.transform(F.split("value", r"\r?\n\s*\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
         return files.select("source_path", F.posexplode(parts).alias("chunk_index", "text"))
-    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
-    return files.select("source_path", F.posexplode(lines).alias("i", "text")).select("source_path", (F.col("i") + 1).alias("line_no"), "text")
+    lines = spark.read.text(source).select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("__at"), F.col("value").alias("text"), F.monotonically_increasing_id().alias("__i"))
+    counts = spark.read.text(source).select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("__at")).groupBy("source_path", "__at").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("source_path").orderBy("__at")) - F.col("__n")).drop("__n")
+    numbered = lines.withColumn("__rn", F.row_number().over(Window.partitionBy("source_path", "__at").orderBy("__i")))
+    return numbered.join(before, ["source_path", "__at"]).select("source_path", (F.col("__before") + F.col("__rn")).alias("line_no"), "text")
 
 
 @register_reader("sqlite")
-def read_sqlite(spark: SparkSession, source: str, query: str = "", limit: int = 10000, **_) -> DataFrame:
-    """A checked SELECT of a local SQLite file, `limit` rows at most."""
-    import pandas as pd
-
+def read_sqlite(spark: SparkSession, source: str, query: str = "", limit: int | None = None, rows: int = 10000, **_) -> DataFrame:
+    """A checked SELECT of a SQLite file that the executors reach, `limit` rows at most if given. One task reads it, `rows` at a time; the driver sees only the first of them, for the types."""
     check_query(query)
-    with sqlite3.connect(source.removeprefix("sqlite://")) as db:
-        return spark.createDataFrame(pd.read_sql_query(f"SELECT * FROM ({query}) LIMIT {int(limit)}", db))
+    path = source.removeprefix("sqlite://")
+    sql = f"SELECT * FROM ({query})" + (f" LIMIT {int(limit)}" if limit is not None else "")
+    with sqlite3.connect(path) as db:
+        cursor = db.execute(f"SELECT * FROM ({query}) LIMIT {int(rows)}")
+        names, first = [c[0] for c in cursor.description], cursor.fetchall()
+    kinds = []
+    for column in zip(*first) if first else [()] * len(names):
+        seen = {type(x) for x in column if x is not None}
+        kinds.append("bigint" if seen == {int} else "double" if seen and seen <= {int, float} else "binary" if seen == {bytes} else "string")
+    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))
+
+    def run(batches):
+        import pyarrow as pa
+
+        types = {"bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string()}
+        fit = {"bigint": lambda x: x if isinstance(x, int) else None, "double": lambda x: float(x) if isinstance(x, (int, float)) else None, "binary": lambda x: x if isinstance(x, bytes) else str(x).encode(), "string": str}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            with sqlite3.connect(path) as db:
+                cursor = db.execute(sql)
+                while some := cursor.fetchmany(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array([None if x is None else fit[k](x) for x in c], types[k]) for c, k in zip(zip(*some), kinds)], names=names)
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, schema)
 
 
 @register_reader("jdbc")
@@ -85,9 +115,9 @@ def read_jdbc(spark: SparkSession, source: str, query: str = "", **options) -> D
 
 
 @register_reader("json_rows")
-def read_json_rows(spark: SparkSession, source: str, schema=None, **_) -> DataFrame:
-    """Files that are a JSON array, or an object with `rows`."""
-    df = spark.read.option("multiLine", True).json(source)
+def read_json_rows(spark: SparkSession, source: str, schema=None, multi_line: bool = True, **_) -> DataFrame:
+    """Files that are a JSON array, or an object with `rows`: one value a file, read by one task. multi_line=False: a value a line, split."""
+    df = spark.read.option("multiLine", multi_line).json(source)
     if "rows" in df.columns:
         df = df.select(F.explode("rows").alias("r")).select("r.*")
     return df.select(*(col(f.name).try_cast(f.dataType).alias(f.name) for f in schema)) if schema else df
@@ -139,28 +169,41 @@ def kind_of_uri(uri: str) -> str:
     return {"json": "jsonl", "ndjson": "jsonl", "pq": "parquet", "md": "txt"}.get(kind, kind)
 
 
-def load(spark: SparkSession, source: str, kind: str | None = None, limit: int | None = None, retries: int = 0, wait_s: float = 0.15, **options) -> DataFrame:
-    """A table by its format or the ending of its URI; retries wait longer each time."""
+def load(spark: SparkSession, source: str, kind: str | None = None, limit: int | None = None, retries: int = 0, wait_s: float = 0.15, action: Callable[[DataFrame], object] | None = None, **options) -> DataFrame:
+    """A table by its format or the ending of its URI; retries wait longer each time.
+
+    Reading is lazy, so planning alone is retried unless there is an action: it is run inside the retries too (a count, a
+    write, DataFrame.checkpoint), and a DataFrame that it gives is the result.
+    """
+    return load_stats(spark, source, kind, limit, retries, wait_s, action, **options)[0]
+
+
+def load_stats(spark: SparkSession, source: str, kind: str | None = None, limit: int | None = None, retries: int = 2, wait_s: float = 0.15, action: Callable[[DataFrame], object] | None = None, **options) -> tuple[DataFrame, dict]:
+    """load, and {attempt, errors, resume_token, result}: the token names source, format and attempt."""
     kind = kind or kind_of_uri(source)
     if kind not in READERS:
         raise ValueError(f"no reader of {kind!r}")
-    for attempt in range(min(8, retries) + 1):
+    most, errors = min(8, retries), []
+    for attempt in range(1, most + 2):
         try:
             df = READERS[kind](spark, source, **options)
-            return df.limit(max(1, limit)) if limit else df
-        except Exception:
-            if attempt == min(8, retries):
+            df = df.limit(max(1, limit)) if limit else df
+            result = action(df) if action else None
+            return result if isinstance(result, DataFrame) else df, {"attempt": attempt, "errors": errors, "resume_token": f"{kind}:{source}:{attempt}", "result": None if isinstance(result, DataFrame) else result}
+        except Exception as e:
+            errors.append(str(e)[:300])
+            if attempt > most:
                 raise
-            time.sleep(wait_s * (attempt + 1))
+            time.sleep(wait_s * attempt)
     raise AssertionError
 
 
-def load_many(spark: SparkSession, sources: list[str], on_error: str = "skip", **options) -> tuple[DataFrame | None, list[str]]:
-    """The union of several tables by column names, and the sources that failed."""
+def load_many(spark: SparkSession, sources: list[str], on_error: str = "skip", check: bool = True, **options) -> tuple[DataFrame | None, list[str]]:
+    """The union of several tables by column names, and the sources that failed; check reads a row of each, as files are else opened only later."""
     out, failed = None, []
     for s in sources:
         try:
-            df = load(spark, s, **options)
+            df = load(spark, s, **{"action": (lambda df: len(df.take(1))) if check else None, **options})
         except Exception:
             if on_error == "raise":
                 raise
@@ -170,8 +213,28 @@ def load_many(spark: SparkSession, sources: list[str], on_error: str = "skip", *
     return out, failed
 
 
-def save(df: DataFrame, target: str, kind: str | None = None, mode: str = "errorifexists", payload: bool = False) -> None:
-    """jsonl, csv (columns by name, commas in cells become spaces), parquet (typed, empty texts null; or payload JSON) or jdbc."""
+def infer_kinds(df: DataFrame) -> dict[str, str]:
+    """What each text column holds, empty texts aside: boolean, bigint, double or string. One pass."""
+    texts = [c for c in df.columns if df.schema[c].dataType.typeName() == "string"]
+    flags = []
+    for c in texts:
+        x = F.trim(col(c))
+        some, every = F.count(F.when(x != "", 1)), lambda pattern: F.coalesce(F.bool_and(F.when(x != "", x.rlike(pattern))), F.lit(False))  # noqa: B023
+        flags.append(F.when(some == 0, "string").when(every(r"^(?i:true|false)$"), "boolean").when(every(r"^[+-]?(?:0|[1-9][0-9]{0,17})$"), "bigint").when(every(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), "double").otherwise("string").alias(c))
+    return df.agg(*flags).first().asDict() if flags else {}
+
+
+def typed(df: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
+    """Text columns as what they hold, empty texts null."""
+    kinds = infer_kinds(df) if kinds is None else kinds
+    return df.select(*(F.when(F.trim(col(c)) != "", F.trim(col(c)) if kinds[c] != "string" else col(c)).cast(kinds[c]).alias(c) if c in kinds else col(c) for c in df.columns))
+
+
+def save(df: DataFrame, target: str, kind: str | None = None, mode: str = "errorifexists", payload: bool = False, infer: bool = False, table: str = "rows") -> None:
+    """jsonl, csv (columns by name, commas in cells become spaces), parquet (typed, empty texts null; or payload JSON), jdbc or sqlite (a table of payload texts).
+
+    infer: text columns become booleans, whole numbers or numbers in Parquet if all their cells are. A SQLite file has one writer, so its rows pass through the driver, a partition at a time.
+    """
     kind = kind or kind_of_uri(target)
     everything = F.to_json(F.struct(*(col(c) for c in df.columns)))
     if kind == "jsonl":
@@ -179,10 +242,16 @@ def save(df: DataFrame, target: str, kind: str | None = None, mode: str = "error
     elif kind == "csv":
         df.select(*(F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), ",", " ").alias(c) for c in sorted(df.columns))).write.mode(mode).option("header", True).option("quote", "").option("emptyValue", "").csv(target)
     elif kind == "parquet":
-        typed = df.select(*(F.when(col(c) != "", col(c)).alias(c) if df.schema[c].dataType.typeName() == "string" else col(c) for c in df.columns))
-        (df.select(everything.alias("payload")) if payload else typed).write.mode(mode).parquet(target)
+        plain = {c: "string" for c in df.columns if df.schema[c].dataType.typeName() == "string"}
+        (df.select(everything.alias("payload")) if payload else typed(df, None if infer else plain)).write.mode(mode).parquet(target)
     elif kind == "jdbc":
-        df.select(everything.alias("payload")).write.mode("append").jdbc(target, "rows")
+        df.select(everything.alias("payload")).write.mode("append").jdbc(target, table)
+    elif kind == "sqlite":
+        with sqlite3.connect(target.removeprefix("sqlite://")) as db:
+            if mode == "overwrite":
+                db.execute(f"DROP TABLE IF EXISTS {check_identifier(table)}")
+            db.execute(f"CREATE TABLE IF NOT EXISTS {check_identifier(table)} (payload TEXT)")
+            db.executemany(f"INSERT INTO {check_identifier(table)} VALUES (?)", ((r[0],) for r in df.select(everything).toLocalIterator()))
     else:
         raise ValueError(f"no writer of {kind!r}")
 
@@ -212,7 +281,7 @@ def check_query(text: str) -> str:
     return text
 
 
-def aggregate_pushdown(spark: SparkSession, table: str, group_by: list[str], aggregates: list[dict], where: str | None = None, limit: int = 10000) -> DataFrame:
+def aggregate_pushdown(spark: SparkSession, table: str, group_by: list[str], aggregates: list[dict], where: str | None = None, limit: int | None = None) -> DataFrame:
     """SELECT keys, aggregates FROM a table or view, for its source to compute where it can."""
     if not group_by:
         raise ValueError("group_by is required")
@@ -225,7 +294,7 @@ def aggregate_pushdown(spark: SparkSession, table: str, group_by: list[str], agg
         of = check_identifier(a["field"]) if a.get("field") else "*"
         parts.append(f"{op}({of}) AS {check_identifier(a.get('as') or f'{op}_{a.get('field', 'rows')}')}")
     condition = f" WHERE {check_where(where)}" if where else ""
-    return spark.sql(f"SELECT {keys}, {', '.join(parts)} FROM {check_identifier(table)}{condition} GROUP BY {keys} LIMIT {int(limit)}")
+    return spark.sql(f"SELECT {keys}, {', '.join(parts)} FROM {check_identifier(table)}{condition} GROUP BY {keys}" + (f" LIMIT {int(limit)}" if limit is not None else ""))
 
 
 def browse(spark: SparkSession, action: str, name: str | None = None, limit: int = 20) -> DataFrame | list:

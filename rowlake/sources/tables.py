@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,6 +39,23 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] = (), codec:
     if mode == "append" and jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
         compatible(spark.read.parquet(path).schema, df.schema, evolution)
     df.write.mode(mode).partitionBy(*partition_by).option("compression", codec).parquet(path)
+    side = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_schema.json")  # readers skip names that begin so
+    out = side.getFileSystem(spark._jsc.hadoopConfiguration()).create(side, True)
+    out.write(bytearray(df.schema.json().encode()))
+    out.close()
+
+
+def sidecar_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The schema that the last write left beside the table."""
+    side = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_schema.json")
+    fs = side.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(side):
+        return None
+    stream = fs.open(side)
+    try:
+        return T.StructType.fromJson(json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+    finally:
+        stream.close()
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, where: dict | None = None, merge: bool = False, limit: int | None = None) -> DataFrame:

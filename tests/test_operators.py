@@ -113,7 +113,9 @@ def test_texts(spark):
 
 def test_entities_of_long_texts(spark):
     df = spark.createDataFrame([(1, "a@b.co http://x.y/z 17 " * 2100)], "k int, t string")
-    counts = {r.kind: r["count"] for r in text.extract_entities(df, "k", "t").groupBy("kind").count().collect()}
+    whole = {r.kind: r["count"] for r in text.extract_entities(df, "k", "t").groupBy("kind").count().collect()}
+    assert whole == {"email": 2100, "url": 2100, "number": 2100}  # no cap unless one is given
+    counts = {r.kind: r["count"] for r in text.extract_entities(df, "k", "t", most=2000).groupBy("kind").count().collect()}
     assert counts == {"email": 2100, "url": 2100, "number": 2000}
 
 

@@ -113,3 +113,116 @@ def test_tables(spark, tmp_path):
     assert tables.migrate(spark.createDataFrame([("x", 1)], "c string, a int"), [{"field": "c", "step": "safe_cast_or_null", "to": "int"}, {"field": "b", "step": "add_default", "value": None}]).first().c is None
     table = tables.upsert_features(spark.createDataFrame([("k", 1, 1)], "id string, v int, t int"), spark.createDataFrame([("k", 2, 0), ("null", 3, 0), ("m", 4, 0)], "id string, v int, t int"), "id", "t")
     assert sorted(map(tuple, table.select("id", "v").collect())) == [("k", 2), ("m", 4)]
+
+
+def test_sources_at_scale(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(5000)]
+    (tmp_path / "big.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "quoted.csv").write_text('id,name\n1,"x\ny"\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        got = load.load(spark, f"{tmp_path}/big.txt")
+        assert spark.read.text(f"{tmp_path}/big.txt").rdd.getNumPartitions() > 5
+        assert sorted((r.line_no, r.text) for r in got.collect()) == list(enumerate(lines, 1))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert load.load(spark, f"{tmp_path}/quoted.csv", multi_line=True).first().name == "x\ny"
+    calls = []
+
+    def flaky(df):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("lost")
+        return df.count()
+
+    _, stats = load.load_stats(spark, f"{tmp_path}/big.txt", retries=3, wait_s=0.01, action=flaky)
+    assert (stats["attempt"], stats["result"], len(stats["errors"])) == (3, 5000, 2)
+    with pytest.raises(OSError):
+        load.load(spark, f"{tmp_path}/big.txt", retries=1, wait_s=0.01, action=lambda df: (_ for _ in ()).throw(OSError("gone")))
+    (tmp_path / "bad.jsonl").write_text('{"a": \n{"a": 1}\n')
+    assert load.load_many(spark, [f"{tmp_path}/bad.jsonl"], schema="a int")[1] == [f"{tmp_path}/bad.jsonl"]
+
+
+def test_typed_parquet_and_sqlite(spark, tmp_path):
+    df = spark.createDataFrame([("1", "2.5", "true", "x", ""), ("-7", "3", "FALSE", "", " "), ("", None, None, "9", None)], "i string, f string, b string, s string, n string")
+    assert load.infer_kinds(df) == {"i": "bigint", "f": "double", "b": "boolean", "s": "string", "n": "string"}
+    load.save(df, f"{tmp_path}/t.parquet", infer=True)
+    got = spark.read.parquet(f"{tmp_path}/t.parquet")
+    assert [f.dataType.simpleString() for f in got.schema] == ["bigint", "double", "boolean", "string", "string"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 2.5, True, "x", None), (-7, 3.0, False, None, None), (None, None, None, "9", None)], key=str)
+    load.save(df.select("i", "s"), f"sqlite://{tmp_path}/x.db")
+    load.save(df.select("i", "s"), f"sqlite://{tmp_path}/x.db")
+    back = load.load(spark, f"sqlite://{tmp_path}/x.db", query="select payload, length(payload) as n, 1.5 as f from rows", rows=2)
+    assert back.count() == 6 and [f.dataType.simpleString() for f in back.schema] == ["string", "bigint", "double"]
+    assert load.load(spark, f"sqlite://{tmp_path}/x.db", query="select payload from rows", limit=2).count() == 2
+    tables.write_parquet(spark.createDataFrame([(1, "a")], "x int, p string"), f"{tmp_path}/side", ["p"])
+    assert tables.sidecar_schema(spark, f"{tmp_path}/side").fieldNames() == ["x", "p"] and tables.sidecar_schema(spark, f"{tmp_path}/none") is None
+
+
+def test_headers():
+    from rowlake.plans import headers
+
+    pick = lambda h, **o: tuple(headers.map_header(h, **o)[k] for k in ("field", "confidence", "strategy"))
+    assert pick("Total Amount") == ("amount", 1.0, "exact") and pick("金额（万元）") == ("amount", 1.0, "exact") and pick("客户姓名 (全)") == ("customer_name", 0.88, "substring")
+    assert pick("交易日期") == ("biz_date", 1.0, "exact") and pick("交易日期", mode="auto") == (None, 0.55, "unresolved")  # two fields have the name
+    assert pick("zzz") == (None, 0.55, "unresolved") and pick("") == (None, 0.0, "unresolved")
+    field, confidence, strategy = pick("acount nr", mode="auto", profile=rules.PROFILES["bank_statement"])
+    assert field is None or (field == "account_no" and confidence >= 0.82)
+    bank = rules.PROFILES["bank_statement"]
+    assert pick("balence", mode="auto", profile=bank) == ("balance", 0.857143, "fuzzy") and pick("balence", mode="auto", profile=bank, values=["1,200.5", "7"])[1:] == (0.907143, "fuzzy+value_affinity") and pick("balence") == (None, 0.55, "unresolved")
+    assert headers.likeness("abc", "abc") == 100 and headers.likeness("abcd", "bcde") == pytest.approx(75) and headers._word_sets("a b c", "b a") == 100
+    both = next(x for x in rules.recommend_profile(["客户", "姓名", "手机"]) if x["profile"] == "customer_contact")
+    assert both["score"] == pytest.approx(0.55 + 0.25 + 0.2 - 0.08)
+
+
+def test_registries(spark, tmp_path, monkeypatch):
+    from rowlake.operators import enrichment, filters
+    from rowlake.plans.registry import FIELD_TRANSFORMS, ROW_FILTERS, STAGES, Extensions, Registry
+
+    r = Registry("thing")
+    r.register("A", len, domain="d")
+    with pytest.raises(ValueError):
+        r.register("a", max)
+    assert r.register("a", max, "keep") is len and r.register("a", max, "warn") is max and r.conflicts == ["a"] and r.domains() == {"custom": ["a"]} and r.unregister("a") and "a" not in r
+    assert len(list(FIELD_TRANSFORMS)) >= 17 and set(enrichment.PIPELINE) <= set(STAGES)
+    (tmp_path / "my_extension_module.py").write_text("from pyspark.sql import functions as F\nfrom rowlake.plans.registry import FIELD_TRANSFORMS, ROW_FILTERS\nFIELD_TRANSFORMS.register('shout', lambda c, s: F.concat(F.upper(c), F.lit('!')), 'replace')\nROW_FILTERS.register('longer', lambda df, s: F.length(s['field']) > s['value'], 'replace')\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setenv("ROWLAKE_EXTENSIONS", "my_extension_module, no_such_module")
+    status = Extensions().load()
+    assert status["loaded"] == ["my_extension_module"] and "no_such_module" in status["failed"]
+    df = spark.createDataFrame([("ab", 1), ("abcd", 2), (" ", 3)], "text string, n int")
+    out = enrichment.preprocess_rows(df, {"field_transforms": [{"field": "text", "op": "shout"}], "row_filters": [{"op": "longer", "field": "text", "value": 3}], "typed_filters": True}, ["n"])
+    assert [r.text for r in out.collect()] == ["ABCD!"]
+    typed = lambda **s: filters.apply_filters(spark.createDataFrame([(1, 10.0, "10", True), (2, None, None, None)], "k int, f double, s string, b boolean"), [s], typed=True).count()
+    assert typed(op="eq", field="f", value=10) == 1 and typed(op="eq", field="s", value=10) == 0 and typed(op="eq", field="s", value="10") == 1 and typed(op="eq", field="b", value=True) == 1 and typed(op="eq", field="k", value=True) == 0
+    assert typed(op="eq", field="f", value=None) == 1 and typed(op="ne", field="f", value="10") == 2 and typed(op="in", field="k", value=[1, "2"]) == 1 and typed(op="contains", field="s", value="one") == 1 and typed(op="gt", field="s", value="9") == 1
+    with pytest.raises(ValueError):
+        typed(op="blank_row")
+    FIELD_TRANSFORMS.unregister("shout"), ROW_FILTERS.unregister("longer")
+
+
+def test_result_cache_sees_changes(spark, tmp_path):
+    from rowlake.plans.tasks import ResultCache
+
+    spark.range(5).write.parquet(f"{tmp_path}/a")
+    cache, made = ResultCache(), []
+    ask = lambda: cache.get(spark.read.parquet(f"{tmp_path}/a"), {"x": 1}, lambda df: made.append(1) or df.filter("id > 1"))
+    assert ask().count() == 3 and ask().count() == 3 and len(made) == 1
+    spark.range(9).write.mode("append").parquet(f"{tmp_path}/a")
+    assert ask().count() == 10 and len(made) == 2 and cache.stats()["hits"] == 1
+
+    class Other:  # another plan of the same hash
+        def __init__(self, df):
+            self.df = df
+
+        def semanticHash(self):
+            return 7
+
+        def sameSemantics(self, other):
+            return self.df.sameSemantics(other.df)
+
+    one, two = Other(spark.range(3)), Other(spark.range(4))
+    get = lambda x: cache.get(x, {}, lambda o: o.df, stamp="s").count()
+    assert (get(one), get(two), get(one)) == (3, 4, 3)
+    assert cache.clear() == 3

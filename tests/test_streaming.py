@@ -60,3 +60,54 @@ def test_state(tmp_path):
     r = Reliability(f"{tmp_path}/r")
     assert not r.record("q", "1")["duplicate"] and r.record("q", "1")["duplicate"] and r.record("q", "2", {"x": 1}, "boom")["failed"]
     assert r.stats("q") == {"seen": 2, "failed": 1, "repeats": 1, "checkpoint": 0, "consistent": True} and len(r.replay("q")) == 1 and r.flush("q") == 1
+
+
+def test_two_writers(spark, tmp_path):
+    """Of many writers who expect one version, one wins; records are taken once; on a local folder and on one of Spark's file systems."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    for folder in (f"{tmp_path}/local", f"file://{tmp_path}/shared"):
+        state = StreamState(folder)
+        assert JsonStore(folder).files.folder.exists()
+        state.save("k", {"n": 0})
+
+        def write(i, state=state):
+            try:
+                return state.save("k", {"n": i}, expected_version=1)["state"]["n"]
+            except VersionConflict:
+                return None
+
+        with ThreadPoolExecutor(8) as pool:
+            won = [x for x in pool.map(write, range(16)) if x is not None]
+        assert len(won) == 1 and state.load("k") == {**state.load("k"), "state": {"n": won[0]}, "version": 2}
+        for i in range(5):
+            state.save("k", {"n": i})
+        assert state.load("k")["version"] == 7 and state.list() == ["k"] and state.delete("k") and state.load("k") is None and state.list() == []
+        seen = Reliability(folder + "-r")
+        with ThreadPoolExecutor(8) as pool:
+            got = list(pool.map(lambda i: seen.record("s", f"m{i % 4}", i, "bad" if i % 4 == 1 else None), range(20)))
+        assert sum(not x["duplicate"] for x in got) == 4 and seen.stats("s")["seen"] == 4 and seen.stats("s")["repeats"] == 16 and len(seen.replay("s")) == 1 and seen.flush("s") == 1
+
+
+def test_delivery_table(spark, tmp_path):
+    from rowlake.streaming.state import DeliveryTable
+
+    t = DeliveryTable(spark, f"file://{tmp_path}/d", 4)
+    ids = lambda a, b: spark.range(a, b).selectExpr("id", "id * 2 as v").union(spark.range(a, b).selectExpr("id", "id * 2 as v"))
+    assert t.take(ids(0, 50), "id", "b1").count() == 50
+    assert sorted(r.id for r in t.take(ids(40, 60), "id", "b2").collect()) == list(range(50, 60))
+    assert t.take(ids(40, 60), "id", "b2").count() == 10  # repeated after a failure
+    assert t.take(ids(0, 60), "id", "b3").count() == 0
+
+
+def test_state_in_sparks_file_systems(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.rl.link./d", f"file://{tmp_path}")
+    state = StreamState("viewfs://rl/d/state")
+    assert type(state.store.files).__name__ == "_Shared"
+    for i in range(4):
+        assert state.save("k", {"n": i}, offset=i)["version"] == i + 1
+    with pytest.raises(VersionConflict):
+        state.save("k", {}, expected_version=1)
+    assert state.load("k")["state"] == {"n": 3} and state.list() == ["k"] and not state.store.put_if("k", {}, 3) and state.delete("k") and state.load("k") is None
+    seen = Reliability("viewfs://rl/d/r")
+    assert not seen.record("s", "m", error="bad")["duplicate"] and seen.record("s", "m")["duplicate"] and seen.replay("s")[0]["error"] == "bad" and seen.stats("s")["seen"] == 1
