@@ -8,8 +8,10 @@ import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowlake.functions.values import NUMERIC, col, kind_of, number, vts
+from rowlake.operators.ranges import percentiles
 from rowlake.operators.text import tokens
 
 EPSILON = 2.220446049250313e-16
@@ -159,6 +161,44 @@ def regression_columns(df: DataFrame, group_by: list[str], x: str, y: str) -> Da
     return df.groupBy(*(col(c) for c in group_by)).agg(F.regr_count(b, a).alias("n"), F.corr(a, b).alias("correlation"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"))
 
 
+def stats_columns(df: DataFrame, group_by: list[str], x: str, y: str, inference: bool = True) -> DataFrame:
+    """For each group count, correlation, slope, intercept, means, slope_stderr, slope_t and the exact median_y; with inference slope_p_value and the 95 % interval too.
+
+    Of one table without groups give []. Numbers that don't vary have correlation and slope 0. Groups below two pairs are left out.
+    """
+    both = df.select(*(col(c) for c in group_by), number(df, x).alias("__x"), number(df, y).alias("__y")).filter("__x is not null and __y is not null")
+    one = both.groupBy(*(col(c) for c in group_by)).agg(F.count("*").alias("count"), F.avg("__x").alias("mean_x"), F.avg("__y").alias("mean_y"), F.regr_sxx("__y", "__x").alias("__sxx"), F.regr_syy("__y", "__x").alias("__syy"), F.regr_sxy("__y", "__x").alias("__sxy")).filter("count >= 2")
+    flat = F.col("__sxx") <= 0
+    out = one.withColumns({"correlation": F.when(flat | (F.col("__syy") <= 0), 0.0).otherwise(F.try_divide(F.col("__sxy"), F.sqrt(F.col("__sxx")) * F.sqrt(F.col("__syy")))), "slope": F.when(flat, 0.0).otherwise(F.try_divide("__sxy", "__sxx"))})
+    rest = F.greatest(F.col("__syy") - F.col("slope") * F.col("__sxy"), F.lit(0.0))
+    out = out.withColumns({"intercept": F.col("mean_y") - F.col("slope") * F.col("mean_x"), "slope_stderr": F.when(~flat, F.sqrt(F.try_divide(rest / F.greatest(F.col("count") - 2, F.lit(1)), F.col("__sxx"))))})
+    out = out.withColumn("slope_t", F.when(F.col("slope_stderr") > 0, F.try_divide("slope", "slope_stderr")).otherwise(0.0))
+    middle = percentiles(both, group_by, "__y", {"median_y": 0.5})
+    names = ["count", "correlation", "slope", "intercept", "mean_x", "mean_y", "slope_stderr", "slope_t", "median_y"]
+    if group_by:
+        middle = middle.withColumnsRenamed({c: f"__m_{c}" for c in group_by})
+        same = [out[f"`{c}`"].eqNullSafe(middle[f"`__m_{c}`"]) for c in group_by]
+        out = out.join(middle, same)
+    else:
+        out = out.crossJoin(middle)  # one row each
+    out = out.select(*(col(c) for c in group_by), *names)
+    if not inference:
+        return out
+
+    def infer(batches):  # a row for each group
+        import pyarrow as pa
+
+        for batch in batches:
+            slope, error, t, n = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("slope", "slope_stderr", "slope_t", "count"))
+            p = [t_two_sided(abs(a), max(1, k - 2)) for a, k in zip(t, n)]
+            wide = [None if e is None else t_quantile(0.975, max(1, k - 2)) * e for e, k in zip(error, n)]
+            low, high = ([None if w is None else s + sign * w for s, w in zip(slope, wide)] for sign in (-1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array(low, pa.float64()), pa.array(high, pa.float64())], names=[*batch.schema.names, "slope_p_value", "ci95_low", "ci95_high"])
+
+    schema = T.StructType([*out.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("slope_p_value", "ci95_low", "ci95_high"))])
+    return out.mapInArrow(infer, schema)
+
+
 def build_index(df: DataFrame, path: str, key: str, text: str, metadata: list[str] = (), shards: int = 8, mode: str = "replace") -> None:
     """A sharded table of id, text, metadata and shard; replace or append."""
     rows = df.filter((vts(col(key)) != "") & (vts(col(text)) != "")).select(vts(col(key)).alias("id"), vts(col(text)).alias("text"), *(col(c) for c in metadata))

@@ -174,6 +174,19 @@ def simulate_rules(df: DataFrame, before, after, key: list[str], order_by: list[
     return joined.select(F.explode(differs).alias("field")).groupBy("field").agg(F.count("*").alias("changed"))
 
 
+def image_report(blocks: DataFrame, kind: str = "block_type", confidence: str = "confidence", text: str = "text", low: float = 0.6) -> DataFrame:
+    """One row of the quality of recognised blocks: counts, mean and low confidence, repeated and empty texts, signs among the characters."""
+    said = F.lower(F.trim(F.regexp_replace(vts(col(text)), r"\s+", " ")))
+    texts = F.when(F.coalesce(col(kind) != "figure", F.lit(True)), True).otherwise(False) if kind in blocks.columns else F.lit(True)
+    sure, there = F.when(texts, number(blocks, confidence)), texts & (said != "")
+    signs = F.when(there, F.regexp_count(said, F.lit(r"[^0-9a-z一-鿿\s]")) / F.greatest(F.length(said), F.lit(1)))
+    part = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
+    return blocks.agg(
+        F.count("*").alias("block_count"), _n(texts).alias("text_block_count"), F.round(F.coalesce(F.avg(sure), F.lit(0.0)), 6).alias("ocr_confidence_avg"), part(_n(F.coalesce(sure < low, F.lit(False))), F.count(sure)).alias("low_confidence_block_ratio"),
+        part(_n(there) - F.count_distinct(F.when(there, said)), _n(there)).alias("duplicate_line_ratio"), part(_n(texts & (said == "")), _n(texts)).alias("empty_text_block_ratio"), F.round(F.coalesce(F.avg(signs), F.lit(0.0)), 6).alias("non_text_symbol_ratio"),
+    )
+
+
 def modality_report(df: DataFrame, header_confidence: float = 1.0, numeric: list[str] = (), dates: list[str] = (), keys: list[str] = ()) -> DataFrame:
     """One row of a sheet's quality: header confidence, parse rates, blank and duplicate ratios, coverage of cells."""
     cells = [miss(col(c)) for c in df.columns]

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rowlake.functions.expressions import fields_of
-from rowlake.operators import aggregates, filters, intelligence, joins, quality, text, transform, windows
+from rowlake.functions.values import col
+from rowlake.operators import aggregates, claims, enrichment, filters, intelligence, joins, quality, text, transform, windows
+from rowlake.plans.governance import Faults
 from rowlake.streaming import windows as streams
 
 
@@ -29,6 +32,43 @@ OPERATORS: dict[str, Callable] = {
 }
 
 
+def _clean_md(inputs: dict, config: dict) -> DataFrame:
+    """The text without markup of links, code and emphasis, and without blank lines in a row."""
+    name = config.get("text", "text")
+    x = F.regexp_replace(F.regexp_replace(col(name).cast("string"), r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"(?m)^```.*$|[*_`]{1,3}", "")
+    return inputs["rows"].withColumn(name, F.trim(F.regexp_replace(x, r"\n{3,}", "\n\n")))
+
+
+def _markdown(inputs: dict, config: dict) -> DataFrame:
+    """A `markdown` column: a line of a table for each row, its columns in their order."""
+    rows = inputs["rows"]
+    cells = [F.replace(F.coalesce(col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in config.get("fields", rows.columns)]
+    return rows.withColumn("markdown", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")))
+
+
+def _review(inputs: dict, config: dict) -> DataFrame:
+    """The rows with review_status: pending, or what was decided; `store` is a governance.Reviews."""
+    found = config["store"].ask(config["run"], config.get("node", "review"), config.get("note", ""))
+    if found["status"] == "rejected":
+        raise WorkflowError(f"{found['node']} was rejected by {found['reviewer']}")
+    return inputs["rows"].withColumn("review_status", F.lit(found["status"]))
+
+
+def _ingest(inputs: dict, config: dict) -> DataFrame:
+    from rowlake.sources.load import load_many
+
+    out, failed = load_many(config["spark"], config["sources"], config.get("on_error", "raise"))
+    if out is None:
+        raise WorkflowError(f"nothing was read of {', '.join(failed)}")
+    return out
+
+
+OPERATORS |= {
+    "sql_chart": _on(aggregates.chart_first_seen), "compute_metrics": _on(aggregates.text_metrics), "clean_md": _clean_md, "md_output": _markdown, "manual_review": _review, "ingest_files": _ingest, "stats": _on(intelligence.stats_columns), "image_report": _on(quality.image_report),
+    "preprocess_rows": _on(enrichment.preprocess_rows), "canonical_evidence": _on(claims.canonical_evidence), "claim_conflicts": _on(claims.mark_conflicts), "evidence_report": _on(claims.evidence_report),
+}
+
+
 def register(name: str, f: Callable[[dict, dict], DataFrame], on_conflict: str = "error") -> None:
     if name in OPERATORS and on_conflict == "error":
         raise WorkflowError(f"{name} is registered")
@@ -73,6 +113,16 @@ def _resolve(value, context: dict):
     return value
 
 
+def reference_run(definition: dict, inputs: dict[str, DataFrame], params: dict | None = None, **options) -> dict:
+    """run, after the contract of the whole definition: its errors are raised before any step is planned."""
+    from rowlake.plans.contracts import check_workflow
+
+    report = check_workflow(definition, **options)
+    if not report["ok"]:
+        raise WorkflowError("; ".join(e["message"] for e in report["errors"]))
+    return {**run(report["workflow"], inputs, params), "notes": report["notes"]}
+
+
 def run(definition: dict, inputs: dict[str, DataFrame], params: dict | None = None, limit: int = 128) -> dict:
     """Node outputs by id and a trace. A node reads config.input_map ({rows: "$other"}), else its single edge, else the input `rows`."""
     steps = order(definition)
@@ -91,6 +141,7 @@ def run(definition: dict, inputs: dict[str, DataFrame], params: dict | None = No
         config = dict(node.get("config", {}))
         mapped = config.pop("input_map", None) or ({"rows": f"${edges[0]['from']}"} if edges else {"rows": "$rows"})
         try:
+            Faults().check(node["type"])
             context[node["id"]] = OPERATORS[node["type"]]({k: _resolve(v, context) for k, v in mapped.items()}, config)
             trace.append({"id": node["id"], "status": "done"})
         except Exception as e:

@@ -244,3 +244,19 @@ def test_strict_casts_and_limits(spark):
     assert rows(out.df) == sorted([(7, 1500.0, None), (None, -0.5, None)], key=str) and dict(map(tuple, out.audit.collect())) == {"ok": 2, "cast_failed": 2}
     with pytest.raises(ValueError, match="more than 3 rows"):
         transform.transform(df, {"max_rows": 3})
+
+
+def test_stats_columns(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.1), ("a", 2.0, 3.9), ("a", 3.0, 6.2), ("a", 4.0, 7.8), ("a", 5.0, 10.1), ("b", 1.0, 5.0), ("b", 1.0, 7.0), ("c", 1.0, 1.0), (None, 1.0, 1.0), (None, 2.0, 1.0)], "g string, x double, y double")
+    got = {r.g: r for r in intelligence.stats_columns(df, ["g"], "x", "y").collect()}
+    one = intelligence.regression(df.filter("g = 'a'"), "x", "y")
+    assert set(got) == {"a", "b", None} and got["a"].median_y == 6.2 and got["b"].median_y == 7.0
+    assert (got["a"].slope, got["a"].slope_stderr, got["a"].slope_t, got["a"].slope_p_value, got["a"].ci95_low) == pytest.approx((one["slope"], one["slope_stderr"], one["t"], one["p_value"], one["ci95_low"]))
+    assert (got["b"].correlation, got["b"].slope, got["b"].intercept, got["b"].slope_stderr, got["b"].slope_t) == (0.0, 0.0, 6.0, None, 0.0) and got[None].correlation == 0.0
+    assert intelligence.stats_columns(df, [], "x", "y", inference=False).first()["count"] == 10
+
+
+def test_image_report(spark):
+    blocks = spark.createDataFrame([("text", 0.9, "Hello  there"), ("text", 0.5, "hello there"), (None, None, " "), ("figure", 0.1, "##")], "block_type string, confidence double, text string")
+    r = quality.image_report(blocks).first()
+    assert tuple(r) == (4, 3, 0.7, 0.5, 0.5, 0.333333, 0.0)

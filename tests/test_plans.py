@@ -226,3 +226,62 @@ def test_result_cache_sees_changes(spark, tmp_path):
     get = lambda x: cache.get(x, {}, lambda o: o.df, stamp="s").count()
     assert (get(one), get(two), get(one)) == (3, 4, 3)
     assert cache.clear() == 3
+
+
+def test_workflow_contract(spark, monkeypatch, tmp_path):
+    from rowlake.plans import contracts
+
+    good = {"workflow_id": "w", "version": "1.0", "nodes": [{"id": "a", "type": "aggregate_rows", "config": {"group_by": ["g"], "aggregates": [{"op": "count", "as": "n"}]}}, {"id": "m", "type": "md_output"}], "edges": [{"from": "a", "to": "m"}]}
+    df = spark.createDataFrame([("x|y",), ("z",), ("z",)], "g string")
+    out = workflow.reference_run(good, {"rows": df})
+    assert out["ok"] and sorted(r.markdown for r in out["outputs"]["m"].collect()) == ["| x\\|y | 1 |", "| z | 2 |"]
+    codes = lambda d, **o: sorted((e["path"], e["code"]) for e in contracts.check_workflow(d, **o)["errors"])
+    assert codes([]) == [("workflow", "type_object")] and codes({"workflow_id": "w", "nodes": []}, migrate=True, need_nodes=True) == [("workflow.nodes", "empty")]
+    bad = {"version": "x", "nodes": [{"id": "a", "type": "join_rows", "config": {"left_on": 3, "join_type": "cross"}}, {"id": "a", "type": "nope"}, {"id": "w", "type": "window_rows", "config": {"partition_by": [], "order_by": "t", "functions": [{"op": "ntile"}, 1]}}], "edges": [{"from": "a", "to": "q"}]}
+    assert codes(bad) == sorted([("workflow.workflow_id", "required"), ("workflow.version", "format"), ("workflow.nodes[0].config.left_on", "type_text"), ("workflow.nodes[0].config.right_on", "required"), ("workflow.nodes[0].config.join_type", "enum_not_allowed"), ("workflow.nodes[1].id", "duplicate"), ("workflow.nodes[1].type", "unknown_operator"), ("workflow.nodes[2].config.functions[0].as", "required"), ("workflow.nodes[2].config.functions[0].op", "enum_not_allowed"), ("workflow.nodes[2].config.functions[1]", "type_object"), ("workflow.edges[0].to", "unknown_node")])
+    assert ("workflow.nodes[1].type", "unknown_operator") not in codes(bad, scope="draft")
+    with pytest.raises(workflow.WorkflowError, match="join_type"):
+        workflow.reference_run(bad, {"rows": df})
+    monkeypatch.setenv("ROWLAKE_FAULT", "aggregate_rows:fail")
+    failed = workflow.run(good, {"rows": df})
+    assert not failed["ok"] and "fault injected failure" in failed["trace"][0]["error"]
+    monkeypatch.setenv("ROWLAKE_FAULT", "other:timeout")
+    assert workflow.run(good, {"rows": df})["ok"]
+    with pytest.raises(TimeoutError):
+        governance.Faults(wait_s=0).check("OTHER")
+    monkeypatch.delenv("ROWLAKE_FAULT")
+    reviews = governance.Reviews(f"{tmp_path}/r")
+    ask = lambda: workflow.run({"nodes": [{"id": "v", "type": "manual_review", "config": {"store": reviews, "run": "r1"}}]}, {"rows": df})
+    assert ask()["outputs"]["v"].first().review_status == "pending" and len(reviews.list("pending")) == 1
+    reviews.decide("r1", "review", True, "me")
+    assert ask()["outputs"]["v"].first().review_status == "approved"
+    with pytest.raises(ValueError):
+        reviews.decide("r1", "review", False, "me")
+
+
+def test_stores_and_plugins(spark, tmp_path):
+    sets = governance.RuleSets(f"{tmp_path}/s")
+    assert sets.save("a", {"x": 1})["version"] == 1 and sets.save("a", {"x": 2})["version"] == 2 and sets.get("a")["rules"] == {"x": 2} and [x["name"] for x in sets.list()] == ["a"] and sets.delete("a")
+    base = governance.Baselines(f"{tmp_path}/b")
+    base.save("q", {"rows": 100.0, "zero": 0.0, "gone": 1.0})
+    assert {x["metric"] for x in base.compare("q", {"rows": 105.0, "zero": 1.0})} == {"zero", "gone"}
+    apps = governance.Apps(f"{tmp_path}/a")
+    assert apps.publish("f", {"nodes": [{"id": "a", "type": "x"}]}) == 1 and apps.publish("f", {"nodes": [{"id": "a", "type": "y"}, {"id": "b", "type": "x"}]}) == 2
+    assert apps.diff("f", 1, 2) == {"added": ["b"], "removed": [], "changed": ["a"]} and apps.get("f", 1)["version"] == 1 and apps.list() == {"f": 2}
+    code = "import json, sys; print(json.dumps([{'n': r['id'] * 2} for r in json.load(sys.stdin)]))"
+    plugins = governance.Plugins({"twice": [sys.executable, "-c", code]}, enabled=True, secret="s", at_once=1)
+    mark = governance.sign('{"command": %s, "name": "twice"}' % __import__("json").dumps(plugins.commands["twice"]), "s")
+    assert plugins.run("twice", [{"id": 4}], signature=mark) == [{"n": 8}] and plugins.audit[-1]["ok"]
+    assert sorted(r.n for r in plugins.apply(spark.range(25), "twice", "n long", signature=mark, rows=10).collect()) == [2 * i for i in range(25)]
+    for error, options in ((PermissionError, {}), (ValueError, {"signature": mark, "payload": "x" * 2_000_000})):
+        with pytest.raises(error):
+            plugins.run("twice", options.pop("payload", []), **options)
+    plugins.running["t"] = 1
+    with pytest.raises(RuntimeError, match="at once"):
+        plugins.run("twice", [], "t", mark)
+    df = spark.createDataFrame([("2",)], "x string")
+    assert governance.apply_udf_signed(df, "x", "double", token=governance.sign("double", "k"), secret="k").first().x == 4.0
+    with pytest.raises(PermissionError):
+        governance.apply_udf_signed(df, "x", "double", token="no", secret="k")
+    with pytest.raises(ImportError):
+        governance.apply_wasm(df, "x", b"")
