@@ -41,7 +41,12 @@ def miss(c: Column) -> Column:
 
 
 def money(text: Column, english_units: bool = False) -> Column:
-    """A number by the money grammar, or null: (1,200.50), 12-, ¥3万, 借 5. english_units also reads "3 million"."""
+    """A number by the money grammar, or null: (1,200.50), 12-, ¥3万, 借 5. english_units also reads "3 million". Plain numbers skip the grammar."""
+    bare = F.trim(text)
+    return F.when(bare.rlike(r"^[+-]?[0-9]*\.?[0-9]+$"), bare.try_cast("double")).otherwise(_money(text, english_units))
+
+
+def _money(text: Column, english_units: bool) -> Column:
     t = F.lower(F.trim(F.translate(F.translate(text, "　", " "), DASHES, "-" * len(DASHES))))
     negative = t.rlike(r"^[(（].*[)）]$") | t.startswith("-") | t.endswith("-") | t.rlike(r"^(?:debit|dr)") | t.rlike(OUTFLOW)
     scale = F.lit(1.0)

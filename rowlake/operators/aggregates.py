@@ -94,6 +94,17 @@ def _null_safe(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
     return a.join(b, condition, "left").drop(*(f"__r_{c}" for c in names))
 
 
+def sampled_percentiles(df: DataFrame, group_by: list[str], field: str, shares: dict[str, float], order_by: list[str], sample_size: int = 1024) -> DataFrame:
+    """Nearest ranks of every k-th number of a group in order_by, k so that at most sample_size (64 to a million) are taken. The group's rows are numbered in one window."""
+    size = min(1_000_000, max(64, sample_size))
+    keys, names = _groups(df, group_by), [col(c) for c in group_by]
+    rows = df.select(*keys, number(df, field).alias("__v"), *(col(c).alias(f"__o{i}") for i, c in enumerate(order_by))).filter("__v is not null")
+    one = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
+    place = F.row_number().over(one.orderBy(*(F.col(f"__o{i}") for i in range(len(order_by))))) - 1
+    taken = rows.withColumns({"__i": place, "__k": F.ceil(F.count("*").over(one) / size)}).filter("__i % __k = 0")
+    return percentiles(taken.select(*names, "__v"), group_by, "__v", shares)
+
+
 def top_values(df: DataFrame, group_by: list[str], field: str, n: int = 5, alias: str = "top") -> DataFrame:
     """The n most frequent texts of each group as [{value, count}]; of equally frequent ones the smaller text first."""
     n = min(100, max(1, n))

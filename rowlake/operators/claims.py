@@ -113,7 +113,7 @@ def canonical_evidence(df: DataFrame) -> DataFrame:
     quote = F.regexp_extract(raw, "[“\"「]([^”\"」]{4,})[”\"」]", 1)
     card = F.trim(F.regexp_extract(raw, r"(?i)^\s*(?:source|来源|出处)\s*[:：]\s*(.+?)(?:https?://\S*)?$", 1))
     # the steps are columns of their own, so that none is written out twice
-    rows = rows.withColumns({"__said": said, "__speaker": F.when(c("p_speaker") != "", c("p_speaker")).otherwise(F.when(labelled, label).otherwise("")), "__url": F.when(c("p_source_url") != "", c("p_source_url")).otherwise(F.rtrim(F.lit(".,;"), F.regexp_extract(raw, URL, 0))), "__title": F.when(c("p_source_title") != "", c("p_source_title")).otherwise(card)})
+    rows = rows.withColumns({"__said": said, "__speaker": F.when(c("p_speaker") != "", c("p_speaker")).otherwise(F.when(labelled, label).otherwise("")), "__url": F.when(c("p_source_url") != "", c("p_source_url")).otherwise(F.rtrim(F.regexp_extract(raw, URL, 0), F.lit(".,;"))), "__title": F.when(c("p_source_title") != "", c("p_source_title")).otherwise(card)})
     url = F.regexp_replace(F.regexp_replace(c("__url"), r"^www\.", "https://www."), r"#.*$|/+$", "")
     clean = F.trim(F.regexp_replace(text_transform("clean_citation", text_transform("strip_ocr_noise", F.regexp_replace(c("__said"), URL, " "))), r"\s+", " "))
     rows = rows.withColumns({"__link": url, "__clean": clean})

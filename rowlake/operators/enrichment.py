@@ -17,7 +17,7 @@ from rowlake.plans.registry import FIELD_TRANSFORMS, STAGES
 #: How a claim line begins, ends and names its parts.
 SENTENCE_END = r"[.!?。！？；;:：\"”'’)）]\s*$"
 SECTION = r"^(?:#{1,6}\s+|第[一二三四五六七八九十0-9]+[章节部分]|[IVX]+\.\s|[0-9]+(?:\.[0-9]+)*\.?\s+(?=\S{1,40}$))"
-CARD = r"^\s*(?:\[?\d+\]?[.)]?\s+)?(?:source|来源|出处)\s*[:：]\s*(.+)$"
+CARD = r"(?i)^\s*(?:\[?\d+\]?[.)]?\s+)?(?:source|来源|出处)\s*[:：]\s*(.+)$"
 CITATION = r"\[(\d{1,3})\]"
 CJK_END, CJK_BEGIN = r"[一-鿿]$", r"^[一-鿿]"
 ARGUMENT = [("rebuttal", r"(?i)rebut|refute|反驳|驳论"), ("evidence", r"(?i)evidence|data shows|according to|根据|数据"), ("conclusion", r"(?i)therefore|in conclusion|综上|因此"), ("claim", r"(?i)we (?:believe|argue)|我方认为|主张")]

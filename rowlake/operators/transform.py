@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rowlake.functions.expressions import mini_expression, tree_expression
 from rowlake.functions.fields import date_op, field_op, string_op
-from rowlake.functions.values import cast_to, col, kind_of, miss, num, number, truthy, vts, ymd
+from rowlake.functions.values import NUMERIC, cast_to, col, kind_of, miss, num, number, truthy, vts, ymd
 from rowlake.operators.aggregates import aggregate_stats
 from rowlake.operators.filters import predicate
 
@@ -126,8 +126,9 @@ def survivorship(df: DataFrame, rule: dict, order_by: list[str]) -> DataFrame:
     made: dict[str, Column] = {}
     order: list[Column] = []
     for i, c in enumerate(rule.get("score_fields", [])):
-        x, n, d = col(c), num(col(c), kind_of(df, c)), ymd(col(c))
-        made[f"__d{i}"] = F.when(n.isNull() | x.cast("string").rlike("[-/年.].*[-/月.]"), d)
+        x, n = col(c), num(col(c), kind_of(df, c))
+        dates = F.when(n.isNull() | x.cast("string").rlike("[-/年.].*[-/月.]"), ymd(x))
+        made[f"__d{i}"] = F.lit(None).cast("struct<y:int,m:int,d:int>") if isinstance(kind_of(df, c), NUMERIC) else dates  # a number is no date
         made[f"__n{i}"] = n
         rank = F.when(miss(x), 0).when(F.col(f"__d{i}").isNotNull(), 3).when(F.col(f"__n{i}").isNotNull(), 2).otherwise(1)
         order += [rank.desc(), F.col(f"__d{i}").desc(), F.when(F.col(f"__d{i}").isNull(), F.col(f"__n{i}")).desc(), F.when(rank == 1, vts(x)).desc()]
@@ -317,6 +318,20 @@ def clean_finance(df: DataFrame, digits: int = 2, drop_negative: bool = False, l
     return deduplicate(out, ["id"], [f"__o{i}" for i in range(len(order_by or []))] or ["amount"]).select("id", "amount").orderBy("id")
 
 
+def clean_finance_report(df: DataFrame, drop_negative: bool = False, low: float | None = None, high: float | None = None) -> DataFrame:
+    """A row for each reason why clean_finance leaves rows out (invalid_id, invalid_amount, negative, below_min, above_max, duplicate), and for input and output: reason and rows."""
+    id_, amount = cast_to(col("id"), kind_of(df, "id"), "int"), number(df, "amount")
+    reason = F.when(id_.isNull(), "invalid_id").when(amount.isNull(), "invalid_amount")
+    reason = reason.when(amount < 0, "negative") if drop_negative else reason
+    reason = reason.when(amount < low, "below_min") if low is not None else reason
+    reason = reason.when(amount > high, "above_max") if high is not None else reason
+    counts = df.select(id_.alias("id"), F.coalesce(reason, F.lit("ok")).alias("reason")).groupBy("reason", F.when(F.col("reason") == "ok", F.col("id")).alias("id")).agg(F.count("*").alias("n"))
+    told = counts.groupBy("reason").agg(F.sum("n").alias("n"), F.count("*").alias("ids"))
+    parts = F.when(F.col("reason") == "ok", F.array(F.struct(F.lit("output").alias("reason"), F.col("ids").alias("rows")), F.struct(F.lit("duplicate").alias("reason"), (F.col("n") - F.col("ids")).alias("rows")))).otherwise(F.array(F.struct(F.col("reason").alias("reason"), F.col("n").alias("rows"))))
+    every = told.select(F.explode(F.concat(parts, F.array(F.struct(F.lit("input").alias("reason"), F.col("n").alias("rows"))))).alias("x"))
+    return every.groupBy(F.col("x.reason").alias("reason")).agg(F.sum("x.rows").alias("rows")).filter("rows > 0")
+
+
 def normalize_schema(df: DataFrame, fields: list[str], defaults: dict | None = None) -> DataFrame:
     """Adds the absent fields, from defaults or null; what is there stays."""
     return df.withColumns({c: F.lit((defaults or {}).get(c)) if (defaults or {}).get(c) is not None else F.lit(None).cast("string") for c in fields if c not in df.columns})

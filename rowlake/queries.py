@@ -34,10 +34,14 @@ def query(name: str, tables: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from rowlake import more_queries  # noqa: F401  registers its own
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from rowlake import more_queries  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -129,10 +133,11 @@ _PICK = ["o_orderkey", "o_custkey", "c_custkey", "c_name"]
 
 
 def _pairs(o, c):
-    return o.filter("o_custkey % 3 <> 0").select("o_orderkey", "o_custkey"), c.filter("c_custkey % 2 = 0").select("c_custkey", "c_name")
+    """Both whole tables; the customers' keys are moved by seven, so that both sides have rows without a match."""
+    return o.select("o_orderkey", "o_custkey"), c.select((F.col("c_custkey") + 7).alias("c_custkey"), "c_name")
 
 
-_L, _R = "(SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 3 <> 0)", "(SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0)"
+_L, _R = "(SELECT o_orderkey, o_custkey FROM orders)", "(SELECT c_custkey + 7 AS c_custkey, c_name FROM customer)"
 for _how, _join in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "full": "FULL JOIN"}.items():
 
     @query(f"join_{_how}", "orders customer", f"SELECT {', '.join(_PICK)} FROM {_L} o {_join} {_R} c ON o_custkey = c_custkey")
@@ -181,13 +186,13 @@ def _(o, c):
 
 
 @query("diff_audit", "part", """
-WITH b AS (SELECT p_partkey, p_name, p_size + CASE WHEN p_partkey % 10 = 0 THEN 1 ELSE 0 END AS p_size FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT -p_partkey, p_name, p_size FROM part WHERE p_partkey <= 5), a AS (SELECT p_partkey, p_name, p_size FROM part)
+WITH b AS (SELECT CASE WHEN p_partkey % 7 = 0 THEN -1 - p_partkey ELSE p_partkey END AS p_partkey, p_name, p_size + CASE WHEN p_partkey % 10 = 0 THEN 1 ELSE 0 END AS p_size FROM part), a AS (SELECT p_partkey, p_name, p_size FROM part)
 SELECT CAST(coalesce(a.p_partkey, b.p_partkey) AS VARCHAR) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM a FULL JOIN b ON a.p_partkey = b.p_partkey WHERE a.p_partkey IS NULL OR b.p_partkey IS NULL OR a.p_size <> b.p_size""")
 def _(p):
     a = p.select("p_partkey", "p_name", "p_size")
-    b = a.filter("p_partkey % 7 <> 0").withColumn("p_size", F.col("p_size") + F.when(F.col("p_partkey") % 10 == 0, 1).otherwise(0))
-    b = b.unionByName(a.filter("p_partkey <= 5").withColumn("p_partkey", -F.col("p_partkey")))
+    b = a.withColumn("p_size", F.col("p_size") + F.when(F.col("p_partkey") % 10 == 0, 1).otherwise(0))
+    b = b.withColumn("p_partkey", F.when(F.col("p_partkey") % 7 == 0, -1 - F.col("p_partkey")).otherwise(F.col("p_partkey")))  # some keys are moved: removed here, added there
     return joins.diff_audit(a, b, ["p_partkey"])
 
 
@@ -195,15 +200,16 @@ def _(p):
 
 _FILTERS = {
     "filter_eq": ({"field": "p_brand", "op": "eq", "value": "Brand#13"}, "p_brand = 'Brand#13'"), "filter_ne": ({"field": "p_brand", "op": "ne", "value": "Brand#13"}, "p_brand <> 'Brand#13'"), "filter_contains": ({"field": "p_name", "op": "contains", "value": "re"}, "contains(p_name, 're')"),
-    "filter_in": ({"field": "p_size", "op": "in", "value": [1, 5, 9]}, "p_size IN (1, 5, 9)"), "filter_not_in": ({"field": "p_size", "op": "not_in", "value": [1, 5, 9]}, "p_size NOT IN (1, 5, 9)"), "filter_regex": ({"field": "p_type", "op": "regex", "value": "^[A-E].*S"}, "regexp_matches(p_type, '^[A-E].*S')"),
-    "filter_not_regex": ({"field": "p_type", "op": "not_regex", "value": "^[A-E]"}, "NOT regexp_matches(p_type, '^[A-E]')"), "filter_gt": ({"field": "p_retailprice", "op": "gt", "value": 1000}, "p_retailprice > 1000"), "filter_lte": ({"field": "p_size", "op": "lte", "value": "10"}, "p_size <= 10"),
-    "filter_exists": ({"field": "p_name", "op": "exists"}, "trim(p_name) <> ''"), "filter_not_exists": ({"field": "p_name", "op": "not_exists"}, "trim(p_name) = ''"), "filter_invalid": ({"field": "p_size", "op": "in", "value": "1"}, "false"), "filter_unknown": ({"field": "p_size", "op": "whatever"}, "true"),
+    "filter_in": ({"field": "p_size", "op": "in", "value": [1, 5, 9]}, "p_size IN (1, 5, 9)"), "filter_not_in": ({"field": "p_size", "op": "not_in", "value": [1, 5, 9]}, "p_size NOT IN (1, 5, 9)"), "filter_regex": ({"field": "p_type", "op": "regex", "value": "^[A-M].*U"}, "regexp_matches(p_type, '^[A-M].*U')"),
+    "filter_not_regex": ({"field": "p_type", "op": "not_regex", "value": "^[A-E]"}, "NOT regexp_matches(p_type, '^[A-E]')"), "filter_gt": ({"field": "p_retailprice", "op": "gt", "value": 905.5}, "p_retailprice > 905.5"), "filter_lte": ({"field": "p_size", "op": "lte", "value": "10"}, "p_size <= 10"),
+    "filter_exists": ({"field": "p_name", "op": "exists"}, "trim(p_name) <> ''"), "filter_not_exists": ({"field": "p_name", "op": "not_exists"}, "trim(coalesce(p_name, '')) = ''"), "filter_invalid": ({"field": "p_size", "op": "in", "value": "1"}, "false"), "filter_unknown": ({"field": "p_size", "op": "whatever"}, "true"),
 }
 for _name, (_spec, _where) in _FILTERS.items():
 
-    @query(_name, "part", f"SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part WHERE {_where}")
+    @query(_name, "part", f"SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM (SELECT * REPLACE (CASE WHEN p_partkey % 4 = 0 THEN '  ' WHEN p_partkey % 9 = 0 THEN NULL ELSE p_name END AS p_name) FROM part) WHERE {_where}")
     def _(p, spec=_spec):
-        return filters.apply_filters(p.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), [spec])
+        some = F.when(F.col("p_partkey") % 4 == 0, "  ").when(F.col("p_partkey") % 9 == 0, None).otherwise(F.col("p_name"))
+        return filters.apply_filters(p.select("p_partkey", some.alias("p_name"), "p_brand", "p_type", "p_size", "p_retailprice"), [spec])
 
 
 @query("columnar_eval", "part", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_brand FROM part WHERE p_size = 5")
