@@ -12,7 +12,7 @@ from rowlake.operators import aggregates as agg
 from rowlake.operators import claims, enrichment, filters, intelligence, quality, ranges, text, transform, windows
 from rowlake.plans import contracts, governance, rules as plan_rules, tasks, workflow
 from rowlake.queries import _CLEAN, _RULES, _Q, _SQL, _folder, _r, query
-from rowlake.sources import load, tables
+from rowlake.sources import load, office, tables
 from rowlake.streaming import state, windows as streams
 
 
@@ -925,3 +925,17 @@ def _(p):
     rows = p.select("p_partkey", "p_name", "p_type", F.col("p_size").cast("string").alias("size"))
     out = transform.transform(rows, {"casts": {"size": "int"}, "deduplicate_by": ["p_name", "p_type"], "deduplicate_keep": "first"}, ["p_partkey"]).df
     return out.select("p_name", "p_type", "size")
+
+
+@query("docx_paragraphs", "benchmark", r"SELECT md5(trim(text, ' ' || chr(10) || chr(9) || chr(13))) AS md5 FROM benchmark WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> ''")
+def _(b):
+    path = _folder(b.sparkSession) + ".docx"
+    office.save_docx(b, path)
+    return load.load(b.sparkSession, path, "docx_text").select(F.md5("text").alias("md5"))
+
+
+@query("xlsx_table", "part", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, CAST(p_size AS VARCHAR) AS amount FROM part")
+def _(p):
+    path = _folder(p.sparkSession) + ".xlsx"
+    office.save_xlsx(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("amount")), path)
+    return office.sheet_table(load.load(p.sparkSession, path, "xlsx_cells"), {"id", "name", "amount"}).select("id", "name", "amount")

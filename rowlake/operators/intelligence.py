@@ -48,9 +48,10 @@ def crosscheck_facts(df: DataFrame, claim: str, source: str) -> DataFrame:
 def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
     """id, term, tf (count over words) and norm of each text; blank ids and texts have none."""
     rows = df.filter(vts(col(key)) != "").select(vts(col(key)).alias("id"), tokens(col(text)).alias("w")).filter(F.size("w") > 0)
-    # counted inside the row: no shuffle for what lies in one text
-    words = F.array_sort(F.array_distinct("w"))
-    each = F.transform(words, lambda t: F.struct(t.alias("term"), (F.size(F.filter("w", lambda x: x == t)) / F.size("w")).alias("tf")))
+    # counted inside the row, as runs of the sorted words: no shuffle for what lies in one text, and no word is held against all others
+    rows = rows.withColumn("w", F.array_sort("w")).withColumn("n", F.size("w"))
+    rows = rows.withColumn("s", F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1))))
+    each = F.transform("s", lambda i, j: F.struct(F.get("w", i).alias("term"), ((F.coalesce(F.get("s", j + 1), F.col("n")) - i) / F.col("n")).alias("tf")))
     rows = rows.withColumn("t", each)
     return rows.select("id", F.explode("t").alias("x"), F.sqrt(F.aggregate("t", F.lit(0.0), lambda a, x: a + x["tf"] * x["tf"])).alias("norm")).select("id", "x.term", "x.tf", "norm")
 

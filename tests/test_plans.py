@@ -285,3 +285,20 @@ def test_stores_and_plugins(spark, tmp_path):
         governance.apply_udf_signed(df, "x", "double", token="no", secret="k")
     with pytest.raises(ImportError):
         governance.apply_wasm(df, "x", b"")
+
+
+def test_office_files(spark, tmp_path):
+    from rowlake.sources import office
+
+    (tmp_path / "a.docx").write_bytes(office.docx_bytes(["One & <two>", " ", "三\x07"]))
+    (tmp_path / "b.docx").write_bytes(b"no zip")
+    got = {(r.source_path[-6:], r.chunk_index): (r.text, r.error is None) for r in load.load(spark, f"{tmp_path}/*.docx", "docx_text").collect()}
+    assert got == {("a.docx", 0): ("One & <two>", True), ("a.docx", 1): ("三", True), ("b.docx", 0): (None, False)}
+    (tmp_path / "c.xlsx").write_bytes(office.xlsx_bytes(["Report", None, None], [["id", "amount", "name"], [1, 2.5, "x & y"], [2, None, None]], "first"))
+    cells = load.load(spark, f"{tmp_path}/c.xlsx", "xlsx_cells")
+    assert [(r.sheet_name, r.row_index, r.cells) for r in cells.orderBy("row_index").collect()] == [("first", 1, ["Report", "", ""]), ("first", 2, ["id", "amount", "name"]), ("first", 3, ["1", "2.5", "x & y"]), ("first", 4, ["2", "", ""])]
+    table = office.sheet_table(cells, {"id", "amount", "name"})
+    assert table.columns == ["row_index", "id", "amount", "name"] and [tuple(r)[1:] for r in table.orderBy("row_index").collect()] == [("1", "2.5", "x & y"), ("2", "", "")]
+    assert load.load(spark, f"{tmp_path}/c.xlsx", "xlsx_cells", sheets=["other"]).count() == 0
+    with pytest.raises(ValueError, match="at most"):
+        office.save_xlsx(spark.range(5), f"{tmp_path}/d.xlsx", most=3)
