@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,25 +97,53 @@ def field_op(df: DataFrame, spec: dict) -> DataFrame:
     return df.withColumn(to, F.when(c.isNull(), c.cast("string")).otherwise(F.coalesce(new, c.cast("string"))))
 
 
+#: Words of the sides in a stance, and citations in round brackets.
+STANCES = {"neutral": ["neutral", "mixed", "undecided", "unclear", "中立", "未表态", "待定"], "pro": ["support", "agree", "approve", "affirmative", "in favor", "positive", "pro", "支持", "赞成", "正方", "有利"], "con": ["oppose", "disagree", "reject", "negative", "against", "con", "anti", "反对", "不支持", "错误", "反方", "不利"]}
+PAREN_CITATION = r"(?i)[(（](?:source|citation|according to|ref|reference|来源|引自|出处)[:：]?\s*[^)）]+[)）]"
+QUOTE = "[\"“”'‘’](.{2,400}?)[\"“”'‘’]"
+DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss"]
+
+
+def has_word(text: Column, words: list[str]) -> Column:
+    """Whether one of the words occurs in a lower-case text: ASCII ones as whole words, others anywhere."""
+    ascii_ = [re.escape(w) for w in words if re.fullmatch(r"[a-z0-9 ]+", w)]
+    found = [text.rlike(r"\b(?:" + "|".join(ascii_) + r")\b")] if ascii_ else []
+    return reduce(lambda a, b: a | b, [*found, *(text.contains(w) for w in words if not re.fullmatch(r"[a-z0-9 ]+", w))], F.lit(False))
+
+
+def stance(text: Column) -> Column:
+    """neutral, pro, con or unknown by whole words; a word of the neutral counts before all."""
+    low = F.lower(F.trim(F.regexp_replace(vts(text), r"\s+", " ")))
+    pro, con = has_word(low, STANCES["pro"]), has_word(low, STANCES["con"])
+    return F.when(has_word(low, STANCES["neutral"]), "neutral").when(pro & ~con, "pro").when(con & ~pro, "con").otherwise("unknown")
+
+
 def text_transform(name: str, c: Column, **options) -> Column:
-    """The transforms of text pre-processing that have no rule of their own above."""
+    """The transforms of text pre-processing that have no rule of their own above; null stays null."""
     text = c.cast("string")
+    spaced = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
     if name == "clean_citation":
-        return F.trim(F.regexp_replace(F.regexp_replace(text, r"\[[0-9,\s-]+\]|\([^()]*\b(?:19|20)[0-9]{2}[a-z]?\)", ""), r"\s+", " "))
+        return spaced(F.regexp_replace(F.regexp_replace(text, r"\[[^\]]{1,40}\]", " "), PAREN_CITATION, " "))
     if name == "strip_ocr_noise":
-        return F.trim(F.regexp_replace(F.regexp_replace(text, r"[�|¦~`^_]{2,}|�", " "), r"\s+", " "))
-    if name == "collapse_duplicate_lines":
-        lines = F.split(text, "\n")
-        return F.array_join(F.filter(lines, lambda x, i: (i == 0) | (x != lines[F.greatest(i - 1, F.lit(0))])), "\n")
+        out = F.regexp_replace(text, r"[\x00-\x1f\x7f]+", " ")
+        out = F.regexp_replace(F.regexp_replace(out, r"(?i)^\s*(?:page|p\.)\s*\d+\s*$", " "), r"^\s*第?\s*\d+\s*页\s*$", " ")
+        return spaced(F.regexp_replace(out, r"([A-Za-z一-鿿])\1{4,}", "$1"))
+    if name == "collapse_duplicate_lines":  # the first of equal lines stays, whatever their case and blanks
+        lines = F.filter(F.transform(F.split(text, r"[\r\n]+"), lambda x: F.trim(x)), lambda x: x != "")
+        keyed = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(spaced(x)).alias("k"), i.alias("i"), x.alias("x"))))
+        firsts = F.filter(keyed, lambda s, i: (i == 0) | (s["k"] != F.get(keyed, i - 1)["k"]))
+        kept = F.transform(F.array_sort(F.transform(firsts, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
+        return F.when(F.size(lines) > 0, F.array_join(kept, "\n")).otherwise(text)
     if name == "extract_speaker_prefix":
-        return F.nullif(F.regexp_extract(text, r"^\s*([\p{L}][\p{L}\p{N} ._-]{0,40}?)\s*[:：]", 1), F.lit(""))
+        label = F.regexp_extract(text, r"^\s*([\p{L}][\p{L}\p{N} ._-]{0,40}?)\s*[:：]", 1)
+        return F.when(text.isNotNull(), F.when(F.lower(label).isin("source", "citation", "claim", "quote", "reference", "http", "https"), "").otherwise(F.regexp_replace(label, r"(?i)^speaker\s+", "")))
     if name == "normalize_stance":
-        low = F.lower(F.trim(text))
-        return F.when(low.rlike(r"^(?:pro|support|for|affirm|agree|正方|支持|赞成)"), "pro").when(low.rlike(r"^(?:con|oppose|against|neg|disagree|反方|反对)"), "con").when(miss(text), None).otherwise("neutral")
-    if name == "detect_quote_only":
-        return F.trim(text).rlike(r"^[\"“'‘「].*[\"”'’」]$")
+        return F.when(text.isNotNull(), stance(text))
+    if name == "detect_quote_only":  # quote: little is left beside what stands in quotation marks
+        rest = spaced(F.regexp_replace(text, QUOTE, " "))
+        return F.when(text.isNotNull(), F.when(text.rlike(QUOTE) & (F.length(rest) <= 24), "quote").otherwise("claim"))
     if name == "parse_date":
-        return F.coalesce(*(F.date_format(F.try_to_timestamp(F.trim(text), F.lit(f)), "yyyy-MM-dd") for f in options.get("formats", ["yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy"])), text)
+        return F.coalesce(*(F.date_format(F.try_to_timestamp(F.trim(text), F.lit(f)), "yyyy-MM-dd") for f in options.get("formats", DATE_FORMATS)), text)
     if name == "round_number":
         return F.bround(money(text), int(options.get("digits", 2)))
     raise ValueError(f"no transform {name!r}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowlake.functions import fields
 from rowlake.operators import aggregates as agg
-from rowlake.operators import claims, enrichment, filters, intelligence, quality, ranges, text, transform, windows
+from rowlake.operators import claims, enrichment, filters, intelligence, papers, quality, ranges, text, transform, windows
 from rowlake.plans import contracts, governance, rules as plan_rules, tasks, workflow
 from rowlake.queries import _CLEAN, _RULES, _Q, _SQL, _folder, _r, query
 from rowlake.sources import load, office, tables
@@ -366,13 +366,15 @@ def _(c):
 
 
 @query("text_transforms", "part", """
-SELECT p_partkey, p_name || ' says so' AS citation, p_name || ' ok' AS noise, p_name || chr(10) || p_type AS lines, 'Ann ' || p_size AS speaker, CASE p_size % 3 WHEN 0 THEN 'pro' WHEN 1 THEN 'con' ELSE 'neutral' END AS stance, true AS quoted, '2024-03-' || lpad(CAST(1 + p_size % 28 AS VARCHAR), 2, '0') AS day FROM part""")
+SELECT p_partkey, p_name || ' says so' AS citation, p_name || ' ok' AS noise, p_name || chr(10) || p_type AS lines, 'Ann ' || p_size AS speaker, CASE p_size % 4 WHEN 0 THEN 'pro' WHEN 1 THEN 'con' WHEN 2 THEN 'neutral' ELSE 'unknown' END AS stance, CASE WHEN p_size % 2 = 0 THEN 'quote' ELSE 'claim' END AS quoted, '2024-03-' || lpad(CAST(1 + p_size % 28 AS VARCHAR), 2, '0') AS day FROM part""")
 def _(p):
     c, t = F.col, fields.text_transform
+    k = c("p_size")
+    said = F.when(k % 4 == 0, "I support it").when(k % 4 == 1, "反对").when(k % 4 == 2, "undecided, I agree").otherwise("supporters agree or oppose")
     return p.select(
-        "p_partkey", t("clean_citation", F.concat(c("p_name"), F.lit(" [1, 2] says (Smith, 2020) so"))).alias("citation"), t("strip_ocr_noise", F.concat(c("p_name"), F.lit(" ||~ ok�"))).alias("noise"), t("collapse_duplicate_lines", F.concat_ws("\n", "p_name", "p_name", "p_type")).alias("lines"),
-        t("extract_speaker_prefix", F.concat(F.lit("Ann "), c("p_size"), F.lit(": words"))).alias("speaker"), t("normalize_stance", F.when(c("p_size") % 3 == 0, "Support it").when(c("p_size") % 3 == 1, "反对").otherwise("maybe")).alias("stance"), t("detect_quote_only", F.concat(F.lit("“"), c("p_name"), F.lit("”"))).alias("quoted"),
-        t("parse_date", F.concat(1 + c("p_size") % 28, F.lit("/03/2024")), formats=["yyyy-MM-dd", "d/MM/yyyy"]).alias("day"),
+        "p_partkey", t("clean_citation", F.concat(c("p_name"), F.lit(" [Smith 2] says (Source: a book) so"))).alias("citation"), t("strip_ocr_noise", F.concat(c("p_name"), F.lit("\x07 okkkkkkk"))).alias("noise"), t("collapse_duplicate_lines", F.concat(c("p_name"), F.lit("\n "), F.upper("p_name"), F.lit("\n\n"), c("p_type"), F.lit("\n"), c("p_name"))).alias("lines"),
+        t("extract_speaker_prefix", F.concat(F.lit("Speaker Ann "), k, F.lit(": words"))).alias("speaker"), t("normalize_stance", said).alias("stance"), t("detect_quote_only", F.concat(F.lit("“"), c("p_name"), F.when(k % 2 == 0, "” she said").otherwise("” is what one of them said there"))).alias("quoted"),
+        t("parse_date", F.concat(1 + k % 28, F.lit("/03/2024")), formats=["yyyy-MM-dd", "d/MM/yyyy"]).alias("day"),
     )
 
 
@@ -649,16 +651,26 @@ def _(n):
     return text.reconstruct_table(rows, "n_nationkey", "t").select("n_nationkey", "row", F.array_join("cells", "|").alias("cells"))
 
 
-_STOPS = ", ".join(f"'{w}'" for w in text.STOP)
-_HAS = lambda words: " + ".join(f"CAST(contains(low, '{w}') AS INTEGER)" for w in words)
+_STOPS = ", ".join(f"'{w}'" for w in [*text.STOP, *text.PRO, *text.CON])
+_HAS = lambda words: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
+_SIDE = f"CASE WHEN {_HAS(text.PRO)} AND NOT {_HAS(text.CON)} THEN 'pro' WHEN {_HAS(text.CON)} AND NOT {_HAS(text.PRO)} THEN 'con' ELSE 'unknown' END"
 _SQL["conflicts"] = rf"""
-WITH c AS (SELECT *, lower(coalesce(text, '')) AS low FROM conversations), m AS (SELECT conv_id, turn, lower(trim(role)) AS topic, CASE WHEN ({_HAS(text.PRO)}) > ({_HAS(text.CON)}) THEN 'pro' WHEN ({_HAS(text.CON)}) > ({_HAS(text.PRO)}) THEN 'con' END AS polarity FROM c)
-SELECT conv_id, turn, topic, polarity, topic IN (SELECT topic FROM m WHERE polarity IS NOT NULL GROUP BY 1 HAVING count(DISTINCT polarity) > 1) AS conflict FROM m"""
+WITH c AS (SELECT *, lower(coalesce(text, '')) AS low FROM conversations), m AS (SELECT conv_id, turn, lower(trim(role)) AS topic, {_SIDE} AS polarity FROM c)
+SELECT conv_id, turn, topic, polarity, topic IN (SELECT topic FROM m WHERE polarity <> 'unknown' GROUP BY 1 HAVING count(DISTINCT polarity) > 1) AS conflict FROM m"""
 
 
-@query("topics", "benchmark", rf"SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda x: x <> '' AND x NOT IN ({_STOPS}))[1:8], ' ') AS topic FROM benchmark")
+@query("conflict_topics", "part", f"""
+WITH c AS (SELECT p_partkey, lower(p_name) || ' ' || regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g') AS topic, p_size FROM part), m AS (SELECT *, CASE p_size % 3 WHEN 0 THEN 'pro' WHEN 1 THEN 'con' ELSE 'unknown' END AS polarity FROM c)
+SELECT p_partkey, topic, polarity, topic IN (SELECT topic FROM m WHERE polarity <> 'unknown' GROUP BY 1 HAVING count(DISTINCT polarity) > 1) AS conflict FROM m""")
+def _(p):
+    k = F.col("p_size") % 3
+    line = F.concat(F.lit("We "), F.when(k == 0, "approve").when(k == 1, "reject").otherwise("should agree or oppose"), F.lit(" the "), F.col("p_name"), F.lit(" of "), F.col("p_brand"))
+    return text.detect_conflicts(p.select("p_partkey", line.alias("t")), "t").select("p_partkey", "topic", "polarity", "conflict")
+
+
+@query("topics", "benchmark", rf"SELECT item_id, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[^a-z0-9一-鿿\s]+', ' ', 'g')), '\s+'), lambda x: x <> '' AND x NOT IN ({_STOPS}))[1:8], ' ') AS topic FROM benchmark")
 def _(b):
-    return b.select("item_id", text.topic(b, "text").alias("topic"))
+    return b.select("item_id", text.topic(b, "text", ignore=[*text.PRO, *text.CON]).alias("topic"))
 
 
 @query("claim_conflicts", "part", """
@@ -920,11 +932,67 @@ def _(spark):
     return [("rules", sets.list()[0]["name"], sets.list()[0]["version"]), ("app", *next(iter(apps.list().items()))), ("review", "r--n", len(reviews.list("approved"))), ("baseline", base.compare("q", {"rows": 2.0})[0]["metric"], len(base.compare("q", {"rows": 1.05})))]
 
 
-@query("clean_rows", "part", "SELECT p_name, p_type, size FROM (SELECT p_name, p_type, CAST(p_size AS BIGINT) AS size, row_number() OVER (PARTITION BY p_name, p_type ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1")
+# Papers
+
+_P = r"trim(regexp_replace(coalesce({}, ''), '[\s\x{{a0}}\x{{3000}}\x{{feff}}]+', ' ', 'g'))"
+_LETTERS, _SIGNS = r"len(regexp_extract_all({0}, '[A-Za-z一-鿿]'))", r"len(regexp_extract_all({0}, '[^A-Za-z0-9一-鿿\s]'))"
+_NOISY = rf"(length({{0}}) <= 1 OR regexp_matches({{0}}, '^\d{{{{1,4}}}}$') OR regexp_matches({{0}}, '(?i)^(?:page|页)\s*\d+$|^--\s*\d+\s*of\s*\d+\s*--$|^doi[:\s]') OR starts_with({{0}}, 'doi:') OR starts_with({{0}}, '收稿日期') OR starts_with({{0}}, '基金项目') OR starts_with({{0}}, '通讯作者') OR ({_LETTERS} = 0 AND {_SIGNS} > 0) OR ({_SIGNS} > 2 * {_LETTERS} AND length({{0}}) < 24))"
+
+
+@query("paper_noise", "documents", f"WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS y FROM documents), p AS (SELECT doc_id, {_P.format('y')} AS s FROM l) SELECT doc_id, count(*) AS lines, count(*) FILTER ({_NOISY.format('s')}) AS noise FROM p GROUP BY 1")
+def _(d):
+    lines = d.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("y"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(papers.noise(F.col("y")).cast("int")).alias("noise"))
+
+
+@query("paper_paragraphs", "documents", rf"""
+WITH l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda y: {_P.format('y')}), lambda y: y <> '' AND NOT {_NOISY.format('y')}) AS x FROM documents),
+f AS (SELECT doc_id, list_reduce(list_prepend('', x), lambda a, y: CASE WHEN regexp_matches(a || '', '(^|\x01)$') THEN a || y ELSE a || CASE WHEN regexp_matches(a, '[一-鿿]$') OR regexp_matches(y, '^[一-鿿]') THEN '' ELSE ' ' END || y END || CASE WHEN regexp_matches(y, '[。！？!?；;.]$') OR length(CASE WHEN regexp_matches(a || '', '(^|\x01)$') THEN y ELSE regexp_extract(a, '[^\x01]*$') || CASE WHEN regexp_matches(a, '[一-鿿]$') OR regexp_matches(y, '^[一-鿿]') THEN '' ELSE ' ' END || y END) > 260 THEN chr(1) ELSE '' END) AS t FROM l),
+u AS (SELECT doc_id, string_split(t, chr(1)) AS ps FROM f), e AS (SELECT doc_id, i, ps[i] AS p, regexp_replace(lower(ps[i]), '[^a-z0-9一-鿿]', '', 'g') AS k FROM u, unnest(range(1, len(ps) + 1)) t(i) WHERE length(ps[i]) >= 18),
+k AS (SELECT doc_id, i, p, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS rn FROM e WHERE length(k) >= 10)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS paragraph_seq, md5(p) AS md5 FROM k WHERE rn = 1""")
+def _(d):
+    return papers.paragraphs(d, "doc_id", "text").select("doc_id", "paragraph_seq", F.md5("paragraph").alias("md5"))
+
+
+@query("paper_corruption", "documents", r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, t, greatest(length(t), 1) AS total, len(regexp_extract_all(t, '[一-鿿]')) AS cjk, len(regexp_extract_all(t, '[A-Za-z]')) AS latin, len(regexp_extract_all(t, '[0-9]')) AS digits, len(regexp_extract_all(t, '[\x00-\x08\x0B-\x1F\x7F-\x{9F}]')) AS ctrl, len(regexp_extract_all(t, '�')) + len(regexp_extract_all(t, '[ÃÂ¤¥¦§¨©ª«¬®¯°±²³´µ¶·¸¹º»¼½¾¿]')) + len(regexp_extract_all(t, '[聙聛聜聝聞聟聠聡聢聣聤聥聦聧聨聩聪]')) AS odd, len(regexp_extract_all(t, '[^A-Za-z0-9一-鿿\s]')) AS symbol FROM t),
+r AS (SELECT *, cjk + latin + CAST(floor(digits * 0.2) AS BIGINT) AS readable FROM c)
+SELECT doc_id, readable, round(readable / total, 6) AS readable_ratio, round((odd + floor(symbol * 0.2)) / total, 6) AS noise_ratio, trim(t) = '' OR ctrl / total > 0.002 OR ((odd + floor(symbol * 0.2)) / total > 0.22 AND readable / total < 0.3) OR (readable / total < 0.14 AND symbol > readable * 1.2) AS corrupted FROM r""")
+def _(d):
+    return _r(papers.corruption_stats(d, "text").select("doc_id", "readable", "readable_ratio", "noise_ratio", "corrupted"), "readable_ratio", "noise_ratio", digits=6)
+
+
+@query("paper_references", "part", "SELECT p_partkey, p_size % 7 > 0 AS entry, CASE p_size % 7 WHEN 0 THEN p_name || ' is shown by many' WHEN 1 THEN 'A. Writer, 2019' ELSE NULL END AS bare FROM part")
+def _(p):
+    k = F.col("p_size") % 7
+    line = F.when(k == 0, F.concat(F.col("p_name"), F.lit(" is shown [1, 2] by many (Smith 2019; x)"))).when(k == 1, "[3] A. Writer, 2019").when(k == 2, "(12) On things 1999a").when(k == 3, "see https://a.b").when(k == 4, "Vol. 3, 2004").when(k == 5, "Smith et al., 2003").otherwise("参考文献 列表")
+    bare = papers.strip_citations(line)
+    return p.select("p_partkey", papers.reference_entry(line).alias("entry"), F.when(k <= 1, bare).alias("bare"))
+
+
+@query("paper_lines", "part", "SELECT p_partkey, p_name || ' wellknown text' AS line FROM part")
+def _(p):
+    return p.select("p_partkey", papers.academic_line(F.concat(F.lit(" "), F.col("p_name"), F.lit("  well- known text All Rights Reserved (3) *"))).alias("line"))
+
+
+@query("paper_chunks", "part", """
+SELECT p_partkey, 'The ' || p_name || ' goes on and to its end! | Another line of words that stands alone!' AS chunks, CAST(7 AS INTEGER) AS raw_chunks, CAST(2 AS INTEGER) AS kept_chunks, CAST(1 AS INTEGER) AS removed_reference_lines, CAST(1 AS INTEGER) AS removed_noise_lines, CAST(1 AS INTEGER) AS removed_short_lines, true AS stop_section_hit, CAST(1 AS INTEGER) AS inline_citation_cleaned_lines FROM part""")
+def _(p):
+    page = F.concat(F.lit("The "), F.col("p_name"), F.lit(" goes on [2] and\nto its end!\n[7] A. Writer, 2019;\n-- 3 of 9 --;\nshort!\nAnother line of words that stands alone!\nReferences\nA line behind the end of the body"))
+    out = papers.clean_chunks(p.select("p_partkey", page.alias("t")), "p_partkey", "t")
+    return out.withColumn("chunks", F.array_join("chunks", " | "))
+
+
+@query("clean_rows", "part", """
+WITH r AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE p_name || ' with a long line of text' END AS text, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS size FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY n) AS rn FROM r WHERE text <> '')
+SELECT n, text, CAST(size AS BIGINT) AS size FROM k WHERE rn = 1""")
 def _(p):
-    rows = p.select("p_partkey", "p_name", "p_type", F.col("p_size").cast("string").alias("size"))
-    out = transform.transform(rows, {"casts": {"size": "int"}, "deduplicate_by": ["p_name", "p_type"], "deduplicate_keep": "first"}, ["p_partkey"]).df
-    return out.select("p_name", "p_type", "size")
+    none = F.col("p_partkey") % 9 == 0
+    name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    rows = p.select(F.col("p_partkey").alias("n"), F.when(none, " ").otherwise(F.concat(name, F.lit(" with a long, line of text"))).alias("body"), F.when(none, "").otherwise(F.concat(F.lit("¥ "), F.col("p_size"))).alias("size"))
+    out = papers.clean_rows(rows, ["n"], {"body": "text"}, {"size": "int"}, ["text"])
+    return out.select("n", F.lower(F.regexp_replace("text", ",", "")).alias("text"), "size")
 
 
 @query("docx_paragraphs", "benchmark", r"SELECT md5(trim(text, ' ' || chr(10) || chr(9) || chr(13))) AS md5 FROM benchmark WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> ''")

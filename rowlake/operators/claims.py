@@ -6,13 +6,12 @@ where they stand alone, some roles are left out, and there is a neutral side.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowlake.functions.fields import URL, text_transform
+from rowlake.functions.fields import URL, has_word, text_transform
 from rowlake.functions.values import col, miss, vts
 from rowlake.operators.text import language
 
@@ -36,13 +35,6 @@ PLACES = ["source_file", "source_path", "source_type", "page", "sheet_name", "ro
 ROLES = [("question", r"[?？]\s*$"), ("rebuttal", r"(?i)\b(?:rebut|refute)|反驳|驳论"), ("evidence", r"(?i)\b(?:evidence|data shows|according to)\b|根据|数据"), ("conclusion", r"(?i)\b(?:therefore|in conclusion)\b|综上|因此")]
 
 
-def _any_word(text: Column, words: list[str]) -> Column:
-    """Whether one of the words occurs: ASCII ones as whole words, others anywhere."""
-    plain = [re.escape(w.lower()) for w in words if re.fullmatch(r"[a-z0-9 ]+", w.lower())]
-    found = [text.rlike(r"\b(?:" + "|".join(plain) + r")\b")] if plain else []
-    return reduce(lambda a, b: a | b, [*found, *(text.contains(w.lower()) for w in words if not re.fullmatch(r"[a-z0-9 ]+", w.lower()))], F.lit(False))
-
-
 def topic_key(text: Column, ignore: list[str] = (), words: int = 8) -> Column:
     """The first words of the motion, or of the text, up to a reason or a turn, without links, citations and stop words."""
     low = F.lower(vts(text))
@@ -57,8 +49,8 @@ def topic_key(text: Column, ignore: list[str] = (), words: int = 8) -> Column:
 def side(text: Column, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE) -> Column:
     """pro, con, neutral or unknown."""
     low = F.lower(F.trim(vts(text)))
-    pro, con = _any_word(low, positive), _any_word(low, negative)
-    return F.when(low.isin("pro", "con", "neutral", "unknown"), low).when(pro & ~con, "pro").when(con & ~pro, "con").when(_any_word(low, NEUTRAL), "neutral").otherwise("unknown")
+    pro, con = has_word(low, positive), has_word(low, negative)
+    return F.when(low.isin("pro", "con", "neutral", "unknown"), low).when(pro & ~con, "pro").when(con & ~pro, "con").when(has_word(low, NEUTRAL), "neutral").otherwise("unknown")
 
 
 def _of(df: DataFrame, *names: str) -> Column:

@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 from rowlake.functions.values import NUMERIC, col, kind_of, miss, num, plain_number, vts
 
 #: Words of subtotal and note rows, and names that a repeated header row holds.
-SUBTOTAL = ["subtotal", "sub total", "grand total", "total", "合计", "小计", "总计", "累计", "本页合计"]
-NOTES = ["note", "notes", "remark", "备注", "说明", "注"]
-HEADERS = ["id", "amount", "date", "name", "account", "account_no", "balance", "phone", "currency", "金额", "日期", "姓名", "账号", "余额", "电话", "备注"]
+SUBTOTAL = ["subtotal", "sub total", "total", "grand total", "合计", "小计", "本页合计", "累计", "汇总"]
+NOTES = ["note", "notes", "备注", "说明", "注", "附注"]
+HEADERS = ["id", "amount", "currency", "biz_date", "account_no", "txn_date", "debit_amount", "credit_amount", "balance", "counterparty_name", "remark", "ref_no", "txn_type", "customer_name", "phone", "city"]
 
 
 def _json_text(value) -> str:

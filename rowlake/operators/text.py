@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlake.functions.fields import EMAIL, URL
 from rowlake.functions.values import col, miss, vts
 
-#: Marks of reference sections and notes, and words of polarity and none.
+#: Marks of reference sections and notes, words of the sides, and words that no topic has.
 REFERENCE_HEAD = r"(?i)^\s*(?:#+\s*)?(?:references|bibliography|works cited|参考文献)\s*[:：]?\s*$"
 NOTE_HEAD = r"(?i)^\s*(?:footnote|注释|脚注)"
 NUMBER = r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?"
-PRO, CON = ["support", "agree", "benefit", "increase", "improve", "pro", "支持", "赞成", "提高"], ["oppose", "against", "disagree", "harm", "decrease", "worsen", "con", "反对", "降低", "危害"]
-STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with", "的", "了", "是"]
+PRO, CON = ["support", "true", "yes", "approve", "agree"], ["oppose", "false", "no", "reject", "disagree"]
+STOP = ["the", "a", "an", "is", "are", "of", "to", "and", "or", "in", "on", "for", "we", "should", "it", "this", "that", "these", "those", "they", "them"]
 ALIASES = {
     "claim_text": ["claim_text", "claim", "text", "content", "body"], "speaker": ["speaker", "author", "name"], "source_title": ["source_title", "title"], "source_url": ["source_url", "url", "link"],
     "source_path": ["source_path", "path", "file"], "published_at": ["published_at", "date", "published"], "stance": ["stance", "polarity", "position"], "page": ["page", "page_no"], "sheet_name": ["sheet_name", "sheet"], "row_index": ["row_index", "row"], "chunk_index": ["chunk_index", "chunk_seq"],
@@ -89,23 +91,28 @@ def language(text: Column) -> Column:
     return F.when(cjk & latin, "mixed").when(cjk, "zh").when(latin, "en").otherwise("unknown")
 
 
-def polarity(text: Column) -> Column:
-    """pro or con by the words that occur; null for none or both alike."""
+def polarity(text: Column, positive: list[str] = PRO, negative: list[str] = CON) -> Column:
+    """pro or con if words of one side occur anywhere and none of the other, else unknown."""
     low = F.lower(vts(text))
-    count = lambda words: sum((F.when(low.contains(w), 1).otherwise(0) for w in words), F.lit(0))
-    return F.when(count(PRO) > count(CON), "pro").when(count(CON) > count(PRO), "con")
+    has = lambda words: reduce(lambda a, b: a | b, (low.contains(w.lower()) for w in words), F.lit(False))
+    pro, con = has(positive), has(negative)
+    return F.when(pro & ~con, "pro").when(con & ~pro, "con").otherwise("unknown")
 
 
-def topic(df: DataFrame, text: str, explicit: str | None = None, words: int = 8) -> Column:
-    """The explicit topic, or the first words that aren't stop words."""
-    own = F.array_join(F.slice(F.filter(tokens(col(text)), lambda x: ~x.isin(STOP)), 1, words), " ")
-    return F.coalesce(F.when(~miss(col(explicit)), F.lower(F.trim(col(explicit)))), own) if explicit and explicit in df.columns else own
+def topic(df: DataFrame, text: str, explicit: str | None = None, words: int = 8, ignore: list[str] = ()) -> Column:
+    """The explicit topic, or the first words that aren't stop words or words of a side, or src: and the source; empty if there is none."""
+    parts = F.split(F.trim(F.regexp_replace(F.lower(vts(col(text))), r"[^a-z0-9一-鿿\s]+", " ")), r"\s+")
+    own = F.array_join(F.slice(F.filter(parts, lambda x: (x != "") & ~x.isin([*STOP, *ignore])), 1, words), " ")
+    sources = [F.when(~miss(col(c)), F.concat(F.lit("src:"), F.lower(F.trim(col(c).cast("string"))))) for c in ("source_path", "source_file") if c in df.columns]
+    own = F.coalesce(F.nullif(own, F.lit("")), *sources, F.lit(""))
+    return F.coalesce(F.when(~miss(col(explicit)), F.lower(F.trim(col(explicit).cast("string")))), own) if explicit and explicit in df.columns else own
 
 
-def detect_conflicts(df: DataFrame, text: str, topic_field: str | None = None) -> DataFrame:
-    """df with topic, polarity and conflict: whether the topic has claims of both polarities. Topics are counted, not gathered."""
-    marked = df.withColumn("topic", topic(df, text, topic_field)).withColumn("polarity", polarity(col(text)))
-    sides = marked.filter("polarity is not null").groupBy("topic").agg((F.count_distinct("polarity") > 1).alias("conflict")).filter("conflict")
+def detect_conflicts(df: DataFrame, text: str, topic_field: str | None = None, stance_field: str = "stance", positive: list[str] = PRO, negative: list[str] = CON) -> DataFrame:
+    """df with topic, polarity and conflict: whether the topic has claims of both sides; polarity of the stance, or of the text. Topics are counted, not gathered."""
+    said = F.coalesce(F.when(~miss(col(stance_field)), col(stance_field).cast("string")), vts(col(text))) if stance_field in df.columns else col(text)
+    marked = df.withColumn("topic", topic(df, text, topic_field, ignore=[*positive, *negative])).withColumn("polarity", polarity(said, positive, negative))
+    sides = marked.filter("topic <> '' and polarity <> 'unknown'").groupBy("topic").agg((F.count_distinct("polarity") > 1).alias("conflict")).filter("conflict")
     return marked.join(sides, "topic", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowlake.functions.expressions import fields_of
 from rowlake.functions.values import col
-from rowlake.operators import aggregates, claims, enrichment, filters, intelligence, joins, quality, text, transform, windows
+from rowlake.operators import aggregates, claims, enrichment, filters, intelligence, joins, papers, quality, text, transform, windows
 from rowlake.plans.governance import Faults
 from rowlake.streaming import windows as streams
 
@@ -65,7 +65,7 @@ def _ingest(inputs: dict, config: dict) -> DataFrame:
 
 OPERATORS |= {
     "sql_chart": _on(aggregates.chart_first_seen), "compute_metrics": _on(aggregates.text_metrics), "clean_md": _clean_md, "md_output": _markdown, "manual_review": _review, "ingest_files": _ingest, "stats": _on(intelligence.stats_columns), "image_report": _on(quality.image_report),
-    "preprocess_rows": _on(enrichment.preprocess_rows), "canonical_evidence": _on(claims.canonical_evidence), "claim_conflicts": _on(claims.mark_conflicts), "evidence_report": _on(claims.evidence_report),
+    "clean_rows": _on(papers.clean_rows), "clean_chunks": _on(papers.clean_chunks), "preprocess_rows": _on(enrichment.preprocess_rows), "canonical_evidence": _on(claims.canonical_evidence), "claim_conflicts": _on(claims.mark_conflicts), "evidence_report": _on(claims.evidence_report),
 }
 
 

@@ -517,8 +517,12 @@ def _(e):
 # Sources, plans and streams
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rowlake-")
+    """A new folder below the one that all executors share; a local one only in a session of one process that has none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="rowlake-")
     return f"{base.rstrip('/')}/rowlake-tables/{uuid.uuid4().hex[:12]}"
 
 
