@@ -1007,3 +1007,99 @@ def _(p):
     path = _folder(p.sparkSession) + ".xlsx"
     office.save_xlsx(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("amount")), path)
     return office.sheet_table(load.load(p.sparkSession, path, "xlsx_cells"), {"id", "name", "amount"}).select("id", "name", "amount")
+
+
+# What is left of metadata, limits and recognised layouts
+
+@told("fault_injection", "operator string, variable string, outcome string", [("join_rows", "join_rows:fail", "RuntimeError"), ("JOIN_ROWS", "join_rows:timeout", "TimeoutError"), ("sort", "join_rows:fail", "ok"), ("sort", "", "ok")])
+def _(spark):
+    out, faults = [], governance.Faults("ROWLAKE_FAULT_QUERY", 0)
+    for operator, variable in (("join_rows", "join_rows:fail"), ("JOIN_ROWS", "join_rows:timeout"), ("sort", "join_rows:fail"), ("sort", "")):
+        os.environ["ROWLAKE_FAULT_QUERY"] = variable
+        try:
+            faults.check(operator)
+            out.append((operator, variable, "ok"))
+        except (RuntimeError, TimeoutError) as e:
+            out.append((operator, variable, type(e).__name__))
+    del os.environ["ROWLAKE_FAULT_QUERY"]
+    return out
+
+
+@told("plugin_health", "plugin string, step string, outcome string", [("good", "run", "ok"), ("bad", "run", "failed"), ("bad", "again", "paused"), ("good", "health", "True"), ("bad", "health", "False"), ("none", "run", "refused"), ("good", "audited", "1"), ("bad", "audited", "1")])
+def _(spark):
+    import sys
+
+    plugins = governance.Plugins({"good": [sys.executable, "-c", "print('[]')"], "bad": [sys.executable, "-c", "raise SystemExit(1)"]}, enabled=True, failures=1)
+    out = []
+    for name, step in (("good", "run"), ("bad", "run"), ("bad", "again"), ("none", "run")):
+        try:
+            plugins.run(name, [])
+            out.append((name, step, "ok"))
+        except PermissionError:
+            out.append((name, step, "refused"))
+        except RuntimeError:
+            out.append((name, step, "paused"))
+        except Exception:
+            out.append((name, step, "failed"))
+    return [*out, *((n, "health", str(h)) for n, h in plugins.health().items()), *((n, "audited", str(sum(a["plugin"] == n for a in plugins.audit))) for n in ("good", "bad"))]
+
+
+@told("capabilities", "operator string, known boolean", [("transform_rows", True), ("join_rows", True), ("clean_chunks", True), ("manual_review", True), ("spatial_join", False)])
+def _(spark):
+    known = governance.capabilities()["operators"]
+    return [(x, x in known) for x in ("transform_rows", "join_rows", "clean_chunks", "manual_review", "spatial_join")]
+
+
+@told("perf_baselines", "operator string, limit double, regressed boolean", [("fast", 20.0, False), ("slow", 20.0, True), ("none", 20.0, False)])
+def _(spark):
+    s = governance.RuntimeStats(_folder(spark))
+    for i in range(20):
+        s.record("fast", 1.0 + i / 2)
+        s.record("slow", 10.0 + i)
+    return [(o, 20.0, s.regression(o, 20.0)) for o in ("fast", "slow", "none")]
+
+
+@told("extension_modules", "module string, outcome string", [("rowlake.plans.registry", "loaded"), ("rowlake.no_such_module", "failed")])
+def _(spark):
+    from rowlake.plans.registry import Extensions
+
+    status = Extensions().load(["rowlake.plans.registry", "rowlake.no_such_module"])
+    return [*((m, "loaded") for m in status["loaded"]), *((m, "failed") for m in status["failed"])]
+
+
+@query("row_limits", "part", "SELECT 'within' AS given, count(*) AS rows FROM part UNION ALL SELECT 'beyond', CAST(-1 AS BIGINT)")
+def _(p):
+    n, out = p.count(), []
+    for given, most in (("within", n), ("beyond", n - 1)):
+        try:
+            out.append((given, transform.transform(p, {"max_rows": most}).df.count()))
+        except ValueError:
+            out.append((given, -1))
+    return p.sparkSession.createDataFrame(out, "given string, rows long")
+
+
+@told("stats_inference", "metric string, value double", [("slope", 1.99), ("slope_stderr", 0.059722), ("slope_t", 33.321291), ("slope_p_value", 0.000059), ("ci95_low", 1.799939), ("ci95_high", 2.180061), ("median_y", 6.2)])
+def _(spark):
+    rows = spark.createDataFrame([(1.0, 2.1), (2.0, 3.9), (3.0, 6.2), (4.0, 7.8), (5.0, 10.1)], "x double, y double")
+    r = intelligence.stats_columns(rows, [], "x", "y").first()
+    return [(k, round(r[k], 6)) for k in ("slope", "slope_stderr", "slope_t", "slope_p_value", "ci95_low", "ci95_high", "median_y")]
+
+
+@query("clustered_lines", "part", "SELECT p_partkey, CAST(line AS BIGINT) AS line, cells FROM (SELECT p_partkey, 1 AS line, p_name || '|' || p_brand AS cells FROM part UNION ALL SELECT p_partkey, 2, p_type FROM part)")
+def _(p):
+    boxes = p.select("p_partkey", F.explode(F.array(F.struct(F.lit(90.0).alias("x"), F.lit(12.0).alias("y"), F.col("p_brand").alias("text")), F.struct(F.lit(5.0).alias("x"), F.lit(20.0).alias("y"), F.col("p_name").alias("text")), F.struct(F.lit(5.0).alias("x"), F.lit(60.0).alias("y"), F.col("p_type").alias("text")))).alias("b")).select("p_partkey", "b.*", F.lit(14.0).alias("h"))
+    return enrichment.cluster_lines(boxes, "p_partkey").select("p_partkey", F.col("line").cast("long").alias("line"), F.array_join("cells", "|").alias("cells"))
+
+
+@query("sheet_headers", "region", "SELECT CAST(r_regionkey AS VARCHAR) AS id, r_name AS name FROM region")
+def _(r):
+    """The header is found below a title row."""
+    spark, path = r.sparkSession, _folder(r.sparkSession) + ".xlsx"
+    rows = [("id", "name"), *((x.r_regionkey, x.r_name) for x in r.orderBy("r_regionkey").collect())]
+    office._put(spark, path, office.xlsx_bytes(["All regions", ""], rows))
+    return office.sheet_table(load.load(spark, path, "xlsx_cells"), {"id", "name"}).select("id", "name")
+
+
+@query("stream_drop_late", "events", "SELECT (epoch_us(ts) // 1000) // 86400000 * 86400000 AS window_start_ms, count(*) AS count FROM events WHERE 1706600000000 - (epoch_us(ts) // 1000) <= 864000000 GROUP BY 1")
+def _(e):
+    return streams.stream_window(e, "ts", 86_400_000, now_ms=1706600000000, lateness_ms=864_000_000).select("window_start_ms", "count")
