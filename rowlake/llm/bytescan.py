@@ -3,6 +3,9 @@
 A word is a longest run of bytes that a table of 256 flags admits. Non-ASCII bytes are either all admitted or all
 refused, so that a character is never cut. Hashes are polynomials over the bytes modulo 2**64, then mixed: two given
 strings share one with a chance of about 2**-64.
+
+Texts have any length: bytes are hashed BLOCK at a time, and a word that goes on in the next block carries its sum along.
+So a text costs a few bytes of flags a byte and some 24 bytes a word, whatever its length.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import numpy as np
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 WINDOW = 0xD1342543DE82EF95
+BLOCK = 1 << 18
 
 #: [^\x20\x09-\x0D]+
 NON_SPACE = np.ones(256, bool)
@@ -67,6 +71,38 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix((prefix[end] - prefix[start]) * _power(len(prefix))[1][start])
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int | None = None) -> np.ndarray:
+    """The hashes of ascending spans of bytes that don't overlap."""
+    block = block or BLOCK
+    out = np.zeros(len(start), np.uint64)
+    prefix = np.zeros(min(block, len(data)) + 1, np.uint64)
+    power, inverse = _power(min(block, len(data)) + 1)
+    for a in range(0, len(data), block):
+        b = min(len(data), a + block)
+        i, j = np.searchsorted(end, a, side="right"), np.searchsorted(start, b)
+        if i >= j:
+            continue
+        terms = data[a:b].astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= power[: b - a]
+        np.cumsum(terms, out=prefix[1 : b - a + 1])
+        low, high = np.maximum(start[i:j], a) - a, np.minimum(end[i:j], b) - a
+        part = (prefix[high] - prefix[low]) * inverse[low]
+        if start[i] < a:  # it began in a block before
+            part[:1] *= np.array([pow(int(BASE), int(a - start[i]), 1 << 64)], np.uint64)
+        out[i:j] += part
+    return mix(out)
+
+
+def sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many flags each text has."""
+    if len(offsets) < 2:
+        return np.zeros(0, np.int64)
+    found = np.add.reduceat(np.append(flags, False), offsets[:-1], dtype=np.int64)
+    found[np.diff(offsets) == 0] = 0
+    return found
+
+
 @dataclass
 class Words:
     """start, end: byte spans of the words; first: for each text the index of its first word, and their number at the end."""
@@ -101,7 +137,7 @@ def words(data: np.ndarray, offsets: np.ndarray, admitted: np.ndarray, fold: np.
     if fold is not IDENTITY:
         data = fold[data]
     start, end = spans(admitted[data], offsets)
-    return Words(data, start, end, np.searchsorted(start, offsets), span_hashes(prefix_hashes(data), start, end))
+    return Words(data, start, end, np.searchsorted(start, offsets), hash_spans(data, start, end))
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:

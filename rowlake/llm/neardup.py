@@ -27,7 +27,7 @@ are written to the shared folder.
 Nulls: a null text is no copy of anything; equal texts, also empty ones, are copies. A text without words is near
 nothing else. Rows without doc_id join the class of an equal text, and class_id is null if none of it has a doc_id.
 Repeated rows are in one class. Ties: a similarity of just THRESHOLD counts, and of equal texts the smallest doc_id goes
-for all. A text of any length is shingled whole; one of more than CHUNK bytes stands alone in its step, with some 60
+for all. A text of any length is shingled whole; one of more than CHUNK bytes stands alone in its step, with some 20
 bytes of memory a byte. An empty table gives an empty one. Other columns may have any names. Links that take more than
 ROUNDS rounds of label passing (which halves paths, so chains of 2**ROUNDS) end in an error, not in a wrong class.
 """

@@ -43,10 +43,9 @@ class Counted:
         n = len(offsets) - 1
         w = bytescan.words(data, offsets, bytescan.NON_SPACE)
         doc = w.doc()
-        total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
         self.n_words = np.diff(w.first)
-        self.word_chars = total(bytescan.NON_SPACE[data] & ((data & 0xC0) != 0x80))
-        self.n_symbols = total(_SYMBOLS[data])
+        self.word_chars = bytescan.sums(bytescan.NON_SPACE[data] & ((data & 0xC0) != 0x80), offsets)
+        self.n_symbols = bytescan.sums(_SYMBOLS[data], offsets)
         starts, owner = bytescan.inside(w.first, WINDOW)
         keys = bytescan.windows(w.hash, WINDOW)[starts] if len(starts) else np.zeros(0, np.uint64)
         order = np.lexsort((keys, owner))
@@ -64,11 +63,11 @@ class Counted:
         self.line_doc, line = doc[first], line[first]
         self.line_start = bounds[line] + (data[bounds[line]] == 10)
         self.line_end = np.append(bounds, len(data))[line + 1]
-        raw = bytescan.span_hashes(bytescan.prefix_hashes(data), self.line_start, self.line_end)
+        raw = bytescan.hash_spans(data, self.line_start, self.line_end)
         order = np.lexsort((raw, self.line_doc))
         equal = (np.diff(raw[order]) == 0) & (np.diff(self.line_doc[order]) == 0)
         self.n_dup_lines = np.bincount(self.line_doc[order][1:][equal], minlength=n)
-        folded = bytescan.span_hashes(bytescan.prefix_hashes(_NORMAL[data]), w.start, w.end)
+        folded = bytescan.hash_spans(_NORMAL[data], w.start, w.end)
         ends = np.append(first, len(doc))[1:]
         self.line_hash = bytescan.span_hashes(bytescan.prefix_hashes(folded), first, ends).view(np.int64)
         self.line_words = ends - first
