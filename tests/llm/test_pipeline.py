@@ -73,3 +73,27 @@ def test_empty(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+
+
+def test_clashing_columns_nulls_and_long_texts(spark, folder, tmp_path):
+    """Every stage with columns named like its own, nulls in all columns, ties, repeated rows, and a very long text."""
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"{rng.choice('pqrs')}{rng.randint(0, 10**6)}" for _ in range(n))
+    long = say(20000)
+    rows = [(1, say(50), None, None, None), (None, say(50), "en", "h", 3), (None, None, None, None, None), (3, "", "en", "h", 0), (4, long, "en", "h", len(long)), (5, long, None, "h", None), (6, say(40) + "\n" + "y" * 60000, "en", None, 1)]
+    rows += [(7, rows[0][1], "en", "h", 1)] * 2 + [(8, say(45), "en", "h", 2)] * 2
+    extra = "`__host` string, `__key` long, `__md5` string, rep long, bucket long, line long, task int, nth long, length string, start string, ids string, `_hits` int, `_c1` string, `a.b` string, k string, t string, word string"
+    names = [c.strip("`") for c in (x.split()[0] for x in extra.split(", "))]
+    kinds = [x.split()[1] for x in extra.split(", ")]
+    fill = [{"string": "x", "long": 7, "int": 8}[k] for k in kinds]
+    docs = spark.createDataFrame([(*r, *fill) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.columns
+        docs = stage(spark, docs, folder)
+        assert docs.columns == before == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+        got = docs.collect()
+        assert all([r[c] for c in names] == fill for r in got), name
+        docs = spark.createDataFrame(got, docs.schema)
+    assert sorted(map(str, (r.doc_id for r in got))) == ["1", "4", "6", "8", "None"]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert {r.doc_id for r in packed} == {1, 4, 6, 8, None} and sum(r.doc_id == 4 for r in packed) > 20
