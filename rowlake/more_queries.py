@@ -1103,3 +1103,15 @@ def _(r):
 @query("stream_drop_late", "events", "SELECT (epoch_us(ts) // 1000) // 86400000 * 86400000 AS window_start_ms, count(*) AS count FROM events WHERE 1706600000000 - (epoch_us(ts) // 1000) <= 864000000 GROUP BY 1")
 def _(e):
     return streams.stream_window(e, "ts", 86_400_000, now_ms=1706600000000, lateness_ms=864_000_000).select("window_start_ms", "count")
+
+
+@query("transform_chunks_middle", "orders", "SELECT o_orderkey, o_orderstatus, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, o_custkey ORDER BY o_orderkey DESC) AS rn FROM (SELECT *, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS BIGINT) AS chunk_id FROM orders)) WHERE rn = 1 AND chunk_id BETWEEN 7 AND 11")
+def _(o):
+    """A run resumed in the middle of the table, over wide rows."""
+    return transform.transform_chunks(o, {"deduplicate_by": ["o_custkey"]}, "o_orderkey", 100, done=6, most=5)[0].select("o_orderkey", "o_orderstatus", "chunk_id")
+
+
+@query("chunks_of_equal_keys", "lineitem", "SELECT chunk_id, count(*) AS n FROM (SELECT CAST((row_number() OVER (ORDER BY l_returnflag) - 1) // 1000 AS BIGINT) AS chunk_id FROM lineitem) GROUP BY 1")
+def _(li):
+    """Three keys for all rows: chunks are full all the same."""
+    return streams.chunk_ids(li, "l_returnflag", 1000).groupBy("chunk_id").agg(F.count("*").alias("n"))
