@@ -20,9 +20,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What a value is assigned to, up to the value. A longer name begins at a later part of it.
+#: What a value is assigned to, up to the value. A longer name begins at a later part of it.
 NAMED = r"(?i:[A-Za-z0-9_-]{0,40}(?:password|passwd|pwd|secret|token|auth)|[A-Za-z0-9_-]{1,40}key)[\"']?[ ]{0,3}[:=][ ]{0,3}[\"']?"
-#: Kinds of candidates. A key block goes to the END of its own name; without one, it takes its header lines and what is base64. A random run begins where no run goes on, or behind an AWS key, so that no run is read from each of its characters. The pattern runs in Java; each part also works in Python.
+#: Kinds of candidates. A key block goes to the END of its own name; without one, it takes its header lines and what is base64. A random run begins where no run goes on, or behind an AWS key, so that no run is read from each of its characters. The pattern runs in Java; each part also works in Python.
 KINDS = {
     "private_key": r"-{4,5} ?BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?) ?-{4,5}(?:[\s\S]*?-{4,5} ?END \1 ?-{4,5}|(?:[\s\\nr]*[A-Za-z][A-Za-z-]*: [^\r\n\\]*(?=[\r\n\\])){0,20}[A-Za-z0-9+/=\s\\]*)",
     "aws_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
@@ -35,7 +35,7 @@ KINDS = {
     "random": r"(?:(?<![+/_-])|(?<=A[KS]IA[A-Z0-9]{16}[+/_-]))(?=[A-Za-z0-9+/_-]*?(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_-]{24,}={0,2}",
 }
 PATTERN = "(?<![A-Za-z0-9])(?:" + "|".join(KINDS.values()) + ")"
-#: Common words that a made-up value tends to be built of.
+#: Common words that a made-up value tends to be built of.
 DICTIONARY = ["example", "changeme", "change", "password", "secret", "default", "sample", "dummy", "admin", "test", "token", "value", "your", "none", "null", "user", "name", "here", "file", "path", "data", "config", "string", "true", "false", "placeholder", "redacted", "hidden", "insert", "empty"]
 NEAR = r"(?i)(pass|secret|token|key|auth|credential|login|bearer)"
 FAKE = r"(?i)(example|sample|dummy|test|fake|placeholder|mock|fixture|template|checksum|sha|md5|commit|uuid|hash|digest|revision)"
@@ -53,8 +53,8 @@ def feature_columns(candidate: Column, before: Column, after: Column, source: Co
     n = F.greatest(F.length(v), F.lit(1))
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
-    spaced = lambda x: F.regexp_replace(x, r"\s+", " ")
-    last, first = F.lower(F.substring_index(spaced(before), " ", -3)), F.lower(F.substring_index(spaced(after), " ", 2))
+    spaced = lambda x, n: F.regexp_replace(F.substring_index(x, " ", n), r"\s+", " ")  # noqa: E731  a dozen blanks away at most, so that long texts aren't copied
+    last, first = F.lower(F.substring_index(spaced(before, -12), " ", -3)), F.lower(F.substring_index(spaced(after, 12), " ", 2))
     kinds = [flag(candidate.rlike("^" + KINDS[k])) for k in ("private_key", "aws_key", "github", "slack", "google", "jwt", "url_password")]
     out = [
         F.least(F.length(v), F.lit(400)), share("[0-9]"), share("[A-Z]"), share("[^A-Za-z0-9]"), share("[A-Za-z](?=[0-9])"), share("[0-9](?=[A-Za-z])"),
