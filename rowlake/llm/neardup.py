@@ -51,6 +51,8 @@ SKETCH, COMMON, SLICE = 1 << 20, 0.2, 1 << 14
 POOL = 1 << 18
 #: Texts at issue for each part of the shingles' hashes, which one task counts.
 PART = 2000
+#: Texts whose ids and digests (some 100 bytes each) are broadcast, so that only their texts move, and not all.
+BROADCAST = 300_000
 #: Pairs of one leader that are compared under one key.
 LEADER = 1000
 CHUNK = 1 << 19
@@ -370,7 +372,9 @@ def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     leaders = scratch.write(leaders, "leaders")  # apart from the join, so that Spark can split a bucket of very many texts
     buckets = scratch.write(every.join(leaders, "bucket"), "buckets")
     pairs = scratch.write(buckets.filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "pairs-0")
-    wanted = buckets.select("rep").distinct().join(reps.select("rep", F.col("content").alias("md5")), "rep")
+    wanted = scratch.write(buckets.select("rep").distinct().join(reps.select("rep", F.col("content").alias("md5")), "rep"), "wanted")
+    if wanted.count() <= BROADCAST:  # ids and digests; else the texts move to them
+        wanted = F.broadcast(wanted)
     found = source.withColumnRenamed("doc_id", "rep").join(wanted, "rep").filter(F.md5(F.col("text").cast("binary")) == F.col("md5"))
     texts = scratch.write(found.groupBy("rep").agg(F.first("text").alias("text")), "texts")
     links = scratch.write(_links(pairs, texts, weights, threshold), "links-0")

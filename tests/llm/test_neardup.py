@@ -86,8 +86,9 @@ def test_samples_estimate_weighted_jaccard():
 def test_classes_are_those_of_all_pairs(spark, monkeypatch):
     docs = corpus()
     want = brute(docs)
-    for part in (neardup.PART, 5):
+    for part, most in ((neardup.PART, neardup.BROADCAST), (5, 0)):
         monkeypatch.setattr(neardup, "PART", part)
+        monkeypatch.setattr(neardup, "BROADCAST", most)
         got = neardup.classes(frame(spark, docs), Scratch(spark, "t")).collect()
         assert sorted((r.doc_id, r.class_id) for r in got if r.doc_id is not None) == want
         assert len(got) == len(docs)
