@@ -43,18 +43,21 @@ def miss(c: Column) -> Column:
 def money(text: Column, english_units: bool = False) -> Column:
     """A number by the money grammar, or null: (1,200.50), 12-, ¥3万, 借 5. english_units also reads "3 million". Plain numbers skip the grammar."""
     bare = F.trim(text)
-    return F.when(bare.rlike(r"^[+-]?[0-9]*\.?[0-9]+$"), bare.try_cast("double")).otherwise(_money(text, english_units))
+    return F.when(bare.rlike(r"^[+-]?[0-9]*\.?[0-9]+$"), bare.try_cast("double")).otherwise(F.get(F.transform(F.array(text), lambda x: _money(x, english_units)), F.lit(0)))
 
 
 def _money(text: Column, english_units: bool) -> Column:
-    t = F.lower(F.trim(F.translate(F.translate(text, "　", " "), DASHES, "-" * len(DASHES))))
-    negative = t.rlike(r"^[(（].*[)）]$") | t.startswith("-") | t.endswith("-") | t.rlike(r"^(?:debit|dr)") | t.rlike(OUTFLOW)
+    """Patterns over the text itself, in any case and with any dash. money calls it within an array of one: there it is one call, however
+    often the number is used, where its code written out makes methods too long for the JVM to compile."""
+    dash, blank = f"[-{DASHES}]", "[ 　]*"
+    end = rf"\R?{blank}\z"
+    negative = text.rlike(rf"(?i)^{blank}(?:[(（].*[)）]{end}|{dash}|debit|dr)|{dash}{blank}\z|{OUTFLOW}")
     scale = F.lit(1.0)
     for pattern, factor in reversed(UNITS):
-        scale = F.when(t.rlike(pattern), F.lit(factor)).otherwise(scale)
-    bare = F.regexp_replace(F.regexp_replace(t, r"^[(（]|[)）]$", ""), STRIP + (f"|{ENGLISH_UNITS}" if english_units else ""), "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^[+-]+", ""), r"-+$", "")
-    value = F.when(bare.rlike(PLAIN_NUMBER), bare).try_cast("double")
+        scale = F.when(text.rlike(f"(?i){pattern}"), F.lit(factor)).otherwise(scale)
+    bare = F.regexp_replace(text, rf"(?i)^{blank}[(（]|[)）]{end}|　|" + STRIP + (f"|{ENGLISH_UNITS}" if english_units else ""), "")
+    bare = F.regexp_replace(bare, rf"^[-+{DASHES}]+|{dash}+\z", "")
+    value = F.when(bare.rlike(f"(?i){PLAIN_NUMBER}"), bare).try_cast("double")
     return value * scale * F.when(negative, -1.0).otherwise(1.0)
 
 
@@ -79,7 +82,8 @@ def plain_number(c: Column) -> Column:
 
 
 def truncated(x: Column) -> Column:
-    return F.when(F.abs(x) < 9.2e18, F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))).cast("long")
+    """Toward zero; null where a long can't hold it. One use of x, as it may be a long expression."""
+    return x.try_cast("long")
 
 
 def cast_to(c: Column, kind: T.DataType, to: str, strict: bool = False) -> Column:
