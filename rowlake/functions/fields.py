@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowlake.functions.values import col, iso_date, kind_of, miss, money, num, number, round_half_away, vts, ymd
+from rowlake.functions.values import col, iso_date, kind_of, miss, money, num, number, once, round_half_away, vts, ymd
 
 #: Patterns of links and addresses, and the units that a header may name.
 URL, EMAIL = r"https?://[^\s]+|www\.[^\s]+", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -131,7 +131,7 @@ def text_transform(name: str, c: Column, **options) -> Column:
     if name == "collapse_duplicate_lines":  # the first of equal lines stays, whatever their case and blanks
         lines = F.filter(F.transform(F.split(text, r"[\r\n]+"), lambda x: F.trim(x)), lambda x: x != "")
         keyed = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(spaced(x)).alias("k"), i.alias("i"), x.alias("x"))))
-        firsts = F.filter(keyed, lambda s, i: (i == 0) | (s["k"] != F.get(keyed, i - 1)["k"]))
+        firsts = once(keyed, lambda o: F.filter(o, lambda s, i: (i == 0) | (s["k"] != F.get(o, i - 1)["k"])))
         kept = F.transform(F.array_sort(F.transform(firsts, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
         return F.when(F.size(lines) > 0, F.array_join(kept, "\n")).otherwise(text)
     if name == "extract_speaker_prefix":

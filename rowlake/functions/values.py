@@ -36,6 +36,11 @@ def vts(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def once(x: Column, f) -> Column:
+    """f(x) with x computed once, also where f uses it inside of lambdas, which would else compute it for every element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def miss(c: Column) -> Column:
     return c.isNull() | (F.trim(c.cast("string")) == "")
 

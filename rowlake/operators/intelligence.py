@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowlake.functions.values import NUMERIC, col, kind_of, number, vts
+from rowlake.functions.values import NUMERIC, col, kind_of, number, once, vts
 from rowlake.operators.ranges import percentiles
 from rowlake.operators.text import tokens
 
@@ -49,7 +49,6 @@ def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
     """id, term, tf (count over words) and norm of each text; blank ids and texts have none."""
     rows = df.filter(vts(col(key)) != "").select(vts(col(key)).alias("id"), tokens(col(text)).alias("w")).filter(F.size("w") > 0)
     # counted inside the row, as runs of the sorted words: no shuffle for what lies in one text, and no word is held against all others
-    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  f(x) with x computed once
     begins = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
     runs = lambda w, s: F.transform(s, lambda i, j: F.struct(F.get(w, i).alias("term"), ((F.coalesce(F.get(s, j + 1), F.size(w)) - i) / F.size(w)).alias("tf")))
     rows = rows.withColumn("t", once(F.array_sort("w"), lambda w: once(begins(w), lambda s: runs(w, s))))

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlake.functions.values import col, round_half_away, vts
+from rowlake.functions.values import col, once, round_half_away, vts
 
 #: Titles behind which a paper has no body, beginnings of noise lines, and citations within a line.
 STOP_TITLES = ["references", "bibliography", "works cited", "acknowledgments", "appendix", "notes", "参考文献", "引用文献", "文献目录", "致谢", "附录", "注释", "脚注"]
@@ -79,8 +79,7 @@ def bare(text: Column) -> Column:
 def _first_of_each(items: Column, least: int) -> Column:
     """The texts whose bare form is `least` long or longer, the first of each bare form, in order."""
     keyed = F.filter(F.transform(items, lambda x, i: F.struct(bare(x).alias("k"), i.alias("i"), x.alias("x"))), lambda s: F.length(s["k"]) >= least)
-    ordered = F.array_sort(keyed)
-    firsts = F.filter(ordered, lambda s, i: (i == 0) | (s["k"] != F.get(ordered, i - 1)["k"]))
+    firsts = once(F.array_sort(keyed), lambda o: F.filter(o, lambda s, i: (i == 0) | (s["k"] != F.get(o, i - 1)["k"])))
     return F.transform(F.array_sort(F.transform(firsts, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
 
 
