@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 import sqlite3
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from rowlake.functions.values import col
 
 READERS: dict[str, Callable] = {}
 OFFICE = ("pdf", "docx", "xlsx", "png", "jpg", "jpeg")
+#: Names of files that Spark unpacks, which have another length than their texts.
+_PACKED = r"\.(?:gz|bz2|deflate|lz4|snappy|zst)$"
 
 
 def register_reader(kind: str, on_conflict: str = "error"):
@@ -63,12 +69,10 @@ def read_parquet(spark: SparkSession, source: str, payload_schema=None, **_) ->
 def read_txt(spark: SparkSession, source: str, paragraphs: bool = False, **_) -> DataFrame:
     """source_path, line_no and text. Large files are split; line numbers are those within a split plus the lines of the splits before.
 
-    paragraphs: source_path, chunk_index and text of blank-line paragraphs, each file read whole by one task.
+    paragraphs: source_path, chunk_index and text of blank-line paragraphs, in no order. Large files are split here too; only packed ones are read whole.
     """
     if paragraphs:
-        files = spark.read.text(source, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.col("value"))
-        parts = F.filter(F.transform(F.split("value", r"\r?\n\s*\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-        return files.select("source_path", F.posexplode(parts).alias("chunk_index", "text"))
+        return _paragraphs(spark, source)
     lines = spark.read.text(source).select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("__at"), F.col("value").alias("text"), F.monotonically_increasing_id().alias("__i"))
     counts = spark.read.text(source).select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("__at")).groupBy("source_path", "__at").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("source_path").orderBy("__at")) - F.col("__n")).drop("__n")
@@ -76,6 +80,158 @@ def read_txt(spark: SparkSession, source: str, paragraphs: bool = False, **_) ->
     return numbered.join(before, ["source_path", "__at"]).select("source_path", (F.col("__before") + F.col("__rn")).alias("line_no"), "text")
 
 
+def _paragraphs(spark: SparkSession, source: str) -> DataFrame:
+    """What parting each whole text by \\r?\\n\\s*\\r?\\n gives, trimmed and without empty ones, but from the lines of splits.
+
+    A split's inner paragraphs stay in its task. Its first and last ones, and counts, are a row a split: these are put
+    together file by file, which also numbers the paragraphs.
+    """
+    packed = F.col("_metadata.file_path").rlike(_PACKED)
+    files = spark.read.text(source, wholetext=True).filter(packed).select(F.col("_metadata.file_path").alias("source_path"), F.col("value"))
+    parts = F.filter(F.transform(F.split("value", r"\r?\n\s*\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    whole = files.select("source_path", F.posexplode(parts).alias("chunk_index", "text"))
+
+    found = [F.col(f"_metadata.{x}").alias(x) for x in ("file_path", "file_block_start", "file_size")]
+    lines = spark.read.text(source, lineSep="\n").filter(~packed).select(*found, F.col("value").cast("binary").alias("line"), F.col("value").rlike(r"\A\s*\z").alias("blank"))
+    ends = lines.mapInArrow(_split_ends, "source_path string, at long, size long, bytes long, bare boolean, solid boolean, inner long, head binary, tail binary, loose binary")
+    put = ends.repartition("source_path").sortWithinPartitions("source_path", "at").mapInArrow(_put_together, "source_path string, at long, chunk_index int, text binary")
+    first = put.filter("text is null").select("source_path", "at", F.col("chunk_index").alias("first"))
+    inner = lines.mapInArrow(_split_inner, "source_path string, at long, nth int, text binary").join(first, ["source_path", "at"])
+    out = put.filter("text is not null").select("source_path", "chunk_index", "text").unionAll(inner.select("source_path", F.col("first") + F.col("nth"), "text"))
+    return out.select("source_path", "chunk_index", F.trim(F.col("text").cast("string")).alias("text")).unionAll(whole)
+
+
+class _Split:
+    """The lines of one split of a text file, a batch at a time, as runs between blank lines.
+
+    The last line waits: it may be the file's last, which is text even if blank unless a line end follows it. So is the
+    file's first line, as there is none before it.
+    """
+
+    def __init__(self, at: int):
+        self.at, self.lines, self.bytes, self.inner = at, 0, 0, 0
+        self.head = self.open = self.held = self.leads = None  # leads: the run of the split's first line isn't closed yet
+
+    def add(self, lines: pa.Array, blank: np.ndarray) -> pa.Array:
+        """The inner runs that these lines close."""
+        self.bytes += int(pc.sum(pc.binary_length(lines)).as_py()) + len(lines)
+        if not self.lines and not self.at:
+            blank = np.concatenate([[False], blank[1:]])
+        self.lines += len(lines)
+        if self.held:
+            lines, blank = pa.concat_arrays([self.held[0], lines]), np.concatenate([self.held[1], blank])
+        self.held = lines[-1:], blank[-1:]
+        lines, blank, n = lines[:-1], blank[:-1], len(lines) - 1
+        if not n:
+            return pa.array([], pa.binary())
+        turns = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
+        starts, stops = np.flatnonzero(turns == -1), np.flatnonzero(turns == 1)
+        cuts = np.concatenate([[0], np.cumsum(stops - starts)])
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), lines.filter(pa.array(~blank))), b"\n")
+        if self.leads is None:
+            self.leads = not blank[0]
+        closed = []
+        if self.open is not None:
+            if not blank[0]:
+                self.open.append(runs[0].as_py())
+                runs, stops = runs[1:], stops[1:] if stops[0] < n else stops
+            if blank.any():
+                closed, self.open = [b"\n".join(self.open)], None
+        if len(runs) and stops[-1] == n:
+            runs, self.open = runs[:-1], [runs[-1].as_py()]
+        out = pa.concat_arrays([pa.array(closed, pa.binary()), runs])
+        if self.leads and len(out):
+            self.head, self.leads, out = out[0].as_py(), False, out[1:]
+        self.inner += len(out)
+        return out
+
+    def ends(self) -> tuple:
+        """bytes, bare (one line), solid (the head is all but for a loose line), inner, head, tail, loose (a blank last line)."""
+        last, blank = self.held[0][0].as_py(), bool(self.held[1][0])
+        runs = (self.open or []) + ([] if blank else [last])
+        tail = b"\n".join(runs) if runs else None
+        solid = bool(self.leads) or self.lines == 1 and not blank
+        head, tail = (tail, None) if solid else (self.head, tail)
+        return self.bytes, self.lines == 1, solid, self.inner, head, tail, last if blank else None
+
+
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(path, at, size), the split so far, the inner runs before, and those that a batch closed; None at the split's end."""
+    key = split = None
+    for batch in batches:
+        paths, at = batch.column(0), batch.column(1).to_numpy()
+        blank = batch.column(4).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero((np.diff(at) != 0) | (np.diff(paths.dictionary_encode().indices.to_numpy()) != 0)) + 1
+        for a, b in zip([0, *new], [*new, len(at)]):
+            if a == b:
+                continue
+            mine = paths[a].as_py(), int(at[a]), batch.column(2)[a].as_py()
+            if mine != key:
+                if split:
+                    yield key, split, split.inner, None
+                key, split = mine, _Split(mine[1])
+            before = split.inner
+            yield key, split, before, split.add(batch.column(3).slice(a, b - a), blank[a:b])
+    if split:
+        yield key, split, split.inner, None
+
+
+def _split_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["source_path", "at", "size", "bytes", "bare", "solid", "inner", "head", "tail", "loose"]
+    for key, split, _, runs in _splits(batches):
+        if runs is None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*key, *split.ends()), kinds)], names=names)
+
+
+def _split_inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (path, at, _), _, before, runs in _splits(batches):
+        if runs is not None and len(runs):
+            n = len(runs)
+            runs = pc.replace_substring_regex(runs, r"\r\z", "")
+            yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([at] * n, pa.int64()), pa.array(np.arange(before, before + n), pa.int32()), runs], names=["source_path", "at", "nth", "text"])
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each split the number of its first inner paragraph (text null), and the paragraphs at the splits' ends."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+    for path, group in groupby(rows, key=lambda r: r[0]):
+        texts, first, n, flows = [], [], 0, False  # flows: the split before ended inside of a paragraph
+        for _, at, size, _, bare, solid, inner, head, tail, loose in (splits := list(group)):
+            flowed = flows
+            if head is not None and flowed:
+                texts[-1][1].append(head)
+            elif head is not None:
+                texts.append((n, [head]))
+                n += 1
+            first.append((at, n))
+            n += inner
+            if tail is not None:
+                texts.append((n, [tail]))
+                n += 1
+            flows = loose is None
+        read = sum(r[3] for r in splits)  # with a line end for each line; a mark of UTF-8, 3 bytes, isn't read
+        ended = read in (size, size - 3)
+        if loose is not None and not ended:
+            if solid or tail is not None or bare and flowed:
+                texts[-1][1].append(loose)
+            else:
+                texts.append((n, [loose]))
+        elif loose is None and ended:
+            texts[-1][1].append(b"")
+        if read < size:
+            texts[0][1][0] = b"\xef\xbb\xbf" + texts[0][1][0]
+        whole = [(k, b"\n".join(x)) for k, x in texts]
+        closed = len(whole) - (loose is None or not ended)  # those that a blank line follows
+        whole = [(k, x.removesuffix(b"\r") if i < closed else x) for i, (k, x) in enumerate(whole)]
+        skip = int(not whole[0][1].strip(b" "))
+        whole = [x for x in whole if x[1].strip(b" ")]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([path] * (len(first) + len(whole))), pa.array([at for at, _ in first] + [0] * len(whole), pa.int64()),
+            pa.array([k - skip for _, k in first] + [k - skip for k, _ in whole], pa.int32()), pa.array([None] * len(first) + [x for _, x in whole], pa.binary()),
+        ], names=["source_path", "at", "chunk_index", "text"])
+
+
 @register_reader("sqlite")
 def read_sqlite(spark: SparkSession, source: str, query: str = "", limit: int | None = None, rows: int = 10000, **_) -> DataFrame:
     """A checked SELECT of a SQLite file that the executors reach, `limit` rows at most if given. One task reads it, `rows` at a time; the driver sees only the first of them, for the types."""

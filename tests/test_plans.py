@@ -1,3 +1,6 @@
+import gzip
+import random
+import re
 import sqlite3
 import sys
 
@@ -94,6 +97,36 @@ def test_sources(spark, tmp_path):
     assert load.browse(spark, "sample_rows", "numbers", 3).count() == 3
 
 
+def test_paragraphs_of_split_files(spark, tmp_path):
+    """A file's paragraphs are those of the whole text, wherever its splits end, and come from several tasks."""
+    rng = random.Random(7)
+    texts = ["", " ", "\n", " \n", "\n ", "\t", "a\n\n\t", "a\n\t", "a\r\n\r\nb\r\n", "\ufeffa\n\nb", "\ufeff\n\nb\n", "\n\na\n\n b \n\n", "a\r\r\n\n", "x" * 50 + "\n\n" + "y" * 50]
+    texts += ["".join(rng.choice(["a", "é", "\n", "\n\n", " ", "\t", "\r\n", "\r", "word\n", "\n \n"]) for _ in range(rng.randint(1, 25))) for _ in range(30)]
+    (tmp_path / "t").mkdir()
+    want = []
+    for i, t in enumerate(texts):
+        (tmp_path / "t" / f"{i:03}.txt").write_bytes(t.encode())
+        want += [(f"{i:03}.txt", k, x) for k, x in enumerate(x for x in (x.strip(" ") for x in re.split(r"\r?\n[ \t\n\x0b\f\r]*\r?\n", t)) if x)]
+    with gzip.open(tmp_path / "t" / "z.txt.gz", "wt") as f:
+        f.write("one\n\ntwo\n")
+    want += [("txt.gz", 0, "one"), ("txt.gz", 1, "two\n")]
+    (tmp_path / "long.txt").write_text("\n\n".join(f"paragraph {i}\nof two lines" for i in range(300)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (12, 1000):
+            for k, v in zip(before, (size, 0)):
+                spark.conf.set(k, v)
+            got = load.load(spark, f"{tmp_path}/t", "txt", paragraphs=True)
+            assert got.dtypes == [("source_path", "string"), ("chunk_index", "int"), ("text", "string")]
+            assert sorted((r.source_path.rsplit("/")[-1].removeprefix("z."), r.chunk_index, r.text) for r in got.collect()) == sorted(want)
+        long = load.load(spark, f"{tmp_path}/long.txt", paragraphs=True)
+        assert [(r.chunk_index, r.text) for r in long.orderBy("chunk_index").collect()] == [(i, f"paragraph {i}\nof two lines") for i in range(300)]
+        assert long.groupBy(F.spark_partition_id()).count().count() > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "x int, p string")
     tables.write_parquet(df, f"{tmp_path}/t", ["p"])
