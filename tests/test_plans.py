@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from rowlake.plans import governance, rules, workflow
-from rowlake.sources import load, tables
+from rowlake.sources import load, office, tables
 
 
 def test_rule_language(tmp_path):
@@ -335,3 +335,25 @@ def test_office_files(spark, tmp_path):
     assert load.load(spark, f"{tmp_path}/c.xlsx", "xlsx_cells", sheets=["other"]).count() == 0
     with pytest.raises(ValueError, match="at most"):
         office.save_xlsx(spark.range(5), f"{tmp_path}/d.xlsx", most=3)
+
+
+def test_tables_over_several_sheets(spark, tmp_path):
+    """Rows beyond a sheet go on in the next one with the same header, and are read back as one table."""
+    df = spark.range(0, 2500, 1, 3).select(F.col("id"), F.concat(F.lit("x & "), "id").alias("name"))
+    for rows, sheets in ((1100, 3), (7, 358), (5000, 1), (office.SHEET_ROWS, 1)):
+        path = f"{tmp_path}/{rows}.xlsx"
+        office.save_xlsx(df, path, "a rather long name of some sheet", sheet_rows=rows)
+        cells = load.load(spark, path, "xlsx_cells")
+        found = {r.sheet_name: r.n for r in cells.groupBy("sheet_name").agg(F.count("*").alias("n")).collect()}
+        assert max(found.values()) <= rows + 1 and sum(found.values()) == 2500 + len(found) and len(found) == sheets
+        table = office.sheet_table(cells, {"id", "name"})
+        assert sorted((int(r.id), r.name) for r in table.collect()) == [(i, f"x & {i}") for i in range(2500)]
+    office.save_xlsx(spark.range(0), f"{tmp_path}/none.xlsx")
+    assert [r.cells for r in load.load(spark, f"{tmp_path}/none.xlsx", "xlsx_cells").collect()] == [["id"]]
+    (tmp_path / "bad.xlsx").write_bytes(office.xlsx_bytes(["id"], [[i] for i in range(3000)]).replace(b"sheet1.xml", b"sheet9.xml", 1))
+    assert [r.error is None for r in load.load(spark, f"{tmp_path}/bad.xlsx", "xlsx_cells").collect()] == [False]
+    gaps = spark.createDataFrame([("p", "s", n, c) for n, c in ((40, ["id", "name"]), (90, ["1", "a"]), (91, ["2"]), (2, ["Title"]))], "source_path string, sheet_name string, row_index int, cells array<string>")
+    assert [tuple(r) for r in office.sheet_table(gaps, {"id", "name"}).orderBy("id").collect()] == [(90, "1", "a"), (91, "2", "")]
+    two = load.load(spark, f"{tmp_path}/none.xlsx", "xlsx_cells").union(load.load(spark, f"{tmp_path}/7.xlsx", "xlsx_cells"))
+    with pytest.raises(ValueError, match="another header"):
+        office.sheet_table(two, {"id", "name"})
