@@ -4,8 +4,8 @@ Words are runs of ASCII letters and digits, A-Z lower-cased, and of non-ASCII ch
 text of fewer, but not none, is one shingle. Its weight in a text is its count there times its inverse document
 frequency. Document frequencies of all documents are gathered in a sketch of SKETCH counters (a shingle's counter is an
 upper bound of its frequency, above it by well under a thousandth of the documents). The idf is 1 up to a share of
-COMMON of the documents and falls as log(documents / frequency) beyond, so that passages which very many documents
-carry count less, and near copies of a large group don't lose weight against their own edits.
+COMMON of the documents, or FEW of them, and falls as log(documents / frequency) beyond, so that passages which many
+documents carry count less, and near copies of a group that isn't larger don't lose weight against their own edits.
 
 Improved consistent weighted sampling gives each text BANDS * ROWS samples; two texts agree in a sample with the
 probability of their weighted Jaccard similarity. The gamma and uniform variates of (shingle, sample) come from a pool
@@ -47,7 +47,7 @@ from rowlake.llm.common import Scratch, free_name, map_arrow, slices, text_bytes
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
-SKETCH, COMMON, SLICE = 1 << 20, 0.2, 1 << 14
+SKETCH, COMMON, FEW, SLICE = 1 << 20, 0.01, 20, 1 << 14
 POOL = 1 << 18
 #: Texts at issue for each part of the shingles' hashes, which one task counts.
 PART = 2000
@@ -102,13 +102,19 @@ def counted(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes[first], doc[first], np.diff(np.append(first, len(hashes)))
 
 
+def common(documents: int) -> float:
+    """The number of documents above which a shingle's idf is less than 1; none has more where the table is that small."""
+    most = max(COMMON * documents, FEW)
+    return most if most < documents else float("inf")
+
+
 class Frequencies:
-    """The idf of shingles: only counters above COMMON of the documents differ from 1, fewer than shingles a text / COMMON."""
+    """The idf of shingles: only counters above COMMON of the documents (and FEW) differ from 1, fewer than shingles a text / COMMON."""
 
     def __init__(self, documents: int, counters: dict[int, int]):
         self.slots = np.array(sorted(counters), np.int64)
         share = np.array([counters[x] for x in sorted(counters)]) / max(1, documents)
-        self.idf = np.clip(np.log(np.minimum(1, share)) / np.log(COMMON), 0.01, 1.0)
+        self.idf = np.clip(np.log(np.minimum(1, share)) / np.log(common(documents) / max(1, documents)), 0.01, 1.0)
         self.table = None
 
     def of(self, hashes: np.ndarray) -> np.ndarray | None:
@@ -157,7 +163,7 @@ def frequencies(rows: DataFrame) -> Frequencies:
     for r in parts:
         if r.slice >= 0:
             total = np.frombuffer(zlib.decompress(r.counts), "<i8")
-            for i in np.flatnonzero(total > max(COMMON * documents, 2)).tolist():
+            for i in np.flatnonzero(total > common(documents)).tolist():
                 counters[r.slice * SLICE + i] = int(total[i])
     return Frequencies(documents, counters)
 

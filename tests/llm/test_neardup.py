@@ -135,6 +135,22 @@ def test_idf_acts_on_passages_of_very_many_documents(spark):
     assert tf > 0.6 and idf is not None and (idf < 0.3).sum() == 86 and (idf == 1).sum() == len(words) - 86
 
 
+def test_idf_acts_on_passages_of_a_tenth_of_the_documents(spark):
+    """Without idf the texts that carry the notice are similar (0.82), with it they aren't (0.73); near copies stay together."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"q{rng.randint(0, 10**6)}" for _ in range(n))
+    notice = say(154)
+    docs = [(i, f"{notice} {say(12)}") for i in range(100)] + [(100 + i, say(60)) for i in range(895)]
+    words = docs[500][1].split()
+    docs += [(2000 + i, " ".join(words[: 58 - i] + ["edit"] + words[59 - i :])) for i in range(2)] + [(3000 + i, docs[600][1]) for i in range(3)]
+    plain = [sum((bag(a) & bag(b)).values()) / sum((bag(a) | bag(b)).values()) for (_, a), (_, b) in combinations(docs[:5], 2)]
+    found = neardup.frequencies(spark.createDataFrame(docs, "k long, text string").select("text"))
+    idf = found.of(neardup.counted(*neardup.shingles(*neardup.text_bytes(pa.array([docs[0][1]]))))[0])
+    assert min(plain) > 0.8 and (abs(idf - np.log(0.1) / np.log(20 / len(docs))) < 0.01).sum() == 150 and (idf == 1).sum() == 12
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame(spark, docs), Scratch(spark, "t")).collect()}
+    assert got == {k: 500 if 2000 <= k < 3000 else 600 if k >= 3000 else k for k, _ in docs}
+
+
 def test_thousands_of_texts_from_templates(spark, monkeypatch):
     """Texts that share one long passage and aren't similar: neither one leader's key nor one shingle's takes them all."""
     monkeypatch.setattr(neardup, "LEADER", 50)
